@@ -109,15 +109,17 @@ def _daily(rows: DataFrame, rules: SpikeRules) -> DataFrame:
 def _scored(readings: DataFrame, rules: SpikeRules) -> DataFrame:
     source = Window.partitionBy("_series", "_field")
     order = source.orderBy("_day")
-    good = readings.where(F.col("_value").isNotNull() & ~F.col("_impossible"))
-    good = good.withColumn("_log", F.ln("_value")).withColumn("_step", F.abs(F.col("_log") - F.lag("_log").over(order)))
+    weekday = Window.partitionBy("_series", "_field", "_weekday")
+    good = readings.where(F.col("_value").isNotNull() & ~F.col("_impossible")).select("_series", "_day", "_field", "_value", "_outside", F.ln("_value").alias("_log"))
+    good = good.withColumn("_step", F.abs(F.col("_log") - F.lag("_log").over(order)))
     good = good.withColumn("_typical", F.percentile("_step", F.lit(0.5)).over(source)).where(~F.col("_outside"))
-    good = good.withColumn("_change", F.col("_log") - F.lag("_log").over(order)).withColumn("_weekday", F.weekday("_day"))
-    good = good.withColumn("_season", F.coalesce(F.percentile("_change", F.lit(0.5)).over(Window.partitionBy("_series", "_field", "_weekday")), F.lit(0.0)))
+    good = good.withColumns({"_change": F.col("_log") - F.lag("_log").over(order), "_weekday": F.weekday("_day")})
+    good = good.withColumn("_season", F.coalesce(F.percentile("_change", F.lit(0.5)).over(weekday), F.lit(0.0)))
     good = good.withColumn("_residual", F.col("_change") - F.col("_season"))
     points = F.array(*[F.lit(1 - rules.tail / k) for k in (1, 2, 4)])
-    good = good.withColumn("_tail", F.percentile(F.abs("_residual"), points).over(source)).withColumn("_sway", F.max(F.abs("_season")).over(source))
-    fitted = pareto_cutoff(F.col("_tail")[0], F.col("_tail")[1], F.col("_tail")[2], rules.tail, rules.risk)
+    good = good.withColumns({"_tail": F.percentile(F.abs("_residual"), points).over(source), "_sway": F.max(F.abs("_season")).over(source)})
+    good = good.withColumns({f"_t{i}": F.col("_tail")[i] for i in range(3)})
+    fitted = pareto_cutoff(F.col("_t0"), F.col("_t1"), F.col("_t2"), rules.tail, rules.risk)
     # Where gross errors are so many that they reach the fitted tail itself, the cutoff may
     # not rise beyond what the exact check asks for; no case can then fail to be a candidate.
     most = rules.multiple * F.col("_typical") - F.col("_sway")
@@ -126,22 +128,25 @@ def _scored(readings: DataFrame, rules: SpikeRules) -> DataFrame:
 
 def _spiked(scored: DataFrame, rules: SpikeRules) -> DataFrame:
     order = Window.partitionBy("_series", "_field").orderBy("_day")
-    apart = rules.multiple * F.col("_typical")
-    before = F.lag("_log").over(order)
-    for k in range(1, rules.max_run + 1):
-        after = F.lead("_log", k).over(order)
-        starts = F.lit(False)
-        for sign in (1, -1):
-            run = (sign * F.col("_residual") > F.col("_cutoff")) & (sign * F.lead("_residual", k).over(order) < -F.col("_cutoff"))
-            for j in range(k):
-                x = F.lead("_log", j).over(order) if j else F.col("_log")
-                run = run & (sign * (x - before) > apart) & (sign * (x - after) > apart)
-            starts = starts | run
-        scored = scored.withColumn(f"_run{k}", F.coalesce(starts, F.lit(False)))
+    reach = range(1, rules.max_run + 1)
+    scored = scored.select(
+        "_series", "_day", "_field", "_value", F.col("_residual").alias("_r0"), "_cutoff", (rules.multiple * F.col("_typical")).alias("_apart"), F.col("_log").alias("_x0"), F.lag("_log").over(order).alias("_before"),
+        *[F.lead("_log", k).over(order).alias(f"_x{k}") for k in reach], *[F.lead("_residual", k).over(order).alias(f"_r{k}") for k in reach],
+    )
+    # How far the lowest (highest) reading of each run stands above (below) the nearest good readings on either side.
+    runs = []
+    for k in reach:
+        inside = [f"_x{j}" for j in range(k)]
+        low, high = (F.least(*inside), F.greatest(*inside)) if k > 1 else (F.col("_x0"), F.col("_x0"))
+        whole = F.col(f"_x{k}").isNotNull() & F.col("_before").isNotNull()
+        up = (F.col("_r0") > F.col("_cutoff")) & (F.col(f"_r{k}") < -F.col("_cutoff")) & (low - F.greatest("_before", f"_x{k}") > F.col("_apart"))
+        down = (F.col("_r0") < -F.col("_cutoff")) & (F.col(f"_r{k}") > F.col("_cutoff")) & (F.least("_before", f"_x{k}") - high > F.col("_apart"))
+        runs.append(F.coalesce(whole & (up | down), F.lit(False)).alias(f"_run{k}"))
+    scored = scored.select("_series", "_day", "_field", "_value", *runs)
     inside = F.lit(False)
-    for k in range(1, rules.max_run + 1):
-        for j in range(k):
-            inside = inside | (F.coalesce(F.lag(f"_run{k}", j).over(order), F.lit(False)) if j else F.col(f"_run{k}"))
+    for k in reach:
+        recent = order.rowsBetween(-(k - 1), 0)
+        inside = inside | F.coalesce(F.bool_or(f"_run{k}").over(recent), F.lit(False))
     return scored.withColumn("_spike", inside)
 
 
