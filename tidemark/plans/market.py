@@ -22,7 +22,9 @@ def asset_bars(spark: SparkSession, folder: str) -> DataFrame:
 
 def asset_volatility(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders")
-    v = orders.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.round(10 + F.avg("o_totalprice") / 20000, 6).alias("close"))
+    # Whole cents, so the sum does not depend on its order; a prime divisor, so rounding never meets a tie.
+    cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("long"))
+    v = orders.groupBy(F.to_date("o_orderdate").alias("date")).agg((10 + cents / (F.count("o_totalprice") * 1999993.0)).alias("close"))
     return v.select(F.lit("asset").alias("series_id"), "*")
 
 
