@@ -50,12 +50,18 @@ _SLOT = re.compile(
         )
     )
 )
-_SIGIL = re.compile(r"[@#%$:(]\S|__")
+#: Where a slot may begin; led by one set of characters, so a text without slots is passed over quickly.
+_SIGIL = re.compile(
+    r"[{@#_%$\[<:(](?:(?<=\{)[^\\]|(?<=@)[@{]|(?<=#)[#{]|(?<=_)_[A-Za-z]|(?<=%)[A-Za-z({\d]|(?<=\$)[A-Za-z{]|(?<=:)[A-Z]{2}"
+    r"|(?<=\[)(?:\[|[Il1|]N[S5]|YOUR|ENTER|ADD|[A-Z]+_)|(?<=<)(?:<|[%?]|your|insert|enter|[A-Z]+_)|(?<=\()(?:your|insert) )"
+)
 _QUOTES = "\"'“”„‟«»‘’‚`´\u0093\u0094\u0091\u0092\u0084"
 _DAMAGED_QUOTE = re.compile(r"(?:â\S{0,6}|Â\S{0,3}|\?|�)$")
 _PLACE = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:example|com|org|net|io|tv)\b\S*|(?:/[\w.-]+){2,}", re.I)
 _STATUS = re.compile(r"(?<![\w.,/])[45]\d\d(?![\w,/]|\.\d)")
-_NUMBER = re.compile(r"\w*\d\w*")
+#: Numbers and identifiers; a word with one or two misread letters is none.
+_NUMBER = re.compile(r"\b\d+\b|\b\w*\d\w*\d\w*\d\w*|\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b", re.I)
+_KNOWN_WORDS = 1_000_000
 
 
 def _quoted(text: str, start: int, end: int) -> bool:
@@ -67,7 +73,7 @@ def _quoted(text: str, start: int, end: int) -> bool:
 
 def window_words(text: str) -> tuple[list[str], bool]:
     """Folded words of a window, with slots and status numbers as words of their own, and whether an unquoted slot is there."""
-    slots = [m for m in _SLOT.finditer(text)]
+    slots = list(_SLOT.finditer(text)) if _SIGIL.search(text) else []
     unquoted = False
     if slots:
         parts, at = [], 0
@@ -157,7 +163,7 @@ class Index:
 
     def matches(self, lines: list[str], held: float, accounted: float, most: int = 3) -> Iterator[tuple[str, tuple[float, float, int]]]:
         """Windows of up to ``most`` neighbouring lines of a cue that match, with their match."""
-        if _SLOT.search(" ".join(lines)):
+        if has_slot(" ".join(lines)):
             words, unquoted = window_words(" ".join(lines))
             if unquoted:
                 yield " ".join(lines), (1.0, 1.0, 0)
@@ -171,13 +177,29 @@ class Index:
                         yield "\n".join(lines[i : i + n]), match
 
 
-def may_match(text: str, anchors: frozenset[str]) -> bool:
-    """False only if no window of ``text`` can match."""
-    if "{" in text or "[" in text or "<" in text or _SIGIL.search(text):
-        if _SLOT.search(text.replace("\n", " ")):
-            return True
-    distinct = " ".join(set(text.split()))
-    return not anchors.isdisjoint(folded(_NUMBER.sub(" ", distinct).replace("_", " ")))
+class Vocabulary:
+    """The exemplars' words in a text. What a written word contributes is remembered, so a text costs a look-up for each of its distinct words."""
+
+    def __init__(self, words: frozenset[str]) -> None:
+        self.words, self.known = words, {}
+
+    def of(self, text: str) -> set[str]:
+        known, out = self.known, set()
+        if len(known) > _KNOWN_WORDS:
+            known.clear()
+        for token in set(text.split()):
+            found = known.get(token)
+            if found is None:
+                if token[0].isdigit() and not any(map(str.isalpha, token)):
+                    continue
+                found = known[token] = self.words.intersection(folded(_NUMBER.sub(" ", token.replace("_", " "))))
+            if found:
+                out |= found
+        return out
+
+
+def has_slot(text: str) -> bool:
+    return _SIGIL.search(text) is not None and _SLOT.search(text.replace("\n", " ")) is not None
 
 
 def residue_matches(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held: float = 0.75, accounted: float = 0.72) -> DataFrame:
@@ -197,12 +219,13 @@ def residue_matches(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter[str] = Counter()
+        seen = Vocabulary(vocabulary)
         rows = 0
         for batch in batches:
             for t in batch["text"]:
                 rows += 1
                 if t:
-                    counts.update(vocabulary.intersection(folded(" ".join(set(t.split())))))
+                    counts.update(seen.of(t))
         yield pd.DataFrame([("", rows), *counts.items()], columns=["word", "n"])
 
     counted = source.select("text").mapInPandas(tally, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
@@ -212,15 +235,18 @@ def residue_matches(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = index.value
+        seen = Vocabulary(known.anchors)
         for batch in batches:
             out = []
             for doc, t in zip(batch["doc_id"], batch["text"]):
-                if not t or not may_match(t, known.anchors):
+                if not t or not (seen.of(t) or has_slot(t)):
                     continue
                 matches = 0
                 kinds: set[str] = set()
                 first: tuple[str, str] | None = None
                 for lines in cues(t):
+                    if not any(map(seen.of, lines)) and not has_slot(" ".join(lines)):
+                        continue
                     for window, (_, _, i) in known.matches(lines, held, accounted):
                         kind, label, _ = known.exemplars[i]
                         matches += 1
