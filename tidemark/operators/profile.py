@@ -180,11 +180,17 @@ def two_sample_test(cells: pd.DataFrame, kinds: Sequence[str], ridge: float = 1.
         spread = (w1 * (up - mean1) ** 2).sum() + (w0 * (down - mean0) ** 2).sum() * min(1.0, n / n0)
         return float(n * (mean1 + mean0)), math.sqrt(max(spread, 0.0))
 
+    def auc(name: str) -> float:
+        """Scores of two fits are not compared: the folds' figures, weighted by the load's rows."""
+        parts = [(_auc(scores[name][fold == k], own[fold == k], other[fold == k]), own[fold == k].sum()) for k in (0, 1)]
+        parts = [(a, n) for a, n in parts if not math.isnan(a)]
+        return sum(a * n for a, n in parts) / sum(n for _, n in parts) if parts else float("nan")
+
     out = []
-    whole = _auc(scores["all"], own, other)
+    whole = auc("all")
     for i in range(len(kinds)):
         (added, e1), (alone, e2) = gain("all", f"without{i}"), gain(f"only{i}", "none")
-        out.append((whole, _auc(scores[f"without{i}"], own, other), _auc(scores[f"only{i}"], own, other), added, alone, max(added + 2 * e1, alone + 2 * e2)))
+        out.append((whole, auc(f"without{i}"), auc(f"only{i}"), added, alone, max(added + 2 * e1, alone + 2 * e2)))
     return out
 
 

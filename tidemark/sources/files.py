@@ -72,7 +72,7 @@ def chart_rows(charts: DataFrame, json: str = "payload") -> DataFrame:
 def manifest(spark: SparkSession, folder: str, least_bytes: int = 200) -> DataFrame:
     """``file, bytes, sha256, data_rows, first_date, last_date, accepted``; too short files and web pages are not accepted."""
     files = spark.read.format("binaryFile").load(os.path.join(folder, "*.csv"))
-    lines = F.filter(F.split(F.decode("content", F.lit("UTF-8")), "\r?\n"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split(F.decode("content", "UTF-8"), "\r?\n"), lambda x: F.trim(x) != "")
     files = files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), lines.alias("_lines"))
     token = lambda i: F.split(F.try_element_at("_lines", F.lit(i)), ",")[0]
     size = F.size("_lines")
