@@ -88,15 +88,21 @@ def window_words(text: str) -> tuple[list[str], bool]:
     return words + [_STATUS_WORD] * status + [_SLOT_WORD] * unquoted, unquoted
 
 
-def cues(text: str) -> Iterator[list[str]]:
-    """The lines of each cue, without numbers and times; pages as lines of their blocks."""
+def _spoken(line: str, known: frozenset[str]) -> str:
+    """``line`` without its speaker label; ``TODO:`` or ``Error:`` of an exemplar is none."""
+    label = _LABEL.match(line)
+    return line[label.end() :].strip() if label and known.isdisjoint(folded(label[0])) else line.strip()
+
+
+def cues(text: str, known: frozenset[str] = frozenset()) -> Iterator[list[str]]:
+    """The lines of each cue, without numbers, times and speaker labels (but for ``known`` words); pages as lines of their blocks."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     if "-->" in text:
         text = _TIMES.sub("\n", text)
     if "<" in text:
         text = _BREAK_TAG.sub("\n", text)
     for cue in re.split(r"\n[ \t]*\n", text):
-        lines = [x for x in (_LABEL.sub(r"\1", line).strip() for line in cue.split("\n")) if x]
+        lines = [x for x in (_spoken(line, known) for line in cue.split("\n")) if x]
         if lines:
             yield lines
 
@@ -121,6 +127,7 @@ class Index:
         self.mass = [sum(self.idf[w] for w in words) for _, _, words in self.exemplars]
         # Of the dummy paragraph a window can hold no more than a few words.
         self.mass[self.bag] = min(self.mass[self.bag], 3 * self.other)
+        self.words = frozenset(self.idf)
         self.postings: dict[str, list[int]] = {}
         for i, (_, _, words) in enumerate(self.exemplars):
             for w in words:
@@ -133,7 +140,7 @@ class Index:
         words = sorted(self.exemplars[i][2], key=lambda w: (-self.idf[w], w))
         left = sum(self.idf[w] for w in words)
         for n, w in enumerate(words):
-            if left < held * self.mass[i] - 1e-9:
+            if left < (held - 1e-6) * self.mass[i]:
                 return words[:n]
             left -= self.idf[w]
         return words
@@ -157,7 +164,7 @@ class Index:
         best = None
         for i, mass in shared.items():
             part, cover = min(1.0, mass / self.mass[i]), mass / whole
-            if part >= held and cover >= accounted and (best is None or (part * cover, -i) > (best[0] * best[1], -best[2])):
+            if part >= held - 1e-9 and cover >= accounted - 1e-9 and (best is None or (part * cover, -i) > (best[0] * best[1], -best[2])):
                 best = (part, cover, i)
         return best
 
@@ -244,7 +251,7 @@ def residue_matches(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
                 matches = 0
                 kinds: set[str] = set()
                 first: tuple[str, str] | None = None
-                for lines in cues(t):
+                for lines in cues(t, known.words):
                     if not any(map(seen.of, lines)) and not has_slot(" ".join(lines)):
                         continue
                     for window, (_, _, i) in known.matches(lines, held, accounted):
