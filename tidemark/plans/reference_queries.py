@@ -14,7 +14,7 @@ from tidemark.operators import features as X
 from tidemark.operators import quality as Q
 from tidemark.params import WalkForward
 from tidemark.plans.market import PROTOCOL, asset_bars, asset_features, asset_volatility, series_bars, series_features
-from tidemark.session import table
+from tidemark.session import cut_lineage, table
 from tidemark.streaming.bars import daily_bars
 
 
@@ -138,7 +138,8 @@ def baseline_ewma(s: SparkSession, d: str) -> DataFrame:
 
 
 def _dev(s: SparkSession, d: str, horizon: int = 22) -> tuple[DataFrame, DataFrame]:
-    features = asset_features(s, d)
+    """Features, written once for the many forecasts that read them, and evaluation rows."""
+    features = cut_lineage(asset_features(s, d))
     return features, protocol.dev_rows(features, horizon, PROTOCOL)
 
 
@@ -154,7 +155,7 @@ def walkforward_uni(s: SparkSession, d: str) -> DataFrame:
 
 
 def _har(s: SparkSession, d: str, names: tuple[str, ...], horizons: tuple[int, ...] = (22,)) -> DataFrame:
-    features = asset_features(s, d)
+    features = cut_lineage(asset_features(s, d))
     return baselines.union([walkforward.walkforward_ols(features, protocol.dev_rows(features, h, PROTOCOL), walkforward.HAR_SPECS[n], WalkForward(h)) for n in names for h in horizons])
 
 
@@ -162,14 +163,14 @@ def walkforward_har(s: SparkSession, d: str) -> DataFrame:
     return tidy(_har(s, d, tuple(walkforward.HAR_SPECS)))
 
 
-def _panel(s: SparkSession, d: str) -> DataFrame:
-    features, dev = _dev(s, d)
+def _panel(features: DataFrame, dev: DataFrame) -> DataFrame:
     every = baselines.union([baselines.random_walk(features, (22,)), baselines.implied(features, (22,)), baselines.expanding_mean(features, horizons=(22,)), walkforward.walkforward_single(features, dev, "rv_cc_trail_22", WalkForward(22))])
     return every.join(dev.select("series_id", "date"), ["series_id", "date"])
 
 
 def _sample(s: SparkSession, d: str) -> DataFrame:
-    return protocol.common_sample(_panel(s, d), protocol.targets(asset_features(s, d), (22,)))
+    features, dev = _dev(s, d)
+    return cut_lineage(protocol.common_sample(_panel(features, dev), protocol.targets(features, (22,))))
 
 
 def common_sample(s: SparkSession, d: str) -> DataFrame:
@@ -232,16 +233,16 @@ def config_registry(s: SparkSession, d: str) -> DataFrame:
 # Strategies
 
 
-def _weights(s: SparkSession, d: str) -> DataFrame:
+def _weights(features: DataFrame) -> DataFrame:
     """Five strategies over the days with trailing variance: always, binary and linear, the latter two also weekly."""
-    df = asset_features(s, d).withColumn("signal", B.vrp_signal(F.col("iv30"), F.col("rv_cc_trail_22")))
+    df = features.withColumn("signal", B.vrp_signal(F.col("iv30"), F.col("rv_cc_trail_22")))
     df = B.linear_weights(df, "signal", "linear").where(F.col("rv_cc_trail_22").isNotNull())
     cells = [("always_short", B.always(F.col("signal")), 1), ("naive_binary", B.binary(F.col("signal")), 1), ("naive_binary_5d", B.binary(F.col("signal")), 5), ("naive_linear", F.col("linear"), 1), ("naive_linear_5d", F.col("linear"), 5)]
     return df.select("date", F.inline(F.array(*[F.struct(F.lit(n).alias("strategy"), w.alias("base_w"), F.lit(k).alias("rebalance_every")) for n, w, k in cells])))
 
 
 def weights(s: SparkSession, d: str) -> DataFrame:
-    return tidy(_weights(s, d), 6)
+    return tidy(_weights(asset_features(s, d)), 6)
 
 
 def unit_pnl(s: SparkSession, d: str) -> DataFrame:
@@ -249,14 +250,14 @@ def unit_pnl(s: SparkSession, d: str) -> DataFrame:
 
 
 def turnover(s: SparkSession, d: str) -> DataFrame:
-    w = _weights(s, d).where(F.col("base_w").isNotNull())
+    w = _weights(asset_features(s, d)).where(F.col("base_w").isNotNull())
     before = F.coalesce(F.lag("base_w").over(by_date("strategy")), F.lit(0.0))
     return tidy(w.select("strategy", "date", B.turnover(F.col("base_w"), before).alias("turnover")), 6)
 
 
 def _simulated(s: SparkSession, d: str, spreads: list[float]) -> DataFrame:
-    p = B.Backtest()
-    scaled = B.with_scale(_weights(s, d), B.unit_pnl(asset_features(s, d)), p)
+    p, features = B.Backtest(), cut_lineage(asset_features(s, d))
+    scaled = B.with_scale(_weights(features), B.unit_pnl(features), p)
     return B.simulate(scaled, s.createDataFrame([(x,) for x in spreads], "half_spread double"), p)
 
 
