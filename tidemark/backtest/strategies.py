@@ -171,3 +171,33 @@ def deflated_sharpe(pnl: DataFrame, value: str, trials: int, keys: tuple[str, ..
         return pd.DataFrame(rows, columns=["sharpe_ann", "dsr", "benchmark_ann"], dtype=float)
 
     return moments.withColumn("_r", judge("n", "sr", "g3", "g4")).select(*keys, "_r.*", F.lit(trials).alias("trials"))
+
+
+def strategy_weights(features: DataFrame, panel: DataFrame, physical: str = "gjr_n", robust: str = "har_log_iv") -> DataFrame:
+    """``date, strategy, base_w, rebalance_every`` of the eight standard strategies over the panel's dates: always short, and
+    short by the premium over the trailing variance, a physical model or a robust one, some of them traded weekly."""
+    wide = panel.groupBy("series_id", "date").agg(*[F.max(F.when(F.col("model") == m, F.col("forecast"))).alias(k) for k, m in (("_p", physical), ("_r", robust))])
+    df = wide.join(features.select("series_id", "date", "iv30", "rv_cc_trail_22"), ["series_id", "date"])
+    df = df.withColumns({"s_model": vrp_signal(F.col("iv30"), F.col("_p")), "s_robust": vrp_signal(F.col("iv30"), F.col("_r")), "s_naive": vrp_signal(F.col("iv30"), F.col("rv_cc_trail_22"))})
+    df = linear_weights(df, "s_model", "linear")
+    flat, model = always(F.col("s_model")), binary(F.col("s_model"))
+    cells = [("always_short", flat, 1), ("always_short_5d", flat, 5), ("naive_binary", binary(F.col("s_naive")), 1), ("model_binary", model, 1), ("model_binary_5d", model, 5), ("model_linear", F.col("linear"), 1), ("model_linear_5d", F.col("linear"), 5), ("robust_binary", binary(F.col("s_robust")), 1)]
+    return df.select("date", F.inline(F.array(*[F.struct(F.lit(n).alias("strategy"), w.alias("base_w"), F.lit(k).alias("rebalance_every")) for n, w, k in cells])))
+
+
+def performance_table(simulations: DataFrame) -> DataFrame:
+    """Gross and net figures, average weight and yearly cost by strategy and spread."""
+    keys = ("strategy", "half_spread")
+    gross = performance(simulations, "pnl_gross", keys).select(*keys, F.col("ann_return").alias("gross_ann_return"), F.col("sharpe").alias("gross_sharpe"))
+    net = performance(simulations, "pnl_net", keys).select(*keys, F.col("ann_return").alias("net_ann_return"), F.col("sharpe").alias("net_sharpe"), F.col("max_dd").alias("net_max_dd"), F.col("skew").alias("net_skew"), F.col("cvar99").alias("net_cvar99"))
+    use = simulations.groupBy(*keys).agg(F.avg("w").alias("avg_weight"), (F.avg("cost") * 252).alias("ann_cost"))
+    return gross.join(net, list(keys)).join(use, list(keys))
+
+
+def net_edge(simulations: DataFrame, bench: str, lag: int = 22) -> DataFrame:
+    """Each strategy's daily net result less that of ``bench``: ``strategy, n, mean_daily_diff, ann_diff, t_stat, p_value``, robust to autocorrelation."""
+    from tidemark.evaluate.scores import diebold_mariano
+
+    rows = simulations.select(F.lit("").alias("series_id"), "date", F.lit(0).alias("horizon"), F.col("strategy").alias("model"), F.col("pnl_net"))
+    out = diebold_mariano(rows, "pnl_net", bench, lag)
+    return out.select(F.col("model").alias("strategy"), "n", F.col("mean_diff").alias("mean_daily_diff"), (F.col("mean_diff") * 252).alias("ann_diff"), F.col("stat").alias("t_stat"), "p_value")

@@ -129,3 +129,12 @@ def confidence_set(lossed: DataFrame, loss: str = "qlike", reps: int = 1000, blo
         return pd.DataFrame(rows, columns=["horizon", "model", "p_value", "in_90", "in_75"])
 
     return days.groupBy("horizon").applyInPandas(run, "horizon int, model string, p_value double, in_90 boolean, in_75 boolean")
+
+
+def score_table(sample: DataFrame, bench: str = "expanding_mean", against: str = "har", lag: int = 44) -> DataFrame:
+    """All scores of each model: losses, R2, calibration regression of the clipped forecasts, and test of its QLIKE against a model; best first."""
+    lossed = losses(sample)
+    base = scores(lossed, bench)
+    fit = mincer_zarnowitz(lossed, lag, forecast="clipped").select("horizon", "model", F.col("alpha").alias("mz_alpha"), F.col("beta").alias("mz_beta"), F.col("r2").alias("mz_r2"), F.col("p_joint").alias("mz_p"))
+    test = diebold_mariano(lossed, "qlike", against, lag).select("horizon", "model", F.col("stat").alias("dm_stat"), F.col("p_value").alias("dm_p"))
+    return base.join(fit, ["horizon", "model"], "left").join(test, ["horizon", "model"], "left").orderBy("horizon", "qlike")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as V
@@ -120,3 +120,11 @@ def estimator_table(features: DataFrame, since: str = "2008-01-01") -> DataFrame
 
 def synthetic_open_share(features: DataFrame) -> DataFrame:
     return features.groupBy(F.year("date").alias("year")).agg(F.avg(F.col("spx_open_synthetic").cast("int")).alias("share_synthetic"))
+
+
+def alignment_report(index: DataFrame, implied: DataFrame) -> DataFrame:
+    """``index_days, implied_days, joint_days, first_day, last_day`` by series; series of one table only have no joint days."""
+    a, b = (t.select("series_id", "date").distinct().withColumn(name, F.lit(1)) for t, name in ((index, "_a"), (implied, "_b")))
+    days = a.join(b, ["series_id", "date"], "full_outer")
+    both = F.when((F.col("_a") == 1) & (F.col("_b") == 1), F.col("date"))
+    return days.groupBy("series_id").agg(F.count("_a").alias("index_days"), F.count("_b").alias("implied_days"), F.count(both).alias("joint_days"), F.min(both).alias("first_day"), F.max(both).alias("last_day"))

@@ -218,4 +218,10 @@ FROM (SELECT *, row_number() OVER (ORDER BY depth, start) AS rank FROM e) WHERE
     "event_windows": f"""{_UNITS}, ev AS (SELECT 'first' AS event, DATE '1996-03-01' AS a, DATE '1996-06-28' AS b UNION ALL SELECT 'second', DATE '1999-09-01', DATE '1999-12-31')
 SELECT event, 'unit' AS strategy, {_TEXT_DATE}, round(sum(x) OVER (PARTITION BY event ORDER BY date), 6) + 0.0::DOUBLE AS cumulative FROM u JOIN ev ON date BETWEEN a AND b""",
     "sharpe_moments": f"{_UNITS}, m AS (SELECT {_MOMENTS} FROM u) SELECT 'unit' AS strategy, n, round(m1 / sd, 6) AS sr, round({_SKEW}, 6) AS g3, round({_KURT}, 6) AS g4 FROM m",
+    "alignment_report": f"WITH {_SERIES}, j AS (SELECT coalesce(g.series_id, v.series_id) AS series_id, g.date AS a, v.date AS b FROM g FULL OUTER JOIN v ON g.series_id = v.series_id AND g.date = v.date) SELECT series_id, count(a) AS index_days, count(b) AS implied_days, count(CASE WHEN a = b THEN 1 END) AS joint_days, CAST(min(CASE WHEN a = b THEN a END) AS VARCHAR) AS first_day, CAST(max(CASE WHEN a = b THEN a END) AS VARCHAR) AS last_day FROM j GROUP BY series_id",
+    "premium_histogram": f"""{_WIDE}, q AS (SELECT quantile_cont(vrp_expost, 0.005) AS lo, quantile_cont(vrp_expost, 0.995) AS hi FROM feat), b AS (SELECT CAST(least(floor((least(greatest(vrp_expost, lo), hi) - lo) / ((hi - lo) / 80)), 79) AS INTEGER) AS bin, lo, (hi - lo) / 80 AS w FROM feat, q WHERE vrp_expost IS NOT NULL)
+SELECT bin, round(any_value(lo) + bin * any_value(w), 6) + 0.0::DOUBLE AS low, round(any_value(lo) + (bin + 1) * any_value(w), 6) + 0.0::DOUBLE AS high, count(*) AS days FROM b GROUP BY bin""",
+    "implied_and_realised": f"{_MARKET} SELECT series_id, {_TEXT_DATE}, round(vix_close, 6) AS vix_close, round(sqrt(target_rv_22) * 100, 6) AS realised_points FROM feat WHERE iv30 IS NOT NULL AND target_rv_22 IS NOT NULL",
+    "forecasts_beside_targets": f"{_PANEL} SELECT 'asset' AS series_id, {_TEXT_DATE}, 22 AS horizon, round(max(CASE WHEN model = 'vix' THEN forecast END), 8) AS vix, round(max(CASE WHEN model = 'random_walk' THEN forecast END), 8) AS random_walk, round(any_value(y), 8) AS y FROM sample GROUP BY date",
+    "equity_curves": f"{_SIM}, nets AS (SELECT strategy, date, gross - CASE WHEN i = 0 THEN w * (SELECT spread FROM scaled z WHERE z.strategy = run.strategy AND z.i = 0) ELSE cost END AS net FROM run) SELECT strategy, 0.5::DOUBLE AS half_spread, {_TEXT_DATE}, round(sum(net) OVER (PARTITION BY strategy ORDER BY date), 6) + 0.0::DOUBLE AS equity FROM nets",
 }

@@ -9,10 +9,12 @@ from tidemark.backtest import strategies as B
 from tidemark.evaluate import scores as S
 from tidemark.evaluate.registry import new_entries
 from tidemark.forecast import baselines, boost, garch, protocol, walkforward
+from tidemark.forecast.panel import forecast_panel
 from tidemark.functions.windows import by_date
 from tidemark.operators import features as X
 from tidemark.operators import quality as Q
 from tidemark.params import WalkForward
+from tidemark.plans import figures
 from tidemark.plans.market import PROTOCOL, asset_bars, asset_features, asset_volatility, series_bars, series_features
 from tidemark.session import cut_lineage, table
 from tidemark.streaming.bars import daily_bars
@@ -304,6 +306,54 @@ def sharpe_moments(s: SparkSession, d: str) -> DataFrame:
     return tidy(B.sharpe_moments(_units(s, d), "unit_pnl"), 6)
 
 
+def alignment_report(s: SparkSession, d: str) -> DataFrame:
+    return tidy(X.alignment_report(series_bars(s, d, "gspc"), series_bars(s, d, "vix")))
+
+
+def score_table(s: SparkSession, d: str) -> DataFrame:
+    features, dev = _dev(s, d)
+    panel = forecast_panel(features, dev, families=("baseline", "har"))
+    return tidy(S.score_table(cut_lineage(protocol.common_sample(panel, protocol.targets(features, (22,))))), 6)
+
+
+def holdout_strategies(s: SparkSession, d: str) -> DataFrame:
+    """The eight strategies over the holdout, from all fifteen models' panel."""
+    features = cut_lineage(asset_features(s, d))
+    rows = protocol.holdout_rows(features, 22, PROTOCOL)
+    panel = cut_lineage(forecast_panel(features, rows, rounds=40))
+    scaled = B.with_scale(B.strategy_weights(features, panel), B.unit_pnl(features), B.Backtest())
+    return tidy(B.performance_table(B.simulate(scaled, s.createDataFrame([(0.5,)], "half_spread double"))), 6)
+
+
+def net_edge(s: SparkSession, d: str) -> DataFrame:
+    return tidy(B.net_edge(cut_lineage(_simulated(s, d, [0.5])), "always_short"), 6)
+
+
+def spread_curve(s: SparkSession, d: str) -> DataFrame:
+    return tidy(figures.spread_curve(_simulated(s, d, [x / 4 for x in range(13)])), 6)
+
+
+def equity_curves(s: SparkSession, d: str) -> DataFrame:
+    return tidy(figures.equity_curves(_simulated(s, d, [0.5])), 6)
+
+
+def premium_histogram(s: SparkSession, d: str) -> DataFrame:
+    return tidy(figures.premium_histogram(series_features(s, d)), 6)
+
+
+def implied_and_realised(s: SparkSession, d: str) -> DataFrame:
+    return tidy(figures.implied_and_realised(asset_features(s, d)), 6)
+
+
+def forecasts_beside_targets(s: SparkSession, d: str) -> DataFrame:
+    return tidy(figures.forecasts_beside_targets(_sample(s, d), ("vix", "random_walk")))
+
+
+def aggregation_ratio(s: SparkSession, d: str) -> DataFrame:
+    features = cut_lineage(asset_features(s, d))
+    return tidy(figures.aggregation_ratio(garch.garch_forecasts(features, protocol.holdout_rows(features, 22, PROTOCOL), ("gjr_n",)), "gjr_n"), 6)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -311,5 +361,6 @@ QUERIES = {
         dv_estimators, yang_zhang, rv_trailing, rv_forward, bipower_jump, features_full, open_synthetic_by_year, vrp_summary_by_period, estimator_table,
         baseline_random_walk, baseline_expanding_mean, baseline_ewma, eval_index, walkforward_uni, walkforward_har, common_sample, loss_scores, oos_r2, newey_west_lrv, dm_stat, dm_p_values, mz_ols, mz_joint,
         model_confidence_set, garch_fit, boosting, boosting_importance, config_registry, weights, unit_pnl, turnover, strategy_sim, breakeven_sweep, perf_summary, deflated_sharpe, perf_unit, drawdown_series, drawdown_top5, event_windows, sharpe_moments,
+        alignment_report, score_table, holdout_strategies, net_edge, spread_curve, equity_curves, premium_histogram, implied_and_realised, forecasts_beside_targets, aggregation_ratio,
     )
 }
