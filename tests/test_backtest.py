@@ -111,3 +111,26 @@ def test_breakeven_and_events(spark):
     events = spark.createDataFrame([("e", dt.date(2020, 1, 2), dt.date(2020, 1, 3))], "event string, first date, last date")
     got = B.event_windows(sims.where("half_spread = 0"), events, "pnl_net").orderBy("date").collect()
     assert [r["cumulative"] for r in got] == [2.0, 5.0]
+
+
+def test_tables_of_simulations(spark):
+    rng = np.random.default_rng(8)
+    rows = [(s, 0.5, dt.date(2020, 1, 1) + dt.timedelta(i), 1.0, float(x), 0.001, float(x) - 0.001, 0.0) for s, shift in (("base", 0.0), ("better", 0.01)) for i, x in enumerate(rng.normal(0.001, 0.005, 200) + shift)]
+    sims = spark.createDataFrame(rows, B.SIMULATION)
+    table = {r["strategy"]: r for r in B.performance_table(sims).collect()}
+    assert table["base"]["ann_cost"] == pytest.approx(0.252) and table["better"]["avg_weight"] == 1.0
+    assert table["better"]["gross_ann_return"] - table["better"]["net_ann_return"] == pytest.approx(0.252)
+    edge = B.net_edge(sims, "base").collect()
+    assert [r["strategy"] for r in edge] == ["better"] and edge[0]["t_stat"] > 5 and edge[0]["p_value"] < 1e-4 and edge[0]["ann_diff"] == pytest.approx(252 * edge[0]["mean_daily_diff"])
+
+
+def test_standard_strategies(spark):
+    df, dates, _, vix = market(spark, 60)
+    df = df.withColumn("rv_cc_trail_22", F.lit(0.05))
+    panel = df.select("series_id", "date", F.inline(F.array(F.struct(F.lit("gjr_n").alias("model"), F.lit(0.03).alias("forecast")), F.struct(F.lit("har_log_iv").alias("model"), F.lit(None).cast("double").alias("forecast")))), F.lit(22).alias("horizon"))
+    rows = B.strategy_weights(df, panel).collect()
+    assert len(rows) == 8 * 60 and {r["rebalance_every"] for r in rows if r["strategy"].endswith("5d")} == {5}
+    by = {(r["strategy"], r["date"]): r["base_w"] for r in rows}
+    for d, v in zip(dates, vix):
+        iv = (v / 100) ** 2
+        assert by[("model_binary", d)] == float(iv > 0.03) and by[("naive_binary", d)] == float(iv > 0.05) and by[("robust_binary", d)] is None and by[("always_short", d)] == 1.0 and by[("model_linear", d)] is None

@@ -125,3 +125,19 @@ def test_each_rule_fires_on_its_own_corruption(spark):
         Q.assert_clean(issues)
     unsorted = clean.withColumn("k", F.when(F.col("date") == d[3], 0).otherwise(F.datediff("date", F.lit(d[0])) + 1))
     assert codes(Q.check_index(unsorted, "k"))["unsorted"][0] == "error"
+
+
+def test_report_and_histogram(spark):
+    from tidemark.plans import figures
+
+    d = days(6)
+    index, implied = bars(spark, *[[100.0] * 5] * 4, dates=d[:5]), bars(spark, *[[20.0] * 3] * 4, dates=[d[1], d[2], d[5]])
+    r = X.alignment_report(index, implied).first()
+    assert (r["index_days"], r["implied_days"], r["joint_days"], r["first_day"], r["last_day"]) == (5, 3, 2, d[1], d[2])
+    x = np.random.default_rng(1).normal(size=500)
+    got = figures.premium_histogram(spark.createDataFrame([(float(v),) for v in x] + [(None,)], "vrp_expost double"), bins=10).orderBy("bin").collect()
+    lo, hi = np.quantile(x, [0.005, 0.995])
+    counts, edges = np.histogram(np.clip(x, lo, hi), bins=10)
+    assert [b["days"] for b in got] == counts.tolist() and [b["low"] for b in got] == pytest.approx(edges[:-1].tolist())
+    same = figures.premium_histogram(spark.createDataFrame([(1.0,)] * 3, "vrp_expost double")).collect()
+    assert [(b["bin"], b["days"]) for b in same] == [(0, 3)]

@@ -109,3 +109,15 @@ def test_stuck_run_needs_five(spark, n):
         rows[i]["open"] = 107.77
     got = {r["row_id"] for r in run(spark, rows).collect() if "stuck" in r["reasons"]}
     assert got == (set(range(7, 11)) if n == 5 else set())
+
+
+def test_a_series_full_of_spikes_hides_none(spark):
+    """Where a fifth of the readings is wrong the fitted tail is wrong too; the cutoff stays below what the rule asks."""
+    rng = random.Random(12)
+    rows = series(rng, 100)
+    for r in rows:
+        r["open"], r["low"], r["close"] = 100 * math.exp(rng.gauss(0, 0.005)), 99 * math.exp(rng.gauss(0, 0.005)), 100.0
+    for i in range(3, 97, 6):
+        rows[i]["open"] *= 1.5
+    got = {(r["row_id"], r["field"]) for r in run(spark, rows).collect()}
+    assert got == brute(rows) and len(got) == 16
