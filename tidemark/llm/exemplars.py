@@ -128,6 +128,7 @@ Please try again in a few minutes
 Too busy right now, come back in minutes
 Too many requests
 Rate limit exceeded
+Rate limit exceeded. Retry after 60 seconds
 Download limit exceeded
 Download limit exceeded. Retry after 60 seconds
 Retry after seconds
@@ -168,6 +169,7 @@ The server is temporarily unable to service your request
 Gateway Timeout
 Gateway Time-out
 504 Gateway Timeout
+504 Gateway Time-out
 Web server is down
 Web server is returning an unknown error
 Connection timed out
@@ -231,6 +233,7 @@ Uncaught exception
 Fatal error
 Fatal error: Uncaught exception in export.php on line
 Fatal error: Uncaught exception
+Fatal error: Uncaught exception in on line
 Warning: fetch_row() got a boolean where a result was due in export.php on line
 Warning: mysql_fetch_array() expects parameter to be resource, boolean given in on line
 Notice: Undefined index in on line
@@ -246,6 +249,9 @@ Apache Server at Port
 Apache server
 nginx
 Request ID
+If the problem persists contact the administrator
+If the problem persists, contact support
+Please contact the administrator
 Invalid request
 Invalid token
 Invalid response

@@ -48,7 +48,8 @@ _SLOT = re.compile(
             r"<(?:your|insert|enter) [^<>\n]{1,60}>",  # <your name here>
             r"\[[A-Z]+_[A-Z_]+\]|<[A-Z]+_[A-Z_]+>|\((?:your|insert) [^()\n]{1,40} here\)",  # [FIRST_NAME]
         )
-    )
+    ),
+    re.ASCII,
 )
 #: Where a slot may begin; led by one set of characters, so a text without slots is passed over quickly.
 _SIGIL = re.compile(
@@ -62,6 +63,7 @@ _STATUS = re.compile(r"(?<![\w.,/])[45]\d\d(?![\w,/]|\.\d)")
 #: Numbers and identifiers; a word with one or two misread letters is none.
 _NUMBER = re.compile(r"\b\d+\b|\b\w*\d\w*\d\w*\d\w*|\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b", re.I)
 _KNOWN_WORDS = 1_000_000
+_LEAST_SHARE = 0.0005
 
 
 def _quoted(text: str, start: int, end: int) -> bool:
@@ -118,15 +120,16 @@ class Index:
                 self.exemplars.append((kind, text, words))
         self.bag = len(self.exemplars)
         self.exemplars.append(("filler", "dummy paragraph", frozenset(folded(LOREM))))
-        rarest = math.log(1 + documents)
-        self.idf = {w: math.log((1 + documents) / (1 + frequency.get(w, 0))) + 0.1 for _, _, words in self.exemplars for w in words}
-        self.idf[_SLOT_WORD] = self.idf[_STATUS_WORD] = rarest + 0.1
-        known = sorted(self.idf.values())
-        #: Words no exemplar has weigh as much as the middle one of those that some has.
-        self.other = known[len(known) // 2]
+        # A share of documents that no corpus, however large, takes a word below: weights are alike at every size.
+        weight = lambda df: -math.log(df / max(documents, 1) * (1 - _LEAST_SHARE) + _LEAST_SHARE) + 0.1
+        #: Words no exemplar has weigh as much as those no document has.
+        self.other = weight(0)
+        self.idf = {w: weight(frequency.get(w, 0)) for _, _, words in self.exemplars for w in words}
+        self.idf[_SLOT_WORD] = self.idf[_STATUS_WORD] = self.other
         self.mass = [sum(self.idf[w] for w in words) for _, _, words in self.exemplars]
-        # Of the dummy paragraph a window can hold no more than a few words.
-        self.mass[self.bag] = min(self.mass[self.bag], 3 * self.other)
+        # Of the dummy paragraph a window holds a few words; any three that talk hardly uses suffice.
+        rare = sorted(self.idf[w] for w in self.exemplars[self.bag][2] if frequency.get(w, 0) <= 0.02 * documents)
+        self.mass[self.bag] = min(self.mass[self.bag], sum(rare[:3]))
         self.words = frozenset(self.idf)
         self.postings: dict[str, list[int]] = {}
         for i, (_, _, words) in enumerate(self.exemplars):
@@ -160,10 +163,12 @@ class Index:
         for w in distinct:
             for i in self.postings.get(w, ()):
                 shared[i] += self.idf[w]
-        whole = sum(self.idf.get(w, self.other) for w in distinct)
+        # A status number counts for the exemplars that have one and not against the others.
+        status = self.idf[_STATUS_WORD] if _STATUS_WORD in distinct else 0.0
+        whole = sum(self.idf.get(w, self.other) for w in distinct) - status
         best = None
         for i, mass in shared.items():
-            part, cover = min(1.0, mass / self.mass[i]), mass / whole
+            part, cover = min(1.0, mass / self.mass[i]), mass / (whole + (status if _STATUS_WORD in self.exemplars[i][2] else 0.0))
             if part >= held - 1e-9 and cover >= accounted - 1e-9 and (best is None or (part * cover, -i) > (best[0] * best[1], -best[2])):
                 best = (part, cover, i)
         return best
