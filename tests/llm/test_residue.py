@@ -1,5 +1,6 @@
 import pytest
 
+from tidemark.llm.exemplars import labelled
 from tidemark.llm.residue import Index, cues, drop_residue, has_slot, residue_matches, window_words
 
 SCHEMA = "doc_id long, text string, kinds string, windows int"
@@ -83,6 +84,20 @@ def test_no_window_that_matches_lacks_an_anchor():
         assert (index.best(frozenset(window), 0.75, 0.72) is not None) == (full and window != {"\x02status"})
 
 
+def test_each_exemplar_alone_in_a_cue_is_found(spark, rows):
+    """The pre-screen of texts and cues loses no exemplar, those known by their status number least of all; a number alone is none."""
+    shown = [t for kind, t in labelled() if len(window_words(t)[0]) and "\n" not in t]
+    alone = [t for t in shown if Index({}, 1000).best(frozenset(window_words(t)[0]), 0.75, 0.72)]
+    alone += ["Error 503", "HTTP 404", "HTTP Error 500", "Error code 410", "502 error", "Status code 500", "410 Gone", "Error_404"]
+    talk = ["The 404.", "A 500", "I said 451, you.", "500", "450, the lot."]
+    cue = TALK.format("old") + "\n\n3\n00:00:05,000 --> 00:00:06,000\n"
+    texts = [cue + t + "\n" for t in alone] + alone + [cue + t + "\n" for t in talk]
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in enumerate(texts)] + [(10_000 + i, t, "x", 0) for i, t, w in rows if not w] + [(20_000 + k, TALK.format("new") + " Gone.", "x", 0) for k in range(4000)], SCHEMA)
+    got = {r["doc_id"] for r in residue_matches(df).collect()}
+    assert [texts[i] for i in range(2 * len(alone)) if i not in got] == []
+    assert [i for i in sorted(got) if i >= 2 * len(alone)] == []
+
+
 def test_parts():
     assert has_slot("a {{b}}") and not has_slot("a {\\an8} [INSERTS COIN] 12:30:11 WOMAN: #3 50% $3")
     assert window_words('He wrote "{{x}}"')[1] is False and window_words("By {{x}}")[1] is True

@@ -60,6 +60,8 @@ _QUOTES = "\"'“”„‟«»‘’‚`´\u0093\u0094\u0091\u0092\u0084"
 _DAMAGED_QUOTE = re.compile(r"(?:â\S{0,6}|Â\S{0,3}|\?|�)$")
 _PLACE = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:example|com|org|net|io|tv)\b\S*|(?:/[\w.-]+){2,}", re.I)
 _STATUS = re.compile(r"(?<![\w.,/])[45]\d\d(?![\w,/]|\.\d)")
+#: What may be a status number once places, tags and underscores are gone; no part of a time.
+_MAY_BE_STATUS = re.compile(r"(?<![^\W_])(?<![.,])[45]\d\d(?![^\W_])")
 #: Numbers and identifiers; a word with one or two misread letters is none.
 _NUMBER = re.compile(r"\b\d+\b|\b\w*\d\w*\d\w*\d\w*|\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b", re.I)
 _KNOWN_WORDS = 1_000_000
@@ -160,10 +162,13 @@ class Index:
         if self.anchors.isdisjoint(distinct) or distinct == {_STATUS_WORD}:
             return None
         shared: Counter[int] = Counter()
-        for w in distinct:
+        for w in distinct - {_STATUS_WORD}:
             for i in self.postings.get(w, ()):
                 shared[i] += self.idf[w]
-        # A status number counts for the exemplars that have one and not against the others.
+        # A status number counts for the exemplars that have one and another word with the window, not against the others.
+        if _STATUS_WORD in distinct:
+            for i in shared.keys() & self.postings[_STATUS_WORD]:
+                shared[i] += self.idf[_STATUS_WORD]
         status = self.idf[_STATUS_WORD] if _STATUS_WORD in distinct else 0.0
         whole = sum(self.idf.get(w, self.other) for w in distinct) - status
         best = None
@@ -251,13 +256,13 @@ def residue_matches(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
         for batch in batches:
             out = []
             for doc, t in zip(batch["doc_id"], batch["text"]):
-                if not t or not (seen.of(t) or has_slot(t)):
+                if not t or not (_MAY_BE_STATUS.search(t) or seen.of(t) or has_slot(t)):
                     continue
                 matches = 0
                 kinds: set[str] = set()
                 first: tuple[str, str] | None = None
                 for lines in cues(t, known.words):
-                    if not any(map(seen.of, lines)) and not has_slot(" ".join(lines)):
+                    if not any(_MAY_BE_STATUS.search(line) or seen.of(line) for line in lines) and not has_slot(" ".join(lines)):
                         continue
                     for window, (_, _, i) in known.matches(lines, held, accounted):
                         kind, label, _ = known.exemplars[i]
