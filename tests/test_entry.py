@@ -32,6 +32,19 @@ def test_queries_agree_with_their_sql(spark, name):
     assert normal([tuple(r) for r in df.collect()], df.columns) == normal(cursor.fetchall(), columns)
 
 
+def test_the_whole_calendar_is_joined(spark):
+    """As ``calendar_joint``'s SQL, from the start of the sample: earlier bars are there."""
+    module, con = entry_module(), duckdb.connect()
+    for table in ("gspc", "vix"):
+        con.execute(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
+    cursor = con.execute(module.oracle_sql()["calendar_joint"].replace("2000-01-03", "1990-01-02"))
+    columns, want = [c[0] for c in cursor.description], cursor.fetchall()
+    df = module.queries()["calendar_joint_whole"](spark, FOLDER)
+    rows = [tuple(r) for r in df.collect()]
+    assert min(r[df.columns.index("date")] for r in rows) < "2000-01-03"
+    assert normal(rows, df.columns) == normal(want, columns)
+
+
 def test_every_sql_has_a_query_and_each_problem_its_found_query():
     module = entry_module()
     assert set(module.oracle_sql()) <= set(module.queries())

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 TRADING_DAYS = 252
 HORIZONS = (1, 5, 22)
 SEED = 1990
+SAMPLE_START = "1990-01-02"
 LOG_FLOOR = 1e-5
 FORECAST_FLOOR = 1e-4
 TARGET_FLOOR = 1e-6

@@ -13,7 +13,7 @@ from tidemark.forecast.panel import forecast_panel
 from tidemark.functions.windows import by_date
 from tidemark.operators import features as X
 from tidemark.operators import quality as Q
-from tidemark.params import WalkForward
+from tidemark.params import SAMPLE_START, WalkForward
 from tidemark.plans import figures
 from tidemark.plans.market import PROTOCOL, asset_bars, asset_features, asset_volatility, series_bars, series_features
 from tidemark.session import cut_lineage, table
@@ -51,6 +51,12 @@ def calendar_joint(s: SparkSession, d: str) -> DataFrame:
     return tidy(joint.select("series_id", "date", "spx_close", "vix_close"))
 
 
+def calendar_joint_whole(s: SparkSession, d: str) -> DataFrame:
+    """The join from the first day of the sample on; ``calendar_joint`` holds the days from the evaluation start, as its SQL."""
+    joint = X.joint_calendar(series_bars(s, d, "gspc"), series_bars(s, d, "vix"), start=SAMPLE_START)
+    return tidy(joint.select("series_id", "date", "spx_close", "vix_close"))
+
+
 def calendar_dropped(s: SparkSession, d: str) -> DataFrame:
     return X.dropped_days(series_bars(s, d, "gspc"), series_bars(s, d, "vix"))
 
@@ -357,7 +363,7 @@ def aggregation_ratio(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bars_daily, iv_daily, events_bars, series_bars_first, calendar_joint, calendar_dropped, crosscheck, quality_index, quality_ohlc, quality_ohlc_shares, quality_close, quality_variance,
+        bars_daily, iv_daily, events_bars, series_bars_first, calendar_joint, calendar_joint_whole, calendar_dropped, crosscheck, quality_index, quality_ohlc, quality_ohlc_shares, quality_close, quality_variance,
         dv_estimators, yang_zhang, rv_trailing, rv_forward, bipower_jump, features_full, open_synthetic_by_year, vrp_summary_by_period, estimator_table,
         baseline_random_walk, baseline_expanding_mean, baseline_ewma, eval_index, walkforward_uni, walkforward_har, common_sample, loss_scores, oos_r2, newey_west_lrv, dm_stat, dm_p_values, mz_ols, mz_joint,
         model_confidence_set, garch_fit, boosting, boosting_importance, config_registry, weights, unit_pnl, turnover, strategy_sim, breakeven_sweep, perf_summary, deflated_sharpe, perf_unit, drawdown_series, drawdown_top5, event_windows, sharpe_moments,
