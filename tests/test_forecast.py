@@ -1,3 +1,5 @@
+import inspect
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,6 +9,7 @@ from tidemark.evaluate import scores as S
 from tidemark.evaluate.registry import log_configs, total_configs
 from tidemark.forecast import baselines, boost, garch, protocol, walkforward
 from tidemark.params import Protocol, WalkForward
+from tidemark.plans import reference_queries
 
 PROTOCOL = Protocol("2001-12-03", "2002-05-31")
 NAMES = ["dv_cc", "rv_cc_trail_1", "rv_cc_trail_5", "rv_cc_trail_22", "target_rv_22"]
@@ -165,6 +168,24 @@ def test_boosting_learns_and_respects_its_limits():
     assert model.predict(x[:5]).tolist() == boost.Boosting(rounds=120).fit(x[:600], y[:600]).predict(x[:5]).tolist()
 
 
+def test_registered_boosting_runs_the_default_rounds(spark, monkeypatch):
+    used = []
+    for name in ("boosting_forecasts", "feature_importance"):
+        real = getattr(boost, name)
+        monkeypatch.setattr(boost, name, lambda *a, _real=real, **k: used.append(inspect.signature(_real).bind(*a, **k)) or spark.range(0).select(F.lit("s").alias("series_id"), F.current_date().alias("date"), F.lit(22).alias("horizon"), F.lit("boosting").alias("model"), F.lit(0.0).alias("forecast")))
+    monkeypatch.setattr(reference_queries, "cut_lineage", lambda df: df)
+    for name in ("boosting", "boosting_importance", "holdout_strategies"):
+        reference_queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(used) >= 3 and all(b.arguments.get("rounds", 300) == 300 for b in used) and boost.Boosting().rounds == 300
+
+
+def test_one_row_is_predicted_as_many_are():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 4))
+    model = boost.Boosting(rounds=20).fit(x, x[:, 0] + rng.normal(size=600))
+    assert [model.predict(x[i : i + 1])[0] for i in range(40)] == model.predict(x[:40]).tolist()
+
+
 def test_registry_counts_each_configuration_once(spark, tmp_path):
     path = str(tmp_path / "log")
     entry = spark.createDataFrame([("2", "har", 22, "{}", "dev")] * 2 + [("2", "har", 5, "{}", "dev")], "phase string, model string, horizon int, params string, eval_window string")

@@ -44,20 +44,18 @@ class Boosting:
         return self
 
     def _best(self, codes: np.ndarray, g: np.ndarray, rows: np.ndarray, used: np.ndarray) -> tuple | None:
-        best, total, n = None, g[rows].sum(), len(rows)
+        total, n = g[rows].sum(), len(rows)
         if n < 2 * self.least:
             return None
-        for j in used:
-            c = codes[rows, j]
-            count = np.cumsum(np.bincount(c, minlength=self.bins))[:-1]
-            left = np.cumsum(np.bincount(c, weights=g[rows], minlength=self.bins))[:-1]
-            ok = (count >= self.least) & (n - count >= self.least)
-            if ok.any():
-                gain = np.where(ok, left**2 / np.maximum(count, 1) + (total - left) ** 2 / np.maximum(n - count, 1) - total**2 / n, -np.inf)
-                i = int(gain.argmax())
-                if gain[i] > 1e-12 and (best is None or gain[i] > best[0]):
-                    best = (float(gain[i]), int(j), i)
-        return best
+        # All columns in one count; bins are summed in the order of the rows, as one column at a time would.
+        flat = (codes[rows][:, used] + np.arange(len(used)) * self.bins).ravel()
+        shape = len(used), self.bins
+        count = np.cumsum(np.bincount(flat, minlength=shape[0] * shape[1]).reshape(shape), 1)[:, :-1]
+        left = np.cumsum(np.bincount(flat, weights=np.repeat(g[rows], len(used)), minlength=shape[0] * shape[1]).reshape(shape), 1)[:, :-1]
+        ok = (count >= self.least) & (n - count >= self.least)
+        gain = np.where(ok, left**2 / np.maximum(count, 1) + (total - left) ** 2 / np.maximum(n - count, 1) - total**2 / n, -np.inf)
+        k, i = divmod(int(gain.argmax()), self.bins - 1)
+        return (float(gain[k, i]), int(used[k]), i) if gain[k, i] > 1e-12 else None
 
     def _grow(self, codes: np.ndarray, g: np.ndarray, rows: np.ndarray, used: np.ndarray) -> list[tuple]:
         """Nodes (column, bin, left, right) or (None, value)."""
@@ -94,6 +92,14 @@ class Boosting:
     def predict(self, x: np.ndarray) -> np.ndarray:
         codes = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(self.edges)], 1)
         out = np.full(len(x), self.base)
+        if len(x) == 1:
+            row = codes[0].tolist()
+            for tree in self.trees:
+                node = tree[0]
+                while node[0] is not None:
+                    node = tree[node[2] if row[node[0]] <= node[1] else node[3]]
+                out += self.rate * node[1]
+            return out
         for tree in self.trees:
             out += self.rate * self._leaf(tree, codes)
         return out

@@ -224,11 +224,11 @@ def garch_fit(s: SparkSession, d: str) -> DataFrame:
 
 def boosting(s: SparkSession, d: str) -> DataFrame:
     features = asset_features(s, d)
-    return tidy(boost.boosting_forecasts(features, protocol.holdout_rows(features, 22, PROTOCOL), rounds=100))
+    return tidy(boost.boosting_forecasts(features, protocol.holdout_rows(features, 22, PROTOCOL)))
 
 
 def boosting_importance(s: SparkSession, d: str) -> DataFrame:
-    return tidy(boost.feature_importance(asset_features(s, d), 22, PROTOCOL.dev_end, rounds=100), 4)
+    return tidy(boost.feature_importance(asset_features(s, d), 22, PROTOCOL.dev_end), 4)
 
 
 def config_registry(s: SparkSession, d: str) -> DataFrame:
@@ -326,7 +326,7 @@ def holdout_strategies(s: SparkSession, d: str) -> DataFrame:
     """The eight strategies over the holdout, from all fifteen models' panel."""
     features = cut_lineage(asset_features(s, d))
     rows = protocol.holdout_rows(features, 22, PROTOCOL)
-    panel = cut_lineage(forecast_panel(features, rows, rounds=40))
+    panel = cut_lineage(forecast_panel(features, rows))
     scaled = B.with_scale(B.strategy_weights(features, panel), B.unit_pnl(features), B.Backtest())
     return tidy(B.performance_table(B.simulate(scaled, s.createDataFrame([(0.5,)], "half_spread double"))), 6)
 
