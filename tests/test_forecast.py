@@ -186,6 +186,24 @@ def test_one_row_is_predicted_as_many_are():
     assert [model.predict(x[i : i + 1])[0] for i in range(40)] == model.predict(x[:40]).tolist()
 
 
+def test_holdout_strategies_are_carried_over_from_development(spark, monkeypatch):
+    """Weights and simulation run over both parts; only then are the rows cut to the holdout."""
+    d = frame(900)
+    d["vix_close"], d["target_rv_1"], d["target_rv_5"] = 20.0, None, None
+    features, split = load(spark, d), Protocol("2001-12-03", "2003-06-30")
+    made = lambda f, rows, **k: rows.select("series_id", "date", F.lit(22).alias("horizon"), F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(0.03).alias("forecast")) for m in ("gjr_n", "har_log_iv")])))
+    seen, real = [], reference_queries.B.simulate
+    monkeypatch.setattr(reference_queries, "asset_features", lambda s, folder: features)
+    monkeypatch.setattr(reference_queries, "PROTOCOL", split)
+    monkeypatch.setattr(reference_queries, "forecast_panel", made)
+    monkeypatch.setattr(reference_queries.B, "simulate", lambda scaled, *a: seen.append(scaled) or real(scaled, *a))
+    got = {r["strategy"]: r for r in reference_queries.holdout_strategies(spark, "").collect()}
+    scaled = seen[0].where(F.col("strategy") == "model_linear")
+    first = scaled.where(F.col("date") > split.dev_end).orderBy("date").first()
+    assert scaled.where(F.col("date") <= split.dev_end).count() > 300 and first["base_w"] == 1.0 and first["scale"] is not None
+    assert len(got) == 8 and got["model_linear"]["avg_weight"] == got["always_short"]["avg_weight"] > 0
+
+
 def test_registry_counts_each_configuration_once(spark, tmp_path):
     path = str(tmp_path / "log")
     entry = spark.createDataFrame([("2", "har", 22, "{}", "dev")] * 2 + [("2", "har", 5, "{}", "dev")], "phase string, model string, horizon int, params string, eval_window string")

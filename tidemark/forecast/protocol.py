@@ -35,6 +35,11 @@ def holdout_rows(features: DataFrame, horizon: int, protocol: Protocol) -> DataF
     return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("series_id").orderBy("date")) - 1)
 
 
+def after_dev(df: DataFrame, protocol: Protocol) -> DataFrame:
+    """The rows of the holdout."""
+    return df.where(F.col("date") > F.lit(protocol.dev_end).cast("date"))
+
+
 def holdout_guard(rows: DataFrame, protocol: Protocol) -> None:
     last = rows.agg(F.max("date").cast("string").alias("d")).first()["d"]
     if last is not None and last > protocol.dev_end:

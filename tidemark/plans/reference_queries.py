@@ -323,12 +323,13 @@ def score_table(s: SparkSession, d: str) -> DataFrame:
 
 
 def holdout_strategies(s: SparkSession, d: str) -> DataFrame:
-    """The eight strategies over the holdout, from all fifteen models' panel."""
+    """The eight strategies over the holdout, from all fifteen models' panel; weights and positions come from the development period on."""
     features = cut_lineage(asset_features(s, d))
-    rows = protocol.holdout_rows(features, 22, PROTOCOL)
-    panel = cut_lineage(forecast_panel(features, rows))
+    parts = [protocol.dev_rows(features, 22, PROTOCOL), protocol.holdout_rows(features, 22, PROTOCOL)]
+    panel = cut_lineage(baselines.union([forecast_panel(features, rows) for rows in parts]))
     scaled = B.with_scale(B.strategy_weights(features, panel), B.unit_pnl(features), B.Backtest())
-    return tidy(B.performance_table(B.simulate(scaled, s.createDataFrame([(0.5,)], "half_spread double"))), 6)
+    simulated = B.simulate(scaled, s.createDataFrame([(0.5,)], "half_spread double"))
+    return tidy(B.performance_table(protocol.after_dev(simulated, PROTOCOL)), 6)
 
 
 def net_edge(s: SparkSession, d: str) -> DataFrame:
