@@ -204,6 +204,31 @@ def test_holdout_strategies_are_carried_over_from_development(spark, monkeypatch
     assert len(got) == 8 and got["model_linear"]["avg_weight"] == got["always_short"]["avg_weight"] > 0
 
 
+def test_dev_panel_holds_every_model_at_its_horizons(spark, monkeypatch):
+    d = frame(900)
+    d["jump_22"] = d["jump_5"] = d["target_rv_1"] = d["target_rv_5"] = 0.01
+    for c in ("bv_trail_5", "bv_trail_22", "rv_pk_trail_5", "rv_pk_trail_22"):
+        d[c] = d["rv_cc_trail_5"]
+    d["ret_cc"] = np.sqrt(d["dv_cc"])
+    features, split = load(spark, d), Protocol("2003-06-02", "2003-12-31")
+    flat = lambda f, rows, model, horizons: rows.select("series_id", "date", F.explode(F.array(*[F.lit(h) for h in horizons])).alias("horizon"), F.lit(model).alias("model"), F.lit(0.03).alias("forecast"))
+    monkeypatch.setattr(boost, "boosting_forecasts", lambda f, rows, *a: flat(f, rows, "boosting", (22,)))
+    monkeypatch.setattr(garch, "garch_forecasts", lambda f, rows, horizons, **k: baselines.union([flat(f, rows, m, horizons) for m in garch.GARCH_SPECS]))
+    monkeypatch.setattr(reference_queries, "asset_features", lambda s, folder: features)
+    monkeypatch.setattr(reference_queries, "PROTOCOL", split)
+    have = {}
+    for r in reference_queries._dev_panel(spark, "").select("horizon", "model", "date").collect():
+        have.setdefault((r["horizon"], r["model"]), set()).add(r["date"])
+    assert {h: len({m for k, m in have if k == h}) for h in (1, 5, 22)} == {1: 14, 5: 14, 22: 15}
+    assert len({frozenset(x) for x in have.values()}) == 1  # the rows of 22 days, on which GARCH is fitted
+    lossed = []
+    monkeypatch.setattr(reference_queries, "_dev_panel", lambda s, folder: lossed.append(1) or features)
+    for name in ("score_table", "model_confidence_set", "dm_p_values", "mz_joint"):
+        with pytest.raises(Exception):
+            reference_queries.QUERIES[name](spark, "")
+    assert len(lossed) == 4
+
+
 def test_registry_counts_each_configuration_once(spark, tmp_path):
     path = str(tmp_path / "log")
     entry = spark.createDataFrame([("2", "har", 22, "{}", "dev")] * 2 + [("2", "har", 5, "{}", "dev")], "phase string, model string, horizon int, params string, eval_window string")

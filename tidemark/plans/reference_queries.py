@@ -13,7 +13,7 @@ from tidemark.forecast.panel import forecast_panel
 from tidemark.functions.windows import by_date
 from tidemark.operators import features as X
 from tidemark.operators import quality as Q
-from tidemark.params import SAMPLE_START, WalkForward
+from tidemark.params import HORIZONS, SAMPLE_START, WalkForward
 from tidemark.plans import figures
 from tidemark.plans.market import PROTOCOL, asset_bars, asset_features, asset_volatility, series_bars, series_features
 from tidemark.session import cut_lineage, table
@@ -168,7 +168,7 @@ def _har(s: SparkSession, d: str, names: tuple[str, ...], horizons: tuple[int, .
 
 
 def walkforward_har(s: SparkSession, d: str) -> DataFrame:
-    return tidy(_har(s, d, tuple(walkforward.HAR_SPECS)))
+    return tidy(_har(s, d, tuple(walkforward.HAR_SPECS), HORIZONS))
 
 
 def _panel(features: DataFrame, dev: DataFrame) -> DataFrame:
@@ -181,6 +181,18 @@ def _sample(s: SparkSession, d: str) -> DataFrame:
     return cut_lineage(protocol.common_sample(_panel(features, dev), protocol.targets(features, (22,))))
 
 
+def _dev_panel(s: SparkSession, d: str) -> DataFrame:
+    """Common sample of every model at every horizon it has over the development period, written once: fifteen at 22 days, those but boosting at 1 and 5.
+
+    GARCH is fitted once, on the rows of 22 days, for all horizons.
+    """
+    features = cut_lineage(asset_features(s, d))
+    rows = {h: protocol.dev_rows(features, h, PROTOCOL) for h in HORIZONS}
+    parts = [forecast_panel(features, rows[h], h, ("baseline", "har", "boosting") if h == 22 else ("baseline", "har")) for h in HORIZONS]
+    parts.append(garch.garch_forecasts(features, rows[22], horizons=HORIZONS).select("series_id", "date", "horizon", "model", "forecast"))
+    return cut_lineage(protocol.common_sample(baselines.union(parts), protocol.targets(features)))
+
+
 def common_sample(s: SparkSession, d: str) -> DataFrame:
     return tidy(_sample(s, d))
 
@@ -202,7 +214,7 @@ def dm_stat(s: SparkSession, d: str) -> DataFrame:
 
 
 def dm_p_values(s: SparkSession, d: str) -> DataFrame:
-    return tidy(S.diebold_mariano(S.losses(_sample(s, d)), "qlike", "random_walk"), 6)
+    return tidy(S.diebold_mariano(S.losses(_dev_panel(s, d)), "qlike", "random_walk"), 6)
 
 
 def mz_ols(s: SparkSession, d: str) -> DataFrame:
@@ -210,21 +222,25 @@ def mz_ols(s: SparkSession, d: str) -> DataFrame:
 
 
 def mz_joint(s: SparkSession, d: str) -> DataFrame:
-    return tidy(S.mincer_zarnowitz(_sample(s, d)), 6)
+    return tidy(S.mincer_zarnowitz(_dev_panel(s, d)), 6)
 
 
 def model_confidence_set(s: SparkSession, d: str) -> DataFrame:
-    return tidy(S.confidence_set(S.losses(_sample(s, d))), 4)
+    return tidy(S.confidence_set(S.losses(_dev_panel(s, d))), 4)
+
+
+def _both_parts(features: DataFrame) -> list[DataFrame]:
+    return [protocol.dev_rows(features, 22, PROTOCOL), protocol.holdout_rows(features, 22, PROTOCOL)]
 
 
 def garch_fit(s: SparkSession, d: str) -> DataFrame:
-    features = asset_features(s, d)
-    return tidy(garch.garch_forecasts(features, protocol.holdout_rows(features, 22, PROTOCOL), min_train=1250))
+    features = cut_lineage(asset_features(s, d))
+    return tidy(baselines.union([garch.garch_forecasts(features, rows, min_train=1250) for rows in _both_parts(features)]))
 
 
 def boosting(s: SparkSession, d: str) -> DataFrame:
-    features = asset_features(s, d)
-    return tidy(boost.boosting_forecasts(features, protocol.holdout_rows(features, 22, PROTOCOL)))
+    features = cut_lineage(asset_features(s, d))
+    return tidy(baselines.union([boost.boosting_forecasts(features, rows) for rows in _both_parts(features)]))
 
 
 def boosting_importance(s: SparkSession, d: str) -> DataFrame:
@@ -317,16 +333,13 @@ def alignment_report(s: SparkSession, d: str) -> DataFrame:
 
 
 def score_table(s: SparkSession, d: str) -> DataFrame:
-    features, dev = _dev(s, d)
-    panel = forecast_panel(features, dev, families=("baseline", "har"))
-    return tidy(S.score_table(cut_lineage(protocol.common_sample(panel, protocol.targets(features, (22,))))), 6)
+    return tidy(S.score_table(_dev_panel(s, d)), 6)
 
 
 def holdout_strategies(s: SparkSession, d: str) -> DataFrame:
     """The eight strategies over the holdout, from all fifteen models' panel; weights and positions come from the development period on."""
     features = cut_lineage(asset_features(s, d))
-    parts = [protocol.dev_rows(features, 22, PROTOCOL), protocol.holdout_rows(features, 22, PROTOCOL)]
-    panel = cut_lineage(baselines.union([forecast_panel(features, rows) for rows in parts]))
+    panel = cut_lineage(baselines.union([forecast_panel(features, rows) for rows in _both_parts(features)]))
     scaled = B.with_scale(B.strategy_weights(features, panel), B.unit_pnl(features), B.Backtest())
     simulated = B.simulate(scaled, s.createDataFrame([(0.5,)], "half_spread double"))
     return tidy(B.performance_table(protocol.after_dev(simulated, PROTOCOL)), 6)
