@@ -98,6 +98,16 @@ def test_each_exemplar_alone_in_a_cue_is_found(spark, rows):
     assert [i for i in sorted(got) if i >= 2 * len(alone)] == []
 
 
+def test_messages_cut_over_cues(spark, rows):
+    """A message may run on in the next cue; talk beside it, or cut the same way, is none."""
+    cut = [("This site requires cookies", "and scripts to work properly"), ("You do not have permission", "to view this subtitle."), ("The upstream server sent", "no answer in 64 seconds."), ("Please enable", "JavaScript to view", "this page.")]
+    talk = [("I got a 404", "on that page again, Rek."), ("Are you a robot,", "Rek?"), ("They teach JavaScript", "at the school now."), ("The server is down.", "The waiter, I mean.")]
+    spread = lambda parts: TALK.format("old") + "".join(f"\n\n{k + 3}\n00:00:{k + 10},000 --> 00:00:{k + 11},000\n{p}" for k, p in enumerate(parts)) + "\n\n9\n00:00:30,000 --> 00:00:31,000\nWe used to dance here.\n"
+    df = spark.createDataFrame([(i, spread(p), "x", 0) for i, p in enumerate([*cut, *talk])] + [(100 + i, t, "x", 0) for i, t, w in rows if not w], SCHEMA)
+    got = {r["doc_id"]: r["windows"] for r in residue_matches(df).collect()}
+    assert got == {i: 1 for i in range(len(cut))}
+
+
 def test_parts():
     assert has_slot("a {{b}}") and not has_slot("a {\\an8} [INSERTS COIN] 12:30:11 WOMAN: #3 50% $3")
     assert window_words('He wrote "{{x}}"')[1] is False and window_words("By {{x}}")[1] is True

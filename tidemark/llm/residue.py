@@ -1,7 +1,7 @@
 """Template residue, filler, error pages and script notices standing in the place of content.
 
 Labelled exemplars are kept in an inverted index from word to exemplar. Passage windows of a
-document (lines and up to three neighbouring lines of a cue) retrieve the exemplars they share words with and
+document (lines, up to three neighbouring lines of a cue, up to five over neighbouring cues) retrieve the exemplars they share words with and
 are scored by TF-IDF containment both ways: how much of the exemplar the window holds, and how
 much of the window the exemplar accounts for. Talk about such things shares words with an exemplar,
 but most of its own words are not accounted for. A slot that was never filled becomes a
@@ -178,6 +178,22 @@ class Index:
                 best = (part, cover, i)
         return best
 
+    def across(self, before: list[str], lines: list[str], held: float, accounted: float, most: int = 5) -> Iterator[tuple[str, tuple[float, float, int]]]:
+        """Windows of up to ``most`` lines that begin in ``before``, the lines ahead of a cue, and end in it; of nested ones only the shortest."""
+        tail, head = before[-(most - 1) :], lines[: most - 1]
+        both = tail + head
+        own = [frozenset(window_words(line)[0]) - {_SLOT_WORD} for line in both]
+        alone = [self.best(words, held, accounted) is not None for words in own]
+        useful = [not self.anchors.isdisjoint(words) for words in own]
+        found: list[tuple[int, int]] = []
+        for n in range(2, most + 1):
+            for i in range(max(0, len(tail) - n + 1), min(len(tail), len(both) - n + 1)):
+                if any(useful[i : i + n]) and not any(alone[i : i + n]) and not any(i <= a and b <= i + n for a, b in found):
+                    match = self.best(own[i].union(*own[i + 1 : i + n]), held, accounted)
+                    if match:
+                        found.append((i, i + n))
+                        yield "\n".join(both[i : i + n]), match
+
     def matches(self, lines: list[str], held: float, accounted: float, most: int = 3) -> Iterator[tuple[str, tuple[float, float, int]]]:
         """Windows of up to ``most`` neighbouring lines of a cue that match, with their match."""
         if has_slot(" ".join(lines)):
@@ -261,10 +277,18 @@ def residue_matches(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
                 matches = 0
                 kinds: set[str] = set()
                 first: tuple[str, str] | None = None
+                # The lines ahead of a cue, as many as a window over cues may take; whether an anchor may be among them.
+                before: list[tuple[str, bool]] = []
                 for lines in cues(t, known.words):
-                    if not any(_MAY_BE_STATUS.search(line) or seen.of(line) for line in lines) and not has_slot(" ".join(lines)):
-                        continue
-                    for window, (_, _, i) in known.matches(lines, held, accounted):
+                    useful = [bool(_MAY_BE_STATUS.search(line) or seen.of(line)) for line in lines]
+                    found: list[tuple[str, tuple[float, float, int]]] = []
+                    if any(useful) or has_slot(" ".join(lines)):
+                        found += known.matches(lines, held, accounted)
+                    if before and not found and (any(useful[:4]) or any(u for _, u in before)):
+                        found += known.across([line for line, _ in before], lines, held, accounted)
+                    # What matched is no part of another message.
+                    before = [] if found else [*before, *zip(lines, useful)][-4:]
+                    for window, (_, _, i) in found:
                         kind, label, _ = known.exemplars[i]
                         matches += 1
                         kinds.add(kind)
