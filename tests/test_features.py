@@ -10,6 +10,7 @@ from tidemark.functions import windows as V
 from tidemark.functions.nullsafe import clip
 from tidemark.operators import features as X
 from tidemark.operators import quality as Q
+from tidemark.plans import reference_queries
 
 
 def days(n, start="2019-01-01"):
@@ -141,3 +142,9 @@ def test_report_and_histogram(spark):
     assert [b["days"] for b in got] == counts.tolist() and [b["low"] for b in got] == pytest.approx(edges[:-1].tolist())
     same = figures.premium_histogram(spark.createDataFrame([(1.0,)] * 3, "vrp_expost double")).collect()
     assert [(b["bin"], b["days"]) for b in same] == [(0, 3)]
+
+
+def test_every_variance_column_is_checked(spark, monkeypatch):
+    spoiled = spark.createDataFrame([("s", dt.date(2020, 1, 1), -1.0, -1.0, -1.0, -1.0)], "series_id string, date date, dv_cc double, dv_parkinson double, dv_garman_klass double, dv_rogers_satchell double")
+    monkeypatch.setattr(reference_queries, "table", lambda s, d, name: spoiled)
+    assert {r["code"] for r in reference_queries.quality_variance(spark, "").collect()} == {f"negative_dv_{k}" for k in ("cc", "parkinson", "garman_klass", "rogers_satchell")}

@@ -88,7 +88,8 @@ def quality_close(s: SparkSession, d: str) -> DataFrame:
 
 
 def quality_variance(s: SparkSession, d: str) -> DataFrame:
-    return Q.check_variance(table(s, d, "features").select("series_id", "date", "dv_parkinson"), ("dv_parkinson",)).withColumn("examples", F.concat_ws(",", "examples"))
+    columns = ("dv_cc", "dv_parkinson", "dv_garman_klass", "dv_rogers_satchell")
+    return Q.check_variance(table(s, d, "features").select("series_id", "date", *columns), columns).withColumn("examples", F.concat_ws(",", "examples"))
 
 
 # Features
