@@ -15,14 +15,17 @@ PROTOCOL = Protocol("2001-12-03", "2002-05-31")
 NAMES = ["dv_cc", "rv_cc_trail_1", "rv_cc_trail_5", "rv_cc_trail_22", "target_rv_22"]
 
 
-def frame(n=400, seed=5):
-    rng = np.random.default_rng(seed)
-    dv = pd.Series(rng.uniform(1e-5, 5e-4, n))
-    d = pd.DataFrame({"series_id": "s", "date": [x.date() for x in pd.bdate_range("2001-01-01", periods=n)], "dv_cc": dv})
+def frame(days=400, series="s", start="2001-01-02", speed=0.2):
+    """A series whose variance wanders around its level by the golden-ratio sequence, with its trailing and forward averages."""
+    turn = np.modf(np.arange(1, days + 1) * 0.6180339887498949)[0]
+    dv = 2e-4 * np.exp(0.8 * np.sin(np.arange(days) * speed / np.pi) + turn - 0.5)
+    total = np.r_[0.0, np.cumsum(dv)]
+    d = pd.DataFrame({"series_id": series, "date": [x.date() for x in pd.bdate_range(start, periods=days)], "dv_cc": dv, "iv30": 0.04})
     for h in (1, 5, 22):
-        d[f"rv_cc_trail_{h}"] = dv.rolling(h).sum() * 252 / h
-    d["target_rv_22"] = dv.rolling(22).sum().shift(-22) * 252 / 22
-    d["iv30"] = 0.04
+        mean = np.r_[np.full(h - 1, np.nan), (total[h:] - total[:-h]) * 252 / h]
+        d[f"rv_cc_trail_{h}"] = mean
+        if h == 22:
+            d["target_rv_22"] = np.r_[mean[h:], np.full(h, np.nan)]
     return d
 
 
@@ -32,43 +35,98 @@ def load(spark, d):
     return spark.createDataFrame(rows, "series_id string, date date, " + ", ".join(f"{c} double" for c in names))
 
 
-def reference(d, columns, positions, spec):
-    x, y = d[columns].to_numpy(), d.target_rv_22.to_numpy()
-    out, beta = [], None
-    for i, p in enumerate(positions):
-        if i % spec.refit_every == 0:
-            ok = [k for k in range(p - spec.horizon + 1) if not np.isnan(x[k]).any() and not np.isnan(y[k])]
-            if len(ok) >= spec.min_train:
-                beta = np.linalg.lstsq(np.column_stack([np.ones(len(ok)), x[ok]]), y[ok], rcond=None)[0]
-        out.append(None if beta is None else beta[0] + x[p] @ beta[1:])
+def expected(d, columns, first, last, spec, log=False):
+    """Every evaluation row between two places on its own: normal equations over the rows its block may know."""
+    table = d[[*columns, "target_rv_22"]].to_numpy()
+    table = np.log(np.maximum(table, 1e-5)) if log else table
+    out = {}
+    for p in range(first, last + 1):
+        refit = first + (p - first) // spec.refit_every * spec.refit_every
+        known = table[: max(0, refit - spec.horizon + 1)]
+        known = known[~np.isnan(known).any(1)]
+        if len(known) < spec.min_train or np.isnan(table[p, :-1]).any():
+            out[d.date[p]] = None
+            continue
+        a = np.c_[np.ones(len(known)), known[:, :-1]]
+        beta = np.linalg.solve(a.T @ a, a.T @ known[:, -1])
+        value = np.r_[1.0, table[p, :-1]] @ beta
+        out[d.date[p]] = np.exp(value) * np.exp(known[:, -1] - a @ beta).mean() if log else value
     return out
 
 
-def test_walk_forward_regressions_match_a_plain_loop(spark):
-    d, spec = frame(), WalkForward(22, 5, 100)
+def at_places(df, d, first, last):
+    """Evaluation rows of the days at those places."""
+    days = {x: i for i, x in enumerate(d.date[first : last + 1])}
+    rows = df.sparkSession.createDataFrame([(d.series_id[0], x, i) for x, i in days.items()], "series_id string, date date, ordinal int")
+    return rows
+
+
+def close_to(got, want):
+    assert set(got) == set(want)
+    for day, value in want.items():
+        assert (got[day] is None) == (value is None) and (value is None or got[day] == pytest.approx(value, rel=1e-6))
+
+
+@pytest.mark.parametrize("name, columns", [("har", [1, 5, 22]), ("har_log", [1, 5, 22]), ("har_iv", None)])
+def test_regressions_match_one_solved_for_each_row(spark, name, columns):
+    d, spec = frame(), WalkForward(22, 7, 120)
+    d["iv30"] = d.rv_cc_trail_5.fillna(0.03) * 0.9 + 0.01 * np.cos(np.arange(len(d)))
+    d.loc[260, "rv_cc_trail_5"] = np.nan
     df = load(spark, d)
-    rows = protocol.dev_rows(df, 22, PROTOCOL)
-    positions = [r["pos"] for r in rows.orderBy("date").collect()]
-    assert positions[-1] == d.index[d.date <= pd.Timestamp(PROTOCOL.dev_end).date()][-1] - 22
-    har = walkforward.walkforward_ols(df, rows, walkforward.HAR_SPECS["har"], spec).orderBy("date").toPandas().forecast
-    want = reference(d, ["rv_cc_trail_1", "rv_cc_trail_5", "rv_cc_trail_22"], positions, spec)
-    assert np.allclose(har.astype(float), np.array(want, float), rtol=1e-8)
-    single = walkforward.walkforward_single(df, rows, "rv_cc_trail_5", spec).orderBy("date").toPandas().forecast
-    assert np.allclose(single.astype(float), np.array(reference(d, ["rv_cc_trail_5"], positions, spec), float), rtol=1e-7)
-
-
-@pytest.mark.parametrize("offset, changes", [(0, False), (-21, False), (-22, True)])
-def test_information_barrier(spark, offset, changes):
-    """Rows whose targets are not complete at the refit are not trained on; the first complete one is."""
-    d, spec, p = frame(), WalkForward(22, 1000, 100), 300
-    poisoned = d.copy()
-    poisoned.loc[p + offset : p - 1 if offset else p, "target_rv_22"] = 99.0
-    out = []
-    for x in (d, poisoned):
-        df = load(spark, x)
-        rows = df.where(F.col("date") == d.date[p]).select("series_id", "date", F.lit(0).alias("ordinal"))
-        out.append(walkforward.walkforward_ols(df, rows, walkforward.HAR_SPECS["har"], spec).first()["forecast"])
-    assert (out[0] != out[1]) == changes
+    names = [f"rv_cc_trail_{n}" for n in (1, 5, 22)] + ([] if columns else ["iv30"])
+    out = walkforward.walkforward_ols(df, at_places(df, d, 150, 340), walkforward.HAR_SPECS[name], spec)
+    got = {r["date"]: r["forecast"] for r in out.collect()}
+    want = expected(d, names, 150, 340, spec, "log" in name)
+    close_to(got, want)
+    assert sum(v is None for v in want.values()) > 10 and out.count() == 191
+
+
+def test_single_regressor_stays_in_the_engine(spark):
+    d, spec = frame(), WalkForward(22, 7, 120)
+    df = load(spark, d)
+    got = {r["date"]: r["forecast"] for r in walkforward.walkforward_single(df, at_places(df, d, 150, 340), "rv_cc_trail_5", spec).collect()}
+    close_to(got, expected(d, ["rv_cc_trail_5"], 150, 340, spec))
+
+
+def test_dev_rows_end_a_horizon_before_the_development_period_does(spark):
+    d = frame()
+    places = [r["pos"] for r in protocol.dev_rows(load(spark, d), 22, PROTOCOL).orderBy("date").collect()]
+    assert places[-1] == sum(x <= pd.Timestamp(PROTOCOL.dev_end).date() for x in d.date) - 1 - 22
+
+
+def test_a_block_knows_the_targets_complete_at_its_first_row_and_no_other(spark):
+    class Largest:
+        """Forecasts the largest target it was shown: any row beyond the barrier would show."""
+
+        def fit(self, x, y):
+            self.most = y.max()
+
+        def predict(self, x):
+            return np.full(len(x), self.most)
+
+    d, spec = frame(), WalkForward(22, 10, 50)
+    d["target_rv_22"] = np.arange(len(d), dtype=float)
+    two = pd.concat([d, d.assign(series_id="t", target_rv_22=-d.target_rv_22)], ignore_index=True)
+    df = load(spark, two)
+    rows = at_places(df, d, 200, 245)
+    rows = rows.unionByName(rows.withColumn("series_id", F.lit("t")))
+    design = walkforward.har_design(df, walkforward.HAR_SPECS["har"], 22)
+    for stripes in (1, 4):
+        out = walkforward.walkforward_model(design, rows, "largest", Largest, spec, stripes=stripes).collect()
+        place = {x: i for i, x in enumerate(d.date)}
+        assert len(out) == 92
+        for r in out:
+            first = 200 + (place[r["date"]] - 200) // 10 * 10
+            assert r["forecast"] == (first - 22 if r["series_id"] == "s" else -21)
+
+
+def test_evaluation_rows_the_features_lack_are_refused(spark):
+    d = frame()
+    df = load(spark, d)
+    rows = at_places(df, d, 200, 230)
+    for call in (lambda: walkforward.walkforward_ols(df.where(F.col("date") != d.date[210]), rows, walkforward.HAR_SPECS["har"], WalkForward()), lambda: walkforward.walkforward_single(df.where(F.col("date") != d.date[210]), rows, "rv_cc_trail_5", WalkForward())):
+        with pytest.raises(Exception, match="features lack"):
+            call().collect()
 
 
 def test_logs_stay_positive_and_specs_are_checked(spark):

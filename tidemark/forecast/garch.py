@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.params import HORIZONS, SEED
+from tidemark.session import spread_groups
 from tidemark.sources.files import read_or_empty
 
 RESULT = "series_id string, block int, date date, horizon int, model string, forecast double"
@@ -189,7 +190,7 @@ def garch_forecasts(features: DataFrame, rows: DataFrame, specs: tuple[str, ...]
                     out += [(pdf["series_id"].iloc[pos], number, pdf["date"].iloc[pos], h, spec.name, float(ahead[:h].sum() * 252 / h / 1e4)) for h in horizons]
         return pd.DataFrame(out, columns=["series_id", "block", "date", "horizon", "model", "forecast"])
 
-    return keyed.groupBy("series_id", "model").applyInPandas(run, RESULT)
+    return spread_groups(keyed, "series_id", "model").groupBy("series_id", "model").applyInPandas(run, RESULT)
 
 
 def ensure_cached(spark: SparkSession, path: str, features: DataFrame, rows: DataFrame, specs: tuple[str, ...] = tuple(GARCH_SPECS), **options) -> DataFrame:

@@ -1,7 +1,7 @@
 """Walk-forward regression and models behind an information barrier.
 
-A row at position p may be trained on rows up to p - h only, whose targets are complete at p. Each
-series (bounded by its calendar) is one task; specs and series run in parallel.
+A row at position p may be trained on rows up to p - h only, whose targets are complete at p. Blocks of
+evaluation rows between refits are independent of each other; specs, series and stripes of blocks run in parallel.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.windows import by_date
 from tidemark.params import LOG_FLOOR, WalkForward
+from tidemark.session import spread_groups
 
 RESULT = "series_id string, date date, horizon int, model string, forecast double"
 
@@ -80,35 +81,58 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array([[np.nan if v is None else v for v in row] for row in column], float)
 
 
-def walkforward_model(design: DataFrame, rows: DataFrame, model: str, factory: Callable[[], FitPredict], spec: WalkForward, log: bool = False) -> DataFrame:
+def _of_block(x: np.ndarray, y: np.ndarray, known: np.ndarray, asked: np.ndarray, factory: Callable[[], FitPredict], log: bool) -> np.ndarray:
+    """Forecasts at the rows ``asked`` by one fit to the rows ``known``."""
+    machine = factory()
+    machine.fit(x[known], y[known])
+    ahead = np.asarray(machine.predict(x[asked]), float)
+    if not log:
+        return ahead
+    # Back from logarithms without bias: times the mean of what the fit leaves, exponentiated.
+    return np.exp(ahead) * np.exp(y[known] - np.asarray(machine.predict(x[known]), float)).mean()
+
+
+def _blocks_of(rows: DataFrame, design: DataFrame, refit_every: int) -> DataFrame:
+    """The design with the block of consecutive evaluation rows each row is in, null for rows that are not evaluated.
+
+    An evaluation row the design lacks is an error, raised when the plan runs.
+    """
+    wanted = rows.select(F.col("series_id").alias("_s"), F.col("date").alias("_d"), F.floor(F.col("ordinal") / refit_every).cast("long").alias("_b"))
+    both = design.withColumn("_known", F.lit(True)).join(wanted, F.col("series_id").eqNullSafe(F.col("_s")) & (F.col("date") == F.col("_d")), "full")
+    block = F.when(F.col("_known").isNull(), F.raise_error(F.lit("evaluation dates that the features lack")).cast("long")).otherwise(F.col("_b"))
+    return both.select(*design.columns, block.alias("_block"))
+
+
+def walkforward_model(design: DataFrame, rows: DataFrame, model: str, factory: Callable[[], FitPredict], spec: WalkForward, log: bool = False, stripes: int = 4) -> DataFrame:
     """Forecasts of ``y`` at the evaluation rows (``series_id, date, ordinal``) by any fit/predict model.
 
-    Refit at every ``refit_every``-th evaluation row on the complete training rows; with fewer than
-    ``min_train`` the earlier fit stays. Forecasts of logarithms are transformed back with the mean of
-    exp(residual). A row with a missing input, or before the first fit, has a null forecast.
+    Every ``refit_every`` evaluation rows form a block. A block is forecast by one fit to the complete rows
+    whose targets end at its first row; with fewer than ``min_train`` of them, as for a row with a missing
+    input, the forecast is null. Forecasts of logarithms are transformed back with the mean of exp(residual).
+    Evaluation rows that the design lacks raise.
+
+    As training rows only grow from block to block, no block needs the fit of another: the blocks of a series
+    are dealt to ``stripes`` tasks, each of which holds the series once (its days are bounded by the calendar).
     """
-    joined = design.join(rows.select("series_id", "date", "ordinal"), ["series_id", "date"], "left")
+    striped = _blocks_of(rows, design, spec.refit_every).withColumn("_stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
+    striped = striped.withColumn("_block", F.when(F.pmod("_block", F.lit(stripes)) == F.col("_stripe"), F.col("_block")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date", kind="stable").reset_index(drop=True)
-        x, y, ordinal = _matrix(pdf["x"]), pdf["y"].to_numpy(float), pdf["ordinal"].to_numpy(float)
-        usable = ~(np.isnan(x).any(axis=1) | np.isnan(y))
-        fitted, smear, out = None, 1.0, {}
-        for pos in np.flatnonzero(~np.isnan(ordinal)):
-            if int(ordinal[pos]) % spec.refit_every == 0:
-                train = np.flatnonzero(usable[: max(0, pos - spec.horizon + 1)])
-                if len(train) >= max(1, spec.min_train):
-                    fitted = factory()
-                    fitted.fit(x[train], y[train])
-                    smear = float(np.exp(y[train] - fitted.predict(x[train])).mean()) if log else 1.0
-            value = None
-            if fitted is not None and not np.isnan(x[pos]).any():
-                value = float(fitted.predict(x[pos : pos + 1])[0])
-                value = float(np.exp(value) * smear) if log else value
-            out[pos] = value
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[list(out)], "date": pdf["date"].iloc[list(out)], "horizon": spec.horizon, "model": model, "forecast": pd.array(list(out.values()), dtype="Float64")})
-
-    return joined.groupBy("series_id").applyInPandas(run, RESULT)
+        pdf = pdf.sort_values("date", kind="stable")
+        x, y, block = _matrix(pdf["x"]), pdf["y"].to_numpy(float), pdf["_block"].to_numpy(float)
+        filled = ~np.isnan(x).any(axis=1)
+        complete = np.flatnonzero(filled & ~np.isnan(y))
+        evaluated = np.flatnonzero(~np.isnan(block))
+        ahead = np.full(len(pdf), np.nan)
+        for members in np.split(evaluated, np.flatnonzero(np.diff(block[evaluated])) + 1) if len(evaluated) else []:
+            known, asked = complete[complete <= members[0] - spec.horizon], members[filled[members]]
+            if len(known) >= max(1, spec.min_train) and len(asked):
+                ahead[asked] = _of_block(x, y, known, asked, factory, log)
+        out = pdf.iloc[evaluated]
+        values = [None if np.isnan(v) else float(v) for v in ahead[evaluated]]
+        return pd.DataFrame({"series_id": out["series_id"], "date": out["date"], "horizon": spec.horizon, "model": model, "forecast": pd.array(values, dtype="Float64")})
+
+    return spread_groups(striped, "series_id", "_stripe").groupBy("series_id", "_stripe").applyInPandas(run, RESULT)
 
 
 def walkforward_ols(features: DataFrame, rows: DataFrame, har: HarSpec, spec: WalkForward) -> DataFrame:
@@ -122,7 +146,9 @@ def walkforward_single(features: DataFrame, rows: DataFrame, regressor: str, spe
     both = F.col(regressor).isNotNull() & F.col(target).isNotNull()
     x, y = F.when(both, F.col(regressor)), F.when(both, F.col(target))
     df = features.select("series_id", "date", F.col(regressor).alias("_x"), F.count(x).over(train).alias("_n"), F.avg(x).over(train).alias("_mx"), F.avg(y).over(train).alias("_my"), F.covar_pop(y, x).over(train).alias("_cov"), F.var_pop(x).over(train).alias("_var"))
-    df = df.join(rows.select("series_id", "date", "ordinal"), ["series_id", "date"])
+    wanted = rows.select(F.col("series_id").alias("_s"), F.col("date").alias("_d"), "ordinal")
+    df = wanted.join(df, F.col("series_id").eqNullSafe(F.col("_s")) & (F.col("date") == F.col("_d")), "left")
+    df = df.withColumn("ordinal", F.when(F.col("date").isNull(), F.raise_error(F.lit("evaluation dates that the features lack")).cast("long")).otherwise(F.col("ordinal")))
     refit = (F.col("ordinal") % spec.refit_every == 0) & (F.col("_n") >= spec.min_train)
     slope = F.col("_cov") / F.nullif("_var", F.lit(0.0))
     fit = F.last(F.when(refit, F.struct(slope.alias("b"), (F.col("_my") - slope * F.col("_mx")).alias("a"))), ignorenulls=True).over(by_date().rowsBetween(Window.unboundedPreceding, 0))

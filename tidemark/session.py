@@ -41,6 +41,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread_groups(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` hashed by ``keys`` into as many partitions as there are tasks at a time, or more.
+
+    Groups that cost much CPU for few bytes would otherwise be merged into one task by size.
+    """
+    context = df.sparkSession.sparkContext
+    wanted = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * context.defaultParallelism)
+    return df.repartition(wanted, *keys)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table ``name`` of a folder of parquet tables."""
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
