@@ -21,9 +21,9 @@ def market(spark, n=120, shock=None):
 
 
 def run(spark, df, weights, p=B.Backtest(), every=1, spread=0.5):
-    table = spark.createDataFrame([("x", d, w, every) for d, w in weights], "strategy string, date date, base_w double, rebalance_every int")
+    table = spark.createDataFrame([("s", "x", d, w, every) for d, w in weights], "series_id string, strategy string, date date, base_w double, rebalance_every int")
     scaled = B.with_scale(table, B.unit_pnl(df), p)
-    return B.simulate(scaled, spark.createDataFrame([(spread,)], "half_spread double"), p).orderBy("date").toPandas()
+    return B.simulate(scaled, [spread], p).orderBy("date").toPandas()
 
 
 def test_costs_and_turnover(spark):
@@ -80,7 +80,7 @@ def test_metrics_and_drawdowns(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(0.001, 0.006, 1000)
     dates = [d.date() for d in pd.bdate_range("2015-01-01", periods=1000)]
-    pnl = spark.createDataFrame([("a", d, float(v)) for d, v in zip(dates, x)], "strategy string, date date, p double")
+    pnl = spark.createDataFrame([("s", "a", d, float(v)) for d, v in zip(dates, x)], "series_id string, strategy string, date date, p double")
     r = B.performance(pnl, "p").first()
     equity = np.cumsum(x)
     dd = equity - np.maximum.accumulate(equity)
@@ -92,7 +92,7 @@ def test_metrics_and_drawdowns(spark):
     if e[0]["end"]:
         i, j = dates.index(e[0]["start"]), dates.index(e[0]["end"])
         assert e[0]["days"] == j - i + 1 and dd[j] == 0 and (dd[i:j] < 0).all()
-    small = spark.createDataFrame([("a", dates[i], v) for i, v in enumerate((-1.0, 2.0, -0.5, -0.25))], "strategy string, date date, p double")
+    small = spark.createDataFrame([("s", "a", dates[i], v) for i, v in enumerate((-1.0, 2.0, -0.5, -0.25))], "series_id string, strategy string, date date, p double")
     only = B.drawdown_episodes(small, "p").collect()
     assert [(r["start"], r["trough"], r["end"], r["depth"], r["days"]) for r in only] == [(dates[2], dates[3], None, -0.75, 2)]
 
@@ -100,22 +100,22 @@ def test_metrics_and_drawdowns(spark):
 def test_deflated_sharpe_falls_with_trials(spark):
     a, b = B.deflated(1000, 0.05, -0.5, 5.0, 2), B.deflated(1000, 0.05, -0.5, 5.0, 200)
     assert a[0] == b[0] and a[1] > b[1] and a[2] < b[2]
-    pnl = spark.createDataFrame([("a", dt.date(2020, 1, 1) + dt.timedelta(i), 0.001 * ((i * 7) % 5 - 1.5)) for i in range(200)], "strategy string, date date, p double")
+    pnl = spark.createDataFrame([("s", "a", dt.date(2020, 1, 1) + dt.timedelta(i), 0.001 * ((i * 7) % 5 - 1.5)) for i in range(200)], "series_id string, strategy string, date date, p double")
     assert 0 <= B.deflated_sharpe(pnl, "p", 10).first()["dsr"] <= 1
 
 
 def test_breakeven_and_events(spark):
-    rows = [("a", s, dt.date(2020, 1, 1 + i), (1.0 - s) * (i + 1)) for s in (0.0, 0.5, 1.0, 1.5) for i in range(5)]
-    sims = spark.createDataFrame(rows, "strategy string, half_spread double, date date, pnl_net double")
+    rows = [("s", "a", s, dt.date(2020, 1, 1 + i), (1.0 - s) * (i + 1)) for s in (0.0, 0.5, 1.0, 1.5) for i in range(5)]
+    sims = spark.createDataFrame(rows, "series_id string, strategy string, half_spread double, date date, pnl_net double")
     assert B.breakeven(sims).first()["breakeven"] in (1.0, 1.5)
-    events = spark.createDataFrame([("e", dt.date(2020, 1, 2), dt.date(2020, 1, 3))], "event string, first date, last date")
+    events = [("e", "2020-01-02", "2020-01-03"), ("none", "2019-01-01", "2019-01-02")]
     got = B.event_windows(sims.where("half_spread = 0"), events, "pnl_net").orderBy("date").collect()
     assert [r["cumulative"] for r in got] == [2.0, 5.0]
 
 
 def test_tables_of_simulations(spark):
     rng = np.random.default_rng(8)
-    rows = [(s, 0.5, dt.date(2020, 1, 1) + dt.timedelta(i), 1.0, float(x), 0.001, float(x) - 0.001, 0.0) for s, shift in (("base", 0.0), ("better", 0.01)) for i, x in enumerate(rng.normal(0.001, 0.005, 200) + shift)]
+    rows = [("x", s, 0.5, dt.date(2020, 1, 1) + dt.timedelta(i), 1.0, float(x), 0.001, float(x) - 0.001, 0.0) for s, shift in (("base", 0.0), ("better", 0.01)) for i, x in enumerate(rng.normal(0.001, 0.005, 200) + shift)]
     sims = spark.createDataFrame(rows, B.SIMULATION)
     table = {r["strategy"]: r for r in B.performance_table(sims).collect()}
     assert table["base"]["ann_cost"] == pytest.approx(0.252) and table["better"]["avg_weight"] == 1.0
@@ -134,3 +134,21 @@ def test_standard_strategies(spark):
     for d, v in zip(dates, vix):
         iv = (v / 100) ** 2
         assert by[("model_binary", d)] == float(iv > 0.03) and by[("naive_binary", d)] == float(iv > 0.05) and by[("robust_binary", d)] is None and by[("always_short", d)] == 1.0 and by[("model_linear", d)] is None
+
+
+def test_two_series_give_what_each_gives_alone(spark):
+    """Weights, scale, simulation and every figure know only their own series."""
+    one, *_ = market(spark, 90)
+    other = one.withColumns({"series_id": F.lit("t"), "dv_cc": F.col("dv_cc") * 3, "vix_close": F.col("vix_close") + 5}).withColumn("iv30", F.pow(F.col("vix_close") / 100, 2))
+
+    def all_of(df):
+        table = df.select("series_id", "date", F.inline(F.array(*[F.struct(F.lit(n).alias("strategy"), F.lit(w).alias("base_w"), F.lit(k).alias("rebalance_every")) for n, w, k in (("a", 1.0, 1), ("b", 0.5, 5))])))
+        sims = B.simulate(B.with_scale(table, B.unit_pnl(df), B.Backtest()), [0.25, 0.5]).cache()
+        key = lambda r: tuple(str(x) for x in r[:4])
+        parts = (sims, B.performance_table(sims), B.breakeven(sims), B.net_edge(sims.where("half_spread = 0.5"), "a", 5), B.drawdown_episodes(sims.where("half_spread = 0.5"), "pnl_net"))
+        return [sorted((tuple(r) for r in p.collect()), key=key) for p in parts]
+
+    both, alone, second = all_of(one.unionByName(other)), all_of(one), all_of(other)
+    for k in range(5):
+        assert [repr(r) for r in both[k]] == [repr(r) for r in sorted(alone[k] + second[k], key=lambda r: tuple(str(x) for x in r[:4]))]
+    assert len(both[0]) == 90 * 2 * 2 * 2

@@ -191,8 +191,15 @@ def test_losses_and_tests(spark):
     assert mz["good"]["wald"] == pytest.approx(t @ np.linalg.inv(bread @ meat @ bread) @ t, rel=1e-6)
     sets = {r["model"]: (r["in_90"], r["p_value"]) for r in S.confidence_set(lossed, "se", 200).collect()}
     assert sets["good"] == (True, 1.0) and not sets["bad"][0]
-    few = S.diebold_mariano(lossed.where(F.col("date") < "2001-03-01"), "se", "good").first()
-    assert few["stat"] is None
+    short = lossed.where(F.col("date") < "2001-03-01")
+    assert S.diebold_mariano(short, "se", "good", short="null").first()["stat"] is None
+    with pytest.raises(Exception, match="too few"):
+        S.diebold_mariano(short, "se", "good").collect()
+    two = lossed.unionByName(lossed.withColumns({"series_id": F.lit("t"), "se": F.col("se") + F.when(F.col("model") == "bad", 5.0).otherwise(0.0)}))
+    for call in (lambda x: S.long_run_variance(x, "se", S.KEYS, 22), lambda x: S.diebold_mariano(x, "se", "good"), lambda x: S.mincer_zarnowitz(x)):
+        single = {r["model"]: r for r in call(lossed).collect()}
+        for r in call(two).where("series_id = 's'").collect():
+            assert [x if isinstance(x, str) else round(x, 12) for x in r] == [x if isinstance(x, str) else round(x, 12) for x in single[r["model"]]]
 
 
 def test_garch_recovers_persistence_and_cache_resumes(spark, tmp_path):

@@ -1,11 +1,13 @@
 """Signals, costs, the path-dependent simulation and its metrics.
 
-Tables are long: weights ``(strategy, date, base_w)``, simulations ``(strategy, half_spread, date, w, ...)``.
+Tables are long: weights ``(series_id, strategy, date, base_w)``, simulations ``(series_id, strategy, half_spread, date, w, ...)``.
+Every series is a market of its own.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,8 +18,10 @@ from tidemark.functions.normal import STANDARD
 from tidemark.functions.nullsafe import clip, ratio
 from tidemark.functions.windows import by_date
 from tidemark.params import Backtest
+from tidemark.session import spread_groups
 
-SIMULATION = "strategy string, half_spread double, date date, w double, pnl_gross double, cost double, pnl_net double, unit_pnl double"
+KEYS = ("series_id", "strategy")
+SIMULATION = "series_id string, strategy string, half_spread double, date date, w double, pnl_gross double, cost double, pnl_net double, unit_pnl double"
 
 
 def vrp_signal(implied: Column, forecast: Column) -> Column:
@@ -59,20 +63,20 @@ def unit_pnl(features: DataFrame) -> DataFrame:
 
 def with_scale(weights: DataFrame, units: DataFrame, p: Backtest) -> DataFrame:
     """Weights with unit P&L, vix and volatility scale; the volatility window starts with the strategy's own dates."""
-    df = weights.join(units.select("date", "unit_pnl", "vix_close"), "date", "left")
-    recent = Window.partitionBy("strategy").orderBy("date").rowsBetween(-(p.vol_lookback - 1), 0)
+    df = weights.join(units.select("series_id", "date", "unit_pnl", "vix_close"), ["series_id", "date"], "left")
+    recent = Window.partitionBy(*KEYS).orderBy("date").rowsBetween(-(p.vol_lookback - 1), 0)
     vol = F.when(F.count("unit_pnl").over(recent) >= 30, F.stddev_samp("unit_pnl").over(recent) * math.sqrt(252))
     # A volatility of zero would be an unbounded scale: the cap.
     return df.withColumn("scale", F.when(vol == 0, F.lit(p.cap)).otherwise(clip(ratio(F.lit(p.vol_target), vol), high=p.cap)))
 
 
-def simulate(scaled: DataFrame, spreads: DataFrame, p: Backtest = Backtest()) -> DataFrame:
-    """Daily simulation of every strategy at every half spread (``half_spread``, a short table of parameters).
+def simulate(scaled: DataFrame, spreads: Sequence[float], p: Backtest = Backtest()) -> DataFrame:
+    """Daily simulation of every strategy at every half spread (parameters, so rows are multiplied by their number without a join).
 
-    Weight, month-to-date result and stop depend on the day before, so each (strategy, spread) is a fold
-    over its days in one task; all pairs run in parallel.
+    Weight, month-to-date result and stop depend on the day before, so each (series, strategy, spread) is a
+    fold over its days in one task; all run in parallel.
     """
-    table = scaled.join(F.broadcast(spreads.select("half_spread").distinct()))
+    table = scaled.withColumn("half_spread", F.explode(F.array(*[F.lit(float(x)) for x in dict.fromkeys(spreads)])))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date", kind="stable")
@@ -96,19 +100,20 @@ def simulate(scaled: DataFrame, spreads: DataFrame, p: Backtest = Backtest()) ->
                 cost[i] = (held / p.roll_days + abs(goal - held)) * spread[i]
             result -= cost[i]
             w[i] = held = goal
-        return pd.DataFrame({"strategy": pdf["strategy"], "half_spread": pdf["half_spread"], "date": pdf["date"], "w": w, "pnl_gross": gross, "cost": cost, "pnl_net": gross - cost, "unit_pnl": unit})
+        return pd.DataFrame({"series_id": pdf["series_id"], "strategy": pdf["strategy"], "half_spread": pdf["half_spread"], "date": pdf["date"], "w": w, "pnl_gross": gross, "cost": cost, "pnl_net": gross - cost, "unit_pnl": unit})
 
-    return table.groupBy("strategy", "half_spread").applyInPandas(run, SIMULATION)
+    keys = (*KEYS, "half_spread")
+    return spread_groups(table, *keys).groupBy(*keys).applyInPandas(run, SIMULATION)
 
 
-def drawdowns(pnl: DataFrame, value: str, keys: tuple[str, ...] = ("strategy",)) -> DataFrame:
+def drawdowns(pnl: DataFrame, value: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """``keys, date, equity, drawdown``; the peak starts with the first equity, so a first loss is none."""
     so_far = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     df = pnl.where(F.col(value).isNotNull()).select(*keys, "date", F.sum(value).over(so_far).alias("equity"))
     return df.withColumn("drawdown", F.col("equity") - F.max("equity").over(so_far))
 
 
-def drawdown_episodes(pnl: DataFrame, value: str, keys: tuple[str, ...] = ("strategy",), top: int = 5) -> DataFrame:
+def drawdown_episodes(pnl: DataFrame, value: str, keys: tuple[str, ...] = KEYS, top: int = 5) -> DataFrame:
     """The ``top`` deepest islands below the peak by group: start, trough, end (null while open; the day of recovery), depth, days (it included)."""
     w = Window.partitionBy(*keys).orderBy("date")
     d = drawdowns(pnl, value, keys).withColumn("_under", F.col("drawdown") < 0)
@@ -119,7 +124,7 @@ def drawdown_episodes(pnl: DataFrame, value: str, keys: tuple[str, ...] = ("stra
     return e.withColumn("rank", rank).where(F.col("rank") <= top).select(*keys, "rank", "start", "trough", "end", "depth", "days")
 
 
-def performance(pnl: DataFrame, value: str, keys: tuple[str, ...] = ("strategy",)) -> DataFrame:
+def performance(pnl: DataFrame, value: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """ann_return, ann_vol, sharpe, max_dd, skew, kurtosis, var and cvar at 95 and 99 %, hit_rate by group."""
     x = F.col(value)
     d = pnl.where(x.isNotNull())
@@ -134,19 +139,20 @@ def performance(pnl: DataFrame, value: str, keys: tuple[str, ...] = ("strategy",
 
 
 def breakeven(simulations: DataFrame) -> DataFrame:
-    """By strategy the first spread of the grid at which the net Sharpe ratio is not positive, null if none."""
-    by = simulations.groupBy("strategy", "half_spread").agg((F.avg("pnl_net") / F.nullif(F.stddev_samp("pnl_net"), F.lit(0.0)) * math.sqrt(252)).alias("sharpe"))
-    return by.groupBy("strategy").agg(F.min(F.when(F.col("sharpe") <= 0, F.col("half_spread"))).alias("breakeven"))
+    """By series and strategy the first spread of the grid at which the net Sharpe ratio is not positive, null if none."""
+    by = simulations.groupBy(*KEYS, "half_spread").agg((F.avg("pnl_net") / F.nullif(F.stddev_samp("pnl_net"), F.lit(0.0)) * math.sqrt(252)).alias("sharpe"))
+    return by.groupBy(*KEYS).agg(F.min(F.when(F.col("sharpe") <= 0, F.col("half_spread"))).alias("breakeven"))
 
 
-def event_windows(pnl: DataFrame, events: DataFrame, value: str) -> DataFrame:
-    """Running result inside each closed event window (``event, first, last``, a short table)."""
-    d = pnl.join(F.broadcast(events), F.col("date").between(F.col("first"), F.col("last")))
-    so_far = Window.partitionBy("event", "strategy").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return d.select("event", "strategy", "date", F.sum(F.coalesce(value, F.lit(0.0))).over(so_far).alias("cumulative"))
+def event_windows(pnl: DataFrame, events: Sequence[tuple[str, str, str]], value: str) -> DataFrame:
+    """Running result inside each closed event window ``(event, first day, last day)``; windows are parameters, so no join is needed."""
+    windows = [F.when(F.col("date").between(F.to_date(F.lit(first)), F.to_date(F.lit(last))), F.lit(name)) for name, first, last in events]
+    d = pnl.withColumn("event", F.explode(F.array_compact(F.array(*windows))))
+    so_far = Window.partitionBy("event", *KEYS).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return d.select("event", *KEYS, "date", F.sum(F.coalesce(value, F.lit(0.0))).over(so_far).alias("cumulative"))
 
 
-def sharpe_moments(pnl: DataFrame, value: str, keys: tuple[str, ...] = ("strategy",)) -> DataFrame:
+def sharpe_moments(pnl: DataFrame, value: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
     x = F.col(value)
     return pnl.where(x.isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.avg(x) / F.nullif(F.stddev_samp(x), F.lit(0.0))).alias("sr"), F.skewness(x).alias("g3"), (F.kurtosis(x) + 3).alias("g4"))
 
@@ -161,7 +167,7 @@ def deflated(n: int, sr: float, g3: float, g4: float, trials: int) -> tuple[floa
     return sr * math.sqrt(252), STANDARD.cdf((sr - best) * math.sqrt(n - 1) / math.sqrt(shape)), best * math.sqrt(252)
 
 
-def deflated_sharpe(pnl: DataFrame, value: str, trials: int, keys: tuple[str, ...] = ("strategy",)) -> DataFrame:
+def deflated_sharpe(pnl: DataFrame, value: str, trials: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """``keys, sharpe_ann, dsr, benchmark_ann, trials``."""
     moments = sharpe_moments(pnl, value, keys)
 
@@ -174,7 +180,7 @@ def deflated_sharpe(pnl: DataFrame, value: str, trials: int, keys: tuple[str, ..
 
 
 def strategy_weights(features: DataFrame, panel: DataFrame, physical: str = "gjr_n", robust: str = "har_log_iv") -> DataFrame:
-    """``date, strategy, base_w, rebalance_every`` of the eight standard strategies over the panel's dates: always short, and
+    """``series_id, date, strategy, base_w, rebalance_every`` of the eight standard strategies over the panel's dates: always short, and
     short by the premium over the trailing variance, a physical model or a robust one, some of them traded weekly."""
     wide = panel.groupBy("series_id", "date").agg(*[F.max(F.when(F.col("model") == m, F.col("forecast"))).alias(k) for k, m in (("_p", physical), ("_r", robust))])
     df = wide.join(features.select("series_id", "date", "iv30", "rv_cc_trail_22"), ["series_id", "date"])
@@ -182,12 +188,12 @@ def strategy_weights(features: DataFrame, panel: DataFrame, physical: str = "gjr
     df = linear_weights(df, "s_model", "linear")
     flat, model = always(F.col("s_model")), binary(F.col("s_model"))
     cells = [("always_short", flat, 1), ("always_short_5d", flat, 5), ("naive_binary", binary(F.col("s_naive")), 1), ("model_binary", model, 1), ("model_binary_5d", model, 5), ("model_linear", F.col("linear"), 1), ("model_linear_5d", F.col("linear"), 5), ("robust_binary", binary(F.col("s_robust")), 1)]
-    return df.select("date", F.inline(F.array(*[F.struct(F.lit(n).alias("strategy"), w.alias("base_w"), F.lit(k).alias("rebalance_every")) for n, w, k in cells])))
+    return df.select("series_id", "date", F.inline(F.array(*[F.struct(F.lit(n).alias("strategy"), w.alias("base_w"), F.lit(k).alias("rebalance_every")) for n, w, k in cells])))
 
 
 def performance_table(simulations: DataFrame) -> DataFrame:
-    """Gross and net figures, average weight and yearly cost by strategy and spread."""
-    keys = ("strategy", "half_spread")
+    """Gross and net figures, average weight and yearly cost by series, strategy and spread."""
+    keys = (*KEYS, "half_spread")
     gross = performance(simulations, "pnl_gross", keys).select(*keys, F.col("ann_return").alias("gross_ann_return"), F.col("sharpe").alias("gross_sharpe"))
     net = performance(simulations, "pnl_net", keys).select(*keys, F.col("ann_return").alias("net_ann_return"), F.col("sharpe").alias("net_sharpe"), F.col("max_dd").alias("net_max_dd"), F.col("skew").alias("net_skew"), F.col("cvar99").alias("net_cvar99"))
     use = simulations.groupBy(*keys).agg(F.avg("w").alias("avg_weight"), (F.avg("cost") * 252).alias("ann_cost"))
@@ -195,9 +201,9 @@ def performance_table(simulations: DataFrame) -> DataFrame:
 
 
 def net_edge(simulations: DataFrame, bench: str, lag: int = 22) -> DataFrame:
-    """Each strategy's daily net result less that of ``bench``: ``strategy, n, mean_daily_diff, ann_diff, t_stat, p_value``, robust to autocorrelation."""
+    """Each strategy's daily net result less that of ``bench``: ``series_id, strategy, n, mean_daily_diff, ann_diff, t_stat, p_value``, robust to autocorrelation."""
     from tidemark.evaluate.scores import diebold_mariano
 
-    rows = simulations.select(F.lit("").alias("series_id"), "date", F.lit(0).alias("horizon"), F.col("strategy").alias("model"), F.col("pnl_net"))
+    rows = simulations.select("series_id", "date", F.lit(0).alias("horizon"), F.col("strategy").alias("model"), F.col("pnl_net"))
     out = diebold_mariano(rows, "pnl_net", bench, lag)
-    return out.select(F.col("model").alias("strategy"), "n", F.col("mean_diff").alias("mean_daily_diff"), (F.col("mean_diff") * 252).alias("ann_diff"), F.col("stat").alias("t_stat"), "p_value")
+    return out.select("series_id", F.col("model").alias("strategy"), "n", F.col("mean_diff").alias("mean_daily_diff"), (F.col("mean_diff") * 252).alias("ann_diff"), F.col("stat").alias("t_stat"), "p_value")

@@ -1,4 +1,7 @@
-"""Losses, scores and tests of forecasts on a common sample ``(series_id, date, horizon, model, forecast, y)``."""
+"""Losses, scores and tests of forecasts on a common sample ``(series_id, date, horizon, model, forecast, y)``.
+
+Every series is scored on its own: lags and bootstrap blocks never run from one series into another.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +15,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.normal import chi2_two_df, two_sided
 from tidemark.params import FORECAST_FLOOR, SEED, TARGET_FLOOR
+from tidemark.session import spread_groups
+
+KEYS = ("series_id", "horizon", "model")
 
 
 def qlike(y: Column, f: Column) -> Column:
@@ -31,16 +37,16 @@ def losses(sample: DataFrame) -> DataFrame:
 
 
 def scores(lossed: DataFrame, bench: str = "expanding_mean") -> DataFrame:
-    """By horizon and model: n, qlike, mse_x1e4, r2 against the benchmark model, clipped forecasts; best first."""
-    by = lossed.groupBy("horizon", "model").agg(F.count(F.lit(1)).alias("n"), F.avg("qlike").alias("qlike"), (F.avg("se") * 1e4).alias("mse_x1e4"), F.sum("se").alias("_sse"), F.count_if("was_clipped").alias("n_clipped"))
-    base = by.where(F.col("model") == bench).select("horizon", F.col("_sse").alias("_base"))
-    return by.join(base, "horizon", "left").select("horizon", "model", "n", "qlike", "mse_x1e4", (1 - F.col("_sse") / F.nullif("_base", F.lit(0.0))).alias("oos_r2"), "n_clipped").orderBy("horizon", "qlike")
+    """By series, horizon and model: n, qlike, mse_x1e4, r2 against the benchmark model, clipped forecasts; best first."""
+    by = lossed.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.avg("qlike").alias("qlike"), (F.avg("se") * 1e4).alias("mse_x1e4"), F.sum("se").alias("_sse"), F.count_if("was_clipped").alias("n_clipped"))
+    base = by.where(F.col("model") == bench).select("series_id", "horizon", F.col("_sse").alias("_base"))
+    return by.join(base, ["series_id", "horizon"], "left").select(*KEYS, "n", "qlike", "mse_x1e4", (1 - F.col("_sse") / F.nullif("_base", F.lit(0.0))).alias("oos_r2"), "n_clipped").orderBy("series_id", "horizon", "qlike")
 
 
 def out_of_sample_r2(sample: DataFrame, model: str, bench: str) -> DataFrame:
     """1 - SSE / SSE of the benchmark on the dates both have, forecasts unclipped."""
     wide = sample.where(F.col("model").isin(model, bench)).groupBy("series_id", "date", "horizon").agg(F.max("y").alias("y"), F.max(F.when(F.col("model") == model, F.col("forecast"))).alias("a"), F.max(F.when(F.col("model") == bench, F.col("forecast"))).alias("b")).na.drop()
-    return wide.groupBy("horizon").agg((1 - F.sum(squared_error(F.col("y"), F.col("a"))) / F.nullif(F.sum(squared_error(F.col("y"), F.col("b"))), F.lit(0.0))).alias("oos_r2"))
+    return wide.groupBy("series_id", "horizon").agg((1 - F.sum(squared_error(F.col("y"), F.col("a"))) / F.nullif(F.sum(squared_error(F.col("y"), F.col("b"))), F.lit(0.0))).alias("oos_r2"))
 
 
 def long_run_variance(df: DataFrame, value: str, keys: Sequence[str], lag: int, order: str = "date") -> DataFrame:
@@ -60,16 +66,20 @@ def long_run_variance(df: DataFrame, value: str, keys: Sequence[str], lag: int,
     return sums.select(*keys, "n", "mean", F.greatest(total / F.col("n"), F.lit(1e-300)).alias("lrv"))
 
 
-def diebold_mariano(lossed: DataFrame, loss: str, benchmark: str, lag: int = 44, keys: Sequence[str] = ("horizon", "model")) -> DataFrame:
-    """Each model against the benchmark: ``horizon, model, n, mean_diff, stat, p_value``; too few days (under 2.5 lags) give null statistics."""
+def diebold_mariano(lossed: DataFrame, loss: str, benchmark: str, lag: int = 44, keys: Sequence[str] = KEYS, short: str = "raise") -> DataFrame:
+    """Each model against the benchmark: ``series_id, horizon, model, n, mean_diff, stat, p_value``.
+
+    Series with too few days (under 2.5 lags) raise when the plan runs; with ``short="null"`` their statistics are null.
+    """
     base = lossed.where(F.col("model") == benchmark).select("series_id", "date", "horizon", F.col(loss).alias("_b"))
     pairs = lossed.where(F.col("model") != benchmark).join(base, ["series_id", "date", "horizon"]).withColumn("_diff", F.col(loss) - F.col("_b"))
     out = long_run_variance(pairs, "_diff", keys, lag)
-    stat = F.when(F.col("n") >= 10 * lag // 4, F.col("mean") / F.sqrt(F.col("lrv") / F.col("n")))
+    few = F.lit(None) if short == "null" else F.raise_error(F.concat(F.col("n").cast("string"), F.lit(" common days are too few for the lag")))
+    stat = F.when(F.col("n") >= 10 * lag // 4, F.col("mean") / F.sqrt(F.col("lrv") / F.col("n"))).otherwise(few.cast("double"))
     return out.select(*keys, "n", F.col("mean").alias("mean_diff"), stat.alias("stat")).withColumn("p_value", two_sided(F.col("stat")))
 
 
-def mincer_zarnowitz(sample: DataFrame, lag: int = 44, keys: Sequence[str] = ("horizon", "model"), forecast: str = "forecast") -> DataFrame:
+def mincer_zarnowitz(sample: DataFrame, lag: int = 44, keys: Sequence[str] = KEYS, forecast: str = "forecast") -> DataFrame:
     """Regression of the target on the forecast: ``alpha, beta, r2, wald, p_joint`` of alpha = 0 and beta = 1 with autocorrelation-robust covariance."""
     f, y = F.col(forecast), F.col("y")
     d = sample.where(f.isNotNull() & y.isNotNull())
@@ -96,14 +106,14 @@ def mincer_zarnowitz(sample: DataFrame, lag: int = 44, keys: Sequence[str] = ("h
 
 
 def confidence_set(lossed: DataFrame, loss: str = "qlike", reps: int = 1000, block: int = 44, seed: int = SEED) -> DataFrame:
-    """Model confidence set by range statistic and circular block bootstrap: ``horizon, model, p_value, in_90, in_75``.
+    """Model confidence set by range statistic and circular block bootstrap: ``series_id, horizon, model, p_value, in_90, in_75``.
 
-    One task for each horizon; its days (one row each, the models' losses as an array) are bounded by the calendar.
+    One task for each series and horizon; its days (one row each, the models' losses as an array) are bounded by the calendar.
     """
     days = lossed.groupBy("horizon", "series_id", "date").agg(F.array_sort(F.collect_list(F.struct("model", F.col(loss).alias("loss")))).alias("losses"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["series_id", "date"], kind="stable")
+        pdf = pdf.sort_values("date", kind="stable")
         names = [x["model"] for x in pdf["losses"].iloc[0]]
         data = np.array([[x["loss"] for x in row] for row in pdf["losses"]], float)
         n = len(data)
@@ -125,16 +135,16 @@ def confidence_set(lossed: DataFrame, loss: str = "qlike", reps: int = 1000, blo
             p_values[worst] = highest
             alive.remove(worst)
         p_values[alive[0]] = 1.0
-        rows = [(int(pdf["horizon"].iloc[0]), names[i], p, p >= 0.10, p >= 0.25) for i, p in p_values.items()]
-        return pd.DataFrame(rows, columns=["horizon", "model", "p_value", "in_90", "in_75"])
+        rows = [(pdf["series_id"].iloc[0], int(pdf["horizon"].iloc[0]), names[i], p, p >= 0.10, p >= 0.25) for i, p in p_values.items()]
+        return pd.DataFrame(rows, columns=["series_id", "horizon", "model", "p_value", "in_90", "in_75"])
 
-    return days.groupBy("horizon").applyInPandas(run, "horizon int, model string, p_value double, in_90 boolean, in_75 boolean")
+    return spread_groups(days, "series_id", "horizon").groupBy("series_id", "horizon").applyInPandas(run, "series_id string, horizon int, model string, p_value double, in_90 boolean, in_75 boolean")
 
 
 def score_table(sample: DataFrame, bench: str = "expanding_mean", against: str = "har", lag: int = 44) -> DataFrame:
     """All scores of each model: losses, R2, calibration regression of the clipped forecasts, and test of its QLIKE against a model; best first."""
     lossed = losses(sample)
     base = scores(lossed, bench)
-    fit = mincer_zarnowitz(lossed, lag, forecast="clipped").select("horizon", "model", F.col("alpha").alias("mz_alpha"), F.col("beta").alias("mz_beta"), F.col("r2").alias("mz_r2"), F.col("p_joint").alias("mz_p"))
-    test = diebold_mariano(lossed, "qlike", against, lag).select("horizon", "model", F.col("stat").alias("dm_stat"), F.col("p_value").alias("dm_p"))
-    return base.join(fit, ["horizon", "model"], "left").join(test, ["horizon", "model"], "left").orderBy("horizon", "qlike")
+    fit = mincer_zarnowitz(lossed, lag, forecast="clipped").select(*KEYS, F.col("alpha").alias("mz_alpha"), F.col("beta").alias("mz_beta"), F.col("r2").alias("mz_r2"), F.col("p_joint").alias("mz_p"))
+    test = diebold_mariano(lossed, "qlike", against, lag, short="null").select(*KEYS, F.col("stat").alias("dm_stat"), F.col("p_value").alias("dm_p"))
+    return base.join(fit, list(KEYS), "left").join(test, list(KEYS), "left").orderBy("series_id", "horizon", "qlike")

@@ -155,11 +155,10 @@ def garch_forecasts(features: DataFrame, rows: DataFrame, specs: tuple[str, ...]
     variance state moves on daily. Blocks with fewer than ``min_train`` returns, with parameters
     that are not finite, or listed in ``skip`` (``series_id, model, block``) give no rows.
     """
-    names = features.sparkSession.createDataFrame([(s,) for s in specs], "model string")
     data = features.select("series_id", "date", "ret_cc").join(rows.select("series_id", "date", "ordinal"), ["series_id", "date"], "left")
     if skip is not None:
         done = skip.select("series_id", "model", "block").distinct().groupBy("series_id", "model").agg(F.collect_set("block").alias("done"))
-    keyed = data.join(F.broadcast(names))  # as many rows as there are specs
+    keyed = data.withColumn("model", F.explode(F.array(*[F.lit(s) for s in specs])))
     keyed = keyed.join(done, ["series_id", "model"], "left") if skip is not None else keyed.withColumn("done", F.lit(None).cast("array<int>"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -37,10 +37,10 @@ def aggregation_ratio(panel: DataFrame, model: str, horizon: int = 22) -> DataFr
 
 
 def equity_curves(simulations: DataFrame, value: str = "pnl_net") -> DataFrame:
-    so_far = Window.partitionBy("strategy", "half_spread").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return simulations.select("strategy", "half_spread", "date", F.sum(F.coalesce(value, F.lit(0.0))).over(so_far).alias("equity"))
+    so_far = Window.partitionBy("series_id", "strategy", "half_spread").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return simulations.select("series_id", "strategy", "half_spread", "date", F.sum(F.coalesce(value, F.lit(0.0))).over(so_far).alias("equity"))
 
 
 def spread_curve(simulations: DataFrame) -> DataFrame:
     """Net Sharpe ratio of each strategy at each spread."""
-    return simulations.groupBy("strategy", "half_spread").agg((F.avg("pnl_net") / F.nullif(F.stddev_samp("pnl_net"), F.lit(0.0)) * (252**0.5)).alias("sharpe"))
+    return simulations.groupBy("series_id", "strategy", "half_spread").agg((F.avg("pnl_net") / F.nullif(F.stddev_samp("pnl_net"), F.lit(0.0)) * (252**0.5)).alias("sharpe"))

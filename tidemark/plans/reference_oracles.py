@@ -78,30 +78,35 @@ _PANEL = f"""{_UNI}, panel AS (
   SELECT * FROM (SELECT p.date, model, forecast, target_rv_22 AS y, count(*) OVER (PARTITION BY p.date) AS have FROM panel p JOIN dev d ON p.date = d.date WHERE forecast IS NOT NULL AND target_rv_22 IS NOT NULL) WHERE have = 4
 ), lossed AS (SELECT *, greatest(forecast, 1e-4) AS clipped, greatest(y, 1e-6) / greatest(forecast, 1e-4) - ln(greatest(y, 1e-6) / greatest(forecast, 1e-4)) - 1 AS qlike, (y - greatest(forecast, 1e-4)) * (y - greatest(forecast, 1e-4)) AS se FROM sample)"""
 _UNITS = f"{_MARKET}, units AS (SELECT date, vix_close, (lag(iv30) OVER (ORDER BY date) - 252 * dv_cc) / 22 AS carry, -(iv30 - lag(iv30) OVER (ORDER BY date)) * (21::DOUBLE / 22) AS m2m FROM feat), u AS (SELECT date, carry + m2m AS x FROM units WHERE carry + m2m IS NOT NULL)"
-_WEIGHTS = f"""{_MARKET}, sig AS (SELECT date, rv_cc_trail_22 AS rv, iv30 - rv_cc_trail_22 AS s FROM feat),
-normed AS (SELECT *, CASE WHEN count(CASE WHEN s > 0 THEN s END) OVER p >= 252 THEN median(CASE WHEN s > 0 THEN s END) OVER p END AS norm FROM sig WINDOW p AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+def _weights(head: str) -> str:
+    """Weights of five strategies for each series of ``feat``."""
+    cells = {"always_short": ("1::DOUBLE", 1), "naive_binary": ("CASE WHEN s > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END", 1), "naive_binary_5d": ("CASE WHEN s > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END", 5), "naive_linear": ("linear", 1), "naive_linear_5d": ("linear", 5)}
+    rows = " UNION ALL ".join(f"SELECT series_id, date, '{n}' AS strategy, {w} AS base_w, {k} AS rebalance_every FROM lin" for n, (w, k) in cells.items())
+    return f"""{head}, sig AS (SELECT series_id, date, rv_cc_trail_22 AS rv, iv30 - rv_cc_trail_22 AS s FROM feat),
+normed AS (SELECT *, CASE WHEN count(CASE WHEN s > 0 THEN s END) OVER p >= 252 THEN median(CASE WHEN s > 0 THEN s END) OVER p END AS norm FROM sig WINDOW p AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 lin AS (SELECT *, CASE WHEN s / norm IS NOT NULL THEN least(greatest(s / norm, 0), 1.5) END AS linear FROM normed WHERE rv IS NOT NULL),
-weights AS (
-  SELECT date, 'always_short' AS strategy, 1::DOUBLE AS base_w, 1 AS rebalance_every FROM lin UNION ALL SELECT date, 'naive_binary', CASE WHEN s > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END, 1 FROM lin
-  UNION ALL SELECT date, 'naive_binary_5d', CASE WHEN s > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END, 5 FROM lin UNION ALL SELECT date, 'naive_linear', linear, 1 FROM lin UNION ALL SELECT date, 'naive_linear_5d', linear, 5 FROM lin
-)"""
-#: The simulation as a recursion over the days of each strategy.
-_SIM = f"""{_WEIGHTS.replace("WITH ", "WITH RECURSIVE ", 1)}, raw_units AS (SELECT date, vix_close, (lag(iv30) OVER (ORDER BY date) - 252 * dv_cc) / 22 - (iv30 - lag(iv30) OVER (ORDER BY date)) * (21::DOUBLE / 22) AS unit FROM feat),
+weights AS ({rows})"""
+
+
+def _simulation(head: str, spreads: str = "0.5") -> str:
+    """The simulation as a recursion over the days of each series, strategy and half spread, up to ``sim``."""
+    cost = "(vix_close / 100 + h / 100) * (vix_close / 100 + h / 100) - vix_close / 100 * (vix_close / 100)"
+    return f"""{_weights(head.replace("WITH ", "WITH RECURSIVE ", 1))}, raw_units AS (SELECT series_id, date, vix_close, (lag(iv30) OVER w - 252 * dv_cc) / 22 - (iv30 - lag(iv30) OVER w) * (21::DOUBLE / 22) AS unit FROM feat WINDOW w AS (PARTITION BY series_id ORDER BY date)),
 scaled AS (
-  SELECT strategy, date, base_w, rebalance_every, unit, (vix_close / 100 + 0.005::DOUBLE) * (vix_close / 100 + 0.005::DOUBLE) - vix_close / 100 * (vix_close / 100) AS spread, row_number() OVER (PARTITION BY strategy ORDER BY date) - 1 AS i,
-    CASE WHEN count(unit) OVER k >= 30 THEN least(0.1::DOUBLE / (stddev_samp(unit) OVER k * sqrt(252)), 1.5) END AS scale
-  FROM weights JOIN raw_units USING (date) WINDOW k AS (PARTITION BY strategy ORDER BY date ROWS 65 PRECEDING)
+  SELECT series_id, strategy, h, date, base_w, rebalance_every, unit, {cost} AS spread, i, scale FROM (
+    SELECT *, row_number() OVER (PARTITION BY series_id, strategy ORDER BY date) - 1 AS i, CASE WHEN count(unit) OVER k >= 30 THEN CASE WHEN stddev_samp(unit) OVER k = 0 THEN 1.5 ELSE least(0.1::DOUBLE / (stddev_samp(unit) OVER k * sqrt(252)), 1.5) END END AS scale
+    FROM weights JOIN raw_units USING (series_id, date) WINDOW k AS (PARTITION BY series_id, strategy ORDER BY date ROWS 65 PRECEDING)), (SELECT unnest([{spreads}])::DOUBLE AS h)
 ), run AS (
-  SELECT strategy, i, date, 0::DOUBLE AS gross, 0::DOUBLE AS cost, CASE WHEN base_w * scale IS NOT NULL THEN least(greatest(base_w * scale, 0), 1.5) ELSE 0::DOUBLE END AS w, 0::DOUBLE AS mtd, false AS stopped, unit FROM scaled WHERE i = 0
+  SELECT series_id, strategy, h, i, date, 0::DOUBLE AS gross, 0::DOUBLE AS cost, CASE WHEN base_w * scale IS NOT NULL THEN least(greatest(base_w * scale, 0), 1.5) ELSE 0::DOUBLE END AS w, 0::DOUBLE AS mtd, false AS stopped, unit FROM scaled WHERE i = 0
   UNION ALL
-  SELECT strategy, i, date, gross, turn * spread, goal, before_cost - turn * spread, halt, unit FROM (
+  SELECT series_id, strategy, h, i, date, gross, turn * spread, goal, before_cost - turn * spread, halt, unit FROM (
     SELECT *, w0 / 22 + abs(goal - w0) AS turn FROM (
       SELECT *, CASE WHEN halt THEN 0::DOUBLE WHEN i % rebalance_every <> 0 THEN w0 WHEN base_w * scale IS NOT NULL THEN least(greatest(base_w * scale, 0), 1.5) ELSE 0::DOUBLE END AS goal FROM (
         SELECT *, (same_month AND stopped0) OR before_cost < -0.05::DOUBLE AS halt FROM (
-          SELECT s.strategy, s.i, s.date, s.base_w, s.scale, s.rebalance_every, s.spread, s.unit, r.w AS w0, r.stopped AS stopped0, date_trunc('month', s.date) = date_trunc('month', r.date) AS same_month,
+          SELECT s.series_id, s.strategy, s.h, s.i, s.date, s.base_w, s.scale, s.rebalance_every, s.spread, s.unit, r.w AS w0, r.stopped AS stopped0, date_trunc('month', s.date) = date_trunc('month', r.date) AS same_month,
             coalesce(r.w * s.unit, 0) AS gross, CASE WHEN date_trunc('month', s.date) = date_trunc('month', r.date) THEN r.mtd ELSE 0::DOUBLE END + coalesce(r.w * s.unit, 0) AS before_cost
-          FROM run r JOIN scaled s ON s.strategy = r.strategy AND s.i = r.i + 1))))
-)"""
+          FROM run r JOIN scaled s ON s.series_id = r.series_id AND s.strategy = r.strategy AND s.h = r.h AND s.i = r.i + 1))))
+), sim AS (SELECT series_id, strategy, h, date, w, gross, paid AS cost, gross - paid AS net, unit FROM (SELECT run.*, CASE WHEN run.i = 0 THEN run.w * z.spread ELSE run.cost END AS paid FROM run JOIN scaled z USING (series_id, strategy, h, i)))"""
 
 
 def _rounded(names: str, digits: int = 8) -> str:
@@ -203,10 +208,10 @@ SELECT 'asset' AS series_id, {_TEXT_DATE}, 22 AS horizon, 'ewma_riskmetrics' AS
     "mz_ols": f"{_PANEL} SELECT model, count(*) AS n, round(regr_intercept(y, forecast), 6) AS alpha, round(regr_slope(y, forecast), 6) AS beta, round(regr_r2(y, forecast), 6) AS r2 FROM sample GROUP BY model",
     "config_registry": """SELECT DISTINCT 'orders' AS phase, o_orderpriority AS model, CAST(year(o_orderdate) AS INTEGER) AS horizon, '{"status":"' || o_orderstatus || '"}' AS params, 'all' AS eval_window FROM orders o
 WHERE NOT EXISTS (SELECT 1 FROM orders f WHERE f.o_orderstatus = 'F' AND f.o_orderpriority = o.o_orderpriority AND year(f.o_orderdate) = year(o.o_orderdate) AND f.o_orderstatus = o.o_orderstatus)""",
-    "weights": f"{_WEIGHTS} SELECT {_TEXT_DATE}, strategy, round(base_w, 6) AS base_w, rebalance_every FROM weights",
+    "weights": f"{_weights(_MARKET)} SELECT {_TEXT_DATE}, strategy, round(base_w, 6) AS base_w, rebalance_every FROM weights",
     "unit_pnl": f"{_UNITS} SELECT {_TEXT_DATE}, {_rounded('carry m2m')}, round(carry + m2m, 8) + 0.0::DOUBLE AS unit_pnl, round((vix_close / 100 + 0.005::DOUBLE) * (vix_close / 100 + 0.005::DOUBLE) - vix_close / 100 * (vix_close / 100), 8) AS spread_cost FROM units",
-    "turnover": f"{_WEIGHTS} SELECT strategy, {_TEXT_DATE}, round(before / 22 + abs(base_w - before), 6) AS turnover FROM (SELECT *, coalesce(lag(base_w) OVER (PARTITION BY strategy ORDER BY date), 0) AS before FROM weights WHERE base_w IS NOT NULL)",
-    "strategy_sim": f"{_SIM} SELECT strategy, 0.5::DOUBLE AS half_spread, {_TEXT_DATE}, round(w, 6) AS w, round(gross, 6) + 0.0::DOUBLE AS pnl_gross, round(CASE WHEN i = 0 THEN w * (SELECT spread FROM scaled z WHERE z.strategy = run.strategy AND z.i = 0) ELSE cost END, 6) + 0.0::DOUBLE AS cost, round(gross - CASE WHEN i = 0 THEN w * (SELECT spread FROM scaled z WHERE z.strategy = run.strategy AND z.i = 0) ELSE cost END, 6) + 0.0::DOUBLE AS pnl_net, round(unit, 6) + 0.0::DOUBLE AS unit_pnl FROM run",
+    "turnover": f"{_weights(_MARKET)} SELECT strategy, {_TEXT_DATE}, round(before / 22 + abs(base_w - before), 6) AS turnover FROM (SELECT *, coalesce(lag(base_w) OVER (PARTITION BY strategy ORDER BY date), 0) AS before FROM weights WHERE base_w IS NOT NULL)",
+    "strategy_sim": f"{_simulation(_MARKET)} SELECT strategy, h AS half_spread, {_TEXT_DATE}, round(w, 6) AS w, round(gross, 6) + 0.0::DOUBLE AS pnl_gross, round(cost, 6) + 0.0::DOUBLE AS cost, round(net, 6) + 0.0::DOUBLE AS pnl_net, round(unit, 6) + 0.0::DOUBLE AS unit_pnl FROM sim",
     "perf_unit": f"""{_EQUITY}, m AS (SELECT {_MOMENTS}, quantile_cont(x, 0.05) AS q5, quantile_cont(x, 0.01) AS q1, avg(CASE WHEN x > 0 THEN 1 ELSE 0 END) AS hit FROM u)
 SELECT 'unit' AS strategy, n, round(m1 * 252, 6) AS ann_return, round(sd * sqrt(252), 6) AS ann_vol, round(m1 * 252 / (sd * sqrt(252)), 6) AS sharpe, (SELECT round(min(drawdown), 6) FROM dd) AS max_dd, round({_SKEW}, 6) AS skew, round({_KURT}, 6) AS kurtosis,
   round(q5, 6) AS var95, (SELECT round(avg(x), 6) FROM u WHERE x <= q5) AS cvar95, round(q1, 6) AS var99, (SELECT round(avg(x), 6) FROM u WHERE x <= q1) AS cvar99, round(hit, 6) AS hit_rate FROM m""",
@@ -223,5 +228,5 @@ SELECT event, 'unit' AS strategy, {_TEXT_DATE}, round(sum(x) OVER (PARTITION BY
 SELECT bin, round(any_value(lo) + bin * any_value(w), 6) + 0.0::DOUBLE AS low, round(any_value(lo) + (bin + 1) * any_value(w), 6) + 0.0::DOUBLE AS high, count(*) AS days FROM b GROUP BY bin""",
     "implied_and_realised": f"{_MARKET} SELECT series_id, {_TEXT_DATE}, round(vix_close, 6) AS vix_close, round(sqrt(target_rv_22) * 100, 6) AS realised_points FROM feat WHERE iv30 IS NOT NULL AND target_rv_22 IS NOT NULL",
     "forecasts_beside_targets": f"{_PANEL} SELECT 'asset' AS series_id, {_TEXT_DATE}, 22 AS horizon, round(max(CASE WHEN model = 'vix' THEN forecast END), 8) AS vix, round(max(CASE WHEN model = 'random_walk' THEN forecast END), 8) AS random_walk, round(any_value(y), 8) AS y FROM sample GROUP BY date",
-    "equity_curves": f"{_SIM}, nets AS (SELECT strategy, date, gross - CASE WHEN i = 0 THEN w * (SELECT spread FROM scaled z WHERE z.strategy = run.strategy AND z.i = 0) ELSE cost END AS net FROM run) SELECT strategy, 0.5::DOUBLE AS half_spread, {_TEXT_DATE}, round(sum(net) OVER (PARTITION BY strategy ORDER BY date), 6) + 0.0::DOUBLE AS equity FROM nets",
+    "equity_curves": f"{_simulation(_MARKET)} SELECT strategy, h AS half_spread, {_TEXT_DATE}, round(sum(net) OVER (PARTITION BY strategy ORDER BY date), 6) + 0.0::DOUBLE AS equity FROM sim",
 }

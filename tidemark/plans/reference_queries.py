@@ -27,6 +27,11 @@ def tidy(df: DataFrame, digits: int = 8) -> DataFrame:
     return df.withColumns(change) if change else df
 
 
+def market(df: DataFrame, digits: int = 8) -> DataFrame:
+    """Results on the adapted tables, which hold one market: its name is left out."""
+    return tidy(df.drop("series_id"), digits)
+
+
 # Bars, calendars and checks
 
 
@@ -199,23 +204,23 @@ def common_sample(s: SparkSession, d: str) -> DataFrame:
 
 
 def loss_scores(s: SparkSession, d: str) -> DataFrame:
-    return tidy(S.scores(S.losses(_sample(s, d))), 6)
+    return market(S.scores(S.losses(_sample(s, d))), 6)
 
 
 def oos_r2(s: SparkSession, d: str) -> DataFrame:
-    return tidy(S.out_of_sample_r2(_sample(s, d), "vix", "expanding_mean"), 6)
+    return market(S.out_of_sample_r2(_sample(s, d), "vix", "expanding_mean"), 6)
 
 
 def newey_west_lrv(s: SparkSession, d: str) -> DataFrame:
-    return tidy(S.long_run_variance(S.losses(_sample(s, d)), "qlike", ("model",), 22), 6)
+    return market(S.long_run_variance(S.losses(_sample(s, d)), "qlike", ("series_id", "model"), 22), 6)
 
 
 def dm_stat(s: SparkSession, d: str) -> DataFrame:
-    return tidy(S.diebold_mariano(S.losses(_sample(s, d)), "qlike", "random_walk", 22).select("model", "n", "mean_diff", "stat"), 6)
+    return tidy(S.diebold_mariano(S.losses(_sample(s, d)), "qlike", "random_walk", 22, short="null").select("model", "n", "mean_diff", "stat"), 6)
 
 
 def dm_p_values(s: SparkSession, d: str) -> DataFrame:
-    return tidy(S.diebold_mariano(S.losses(_dev_panel(s, d)), "qlike", "random_walk"), 6)
+    return market(S.diebold_mariano(S.losses(_dev_panel(s, d)), "qlike", "random_walk", short="null"), 6)
 
 
 def mz_ols(s: SparkSession, d: str) -> DataFrame:
@@ -223,11 +228,11 @@ def mz_ols(s: SparkSession, d: str) -> DataFrame:
 
 
 def mz_joint(s: SparkSession, d: str) -> DataFrame:
-    return tidy(S.mincer_zarnowitz(_dev_panel(s, d)), 6)
+    return market(S.mincer_zarnowitz(_dev_panel(s, d)), 6)
 
 
 def model_confidence_set(s: SparkSession, d: str) -> DataFrame:
-    return tidy(S.confidence_set(S.losses(_dev_panel(s, d))), 4)
+    return market(S.confidence_set(S.losses(_dev_panel(s, d))), 4)
 
 
 def _both_parts(features: DataFrame) -> list[DataFrame]:
@@ -263,11 +268,11 @@ def _weights(features: DataFrame) -> DataFrame:
     df = features.withColumn("signal", B.vrp_signal(F.col("iv30"), F.col("rv_cc_trail_22")))
     df = B.linear_weights(df, "signal", "linear").where(F.col("rv_cc_trail_22").isNotNull())
     cells = [("always_short", B.always(F.col("signal")), 1), ("naive_binary", B.binary(F.col("signal")), 1), ("naive_binary_5d", B.binary(F.col("signal")), 5), ("naive_linear", F.col("linear"), 1), ("naive_linear_5d", F.col("linear"), 5)]
-    return df.select("date", F.inline(F.array(*[F.struct(F.lit(n).alias("strategy"), w.alias("base_w"), F.lit(k).alias("rebalance_every")) for n, w, k in cells])))
+    return df.select("series_id", "date", F.inline(F.array(*[F.struct(F.lit(n).alias("strategy"), w.alias("base_w"), F.lit(k).alias("rebalance_every")) for n, w, k in cells])))
 
 
 def weights(s: SparkSession, d: str) -> DataFrame:
-    return tidy(_weights(asset_features(s, d)), 6)
+    return market(_weights(asset_features(s, d)), 6)
 
 
 def unit_pnl(s: SparkSession, d: str) -> DataFrame:
@@ -276,57 +281,59 @@ def unit_pnl(s: SparkSession, d: str) -> DataFrame:
 
 def turnover(s: SparkSession, d: str) -> DataFrame:
     w = _weights(asset_features(s, d)).where(F.col("base_w").isNotNull())
-    before = F.coalesce(F.lag("base_w").over(by_date("strategy")), F.lit(0.0))
+    before = F.coalesce(F.lag("base_w").over(by_date("series_id", "strategy")), F.lit(0.0))
     return tidy(w.select("strategy", "date", B.turnover(F.col("base_w"), before).alias("turnover")), 6)
 
 
 def _simulated(s: SparkSession, d: str, spreads: list[float]) -> DataFrame:
-    p, features = B.Backtest(), cut_lineage(asset_features(s, d))
-    scaled = B.with_scale(_weights(features), B.unit_pnl(features), p)
-    return B.simulate(scaled, s.createDataFrame([(x,) for x in spreads], "half_spread double"), p)
+    return _simulate(cut_lineage(asset_features(s, d)), spreads)
+
+
+def _simulate(features: DataFrame, spreads: list[float]) -> DataFrame:
+    p = B.Backtest()
+    return B.simulate(B.with_scale(_weights(features), B.unit_pnl(features), p), spreads, p)
 
 
 def strategy_sim(s: SparkSession, d: str) -> DataFrame:
-    return tidy(_simulated(s, d, [0.5]), 6)
+    return market(_simulated(s, d, [0.5]), 6)
 
 
 def breakeven_sweep(s: SparkSession, d: str) -> DataFrame:
-    return tidy(B.breakeven(_simulated(s, d, [x / 4 for x in range(13)])))
+    return market(B.breakeven(_simulated(s, d, [x / 4 for x in range(13)])))
 
 
 def perf_summary(s: SparkSession, d: str) -> DataFrame:
-    return tidy(B.performance(_simulated(s, d, [0.5]), "pnl_net"), 6)
+    return market(B.performance(_simulated(s, d, [0.5]), "pnl_net"), 6)
 
 
 def deflated_sharpe(s: SparkSession, d: str) -> DataFrame:
-    return tidy(B.deflated_sharpe(_simulated(s, d, [0.5]), "pnl_net", 66), 6)
+    return market(B.deflated_sharpe(_simulated(s, d, [0.5]), "pnl_net", 66), 6)
 
 
 def _units(s: SparkSession, d: str) -> DataFrame:
     """The unit result as a strategy of its own: what the metrics are checked on against SQL."""
-    return B.unit_pnl(asset_features(s, d)).where(F.col("unit_pnl").isNotNull()).select(F.lit("unit").alias("strategy"), "date", "unit_pnl")
+    return B.unit_pnl(asset_features(s, d)).where(F.col("unit_pnl").isNotNull()).select("series_id", F.lit("unit").alias("strategy"), "date", "unit_pnl")
 
 
 def perf_unit(s: SparkSession, d: str) -> DataFrame:
-    return tidy(B.performance(_units(s, d), "unit_pnl"), 6)
+    return market(B.performance(_units(s, d), "unit_pnl"), 6)
 
 
 def drawdown_series(s: SparkSession, d: str) -> DataFrame:
-    return tidy(B.drawdowns(_units(s, d), "unit_pnl"), 6)
+    return market(B.drawdowns(_units(s, d), "unit_pnl"), 6)
 
 
 def drawdown_top5(s: SparkSession, d: str) -> DataFrame:
-    return tidy(B.drawdown_episodes(_units(s, d), "unit_pnl").withColumn("rank", F.col("rank").cast("long")), 6)
+    return market(B.drawdown_episodes(_units(s, d), "unit_pnl").withColumn("rank", F.col("rank").cast("long")), 6)
 
 
 def event_windows(s: SparkSession, d: str) -> DataFrame:
-    events = s.createDataFrame([("first", "1996-03-01", "1996-06-28"), ("second", "1999-09-01", "1999-12-31")], "event string, first string, last string")
-    events = events.select("event", F.to_date("first").alias("first"), F.to_date("last").alias("last"))
-    return tidy(B.event_windows(_units(s, d), events, "unit_pnl"), 6)
+    events = [("first", "1996-03-01", "1996-06-28"), ("second", "1999-09-01", "1999-12-31")]
+    return market(B.event_windows(_units(s, d), events, "unit_pnl"), 6)
 
 
 def sharpe_moments(s: SparkSession, d: str) -> DataFrame:
-    return tidy(B.sharpe_moments(_units(s, d), "unit_pnl"), 6)
+    return market(B.sharpe_moments(_units(s, d), "unit_pnl"), 6)
 
 
 def alignment_report(s: SparkSession, d: str) -> DataFrame:
@@ -334,7 +341,7 @@ def alignment_report(s: SparkSession, d: str) -> DataFrame:
 
 
 def score_table(s: SparkSession, d: str) -> DataFrame:
-    return tidy(S.score_table(_dev_panel(s, d)), 6)
+    return market(S.score_table(_dev_panel(s, d)), 6)
 
 
 def holdout_strategies(s: SparkSession, d: str) -> DataFrame:
@@ -342,20 +349,20 @@ def holdout_strategies(s: SparkSession, d: str) -> DataFrame:
     features = cut_lineage(asset_features(s, d))
     panel = cut_lineage(baselines.union([forecast_panel(features, rows) for rows in _both_parts(features)]))
     scaled = B.with_scale(B.strategy_weights(features, panel), B.unit_pnl(features), B.Backtest())
-    simulated = B.simulate(scaled, s.createDataFrame([(0.5,)], "half_spread double"))
-    return tidy(B.performance_table(protocol.after_dev(simulated, PROTOCOL)), 6)
+    simulated = B.simulate(scaled, [0.5])
+    return market(B.performance_table(protocol.after_dev(simulated, PROTOCOL)), 6)
 
 
 def net_edge(s: SparkSession, d: str) -> DataFrame:
-    return tidy(B.net_edge(cut_lineage(_simulated(s, d, [0.5])), "always_short"), 6)
+    return market(B.net_edge(cut_lineage(_simulated(s, d, [0.5])), "always_short"), 6)
 
 
 def spread_curve(s: SparkSession, d: str) -> DataFrame:
-    return tidy(figures.spread_curve(_simulated(s, d, [x / 4 for x in range(13)])), 6)
+    return market(figures.spread_curve(_simulated(s, d, [x / 4 for x in range(13)])), 6)
 
 
 def equity_curves(s: SparkSession, d: str) -> DataFrame:
-    return tidy(figures.equity_curves(_simulated(s, d, [0.5])), 6)
+    return market(figures.equity_curves(_simulated(s, d, [0.5])), 6)
 
 
 def premium_histogram(s: SparkSession, d: str) -> DataFrame:
