@@ -1,11 +1,12 @@
 import datetime as dt
 import math
 import random
+from dataclasses import replace
 from statistics import median
 
 import pytest
 
-from tidemark.operators.spikes import Reading, SpikeRules, flag_spikes
+from tidemark.operators.spikes import Reading, SpikeRules, flag_spikes, tail_cutoffs
 
 RULES = SpikeRules(fields=(Reading("open"), Reading("low", above=("open", "close"))))
 SCHEMA = "bar_id long, series_id string, date date, open double, low double, close double, _value string, field string"
@@ -62,9 +63,9 @@ def series(rng, n, start=0, name="s"):
     return rows
 
 
-def run(spark, rows):
+def run(spark, rows, rules=RULES):
     data = [(r["bar_id"], r["series_id"], r["date"], r["open"], r["low"], r["close"], "x", "y") for r in rows]
-    return flag_spikes(spark.createDataFrame(data, SCHEMA), RULES)
+    return flag_spikes(spark.createDataFrame(data, SCHEMA), rules)
 
 
 def test_matches_brute_force_with_duplicates(spark):
@@ -112,7 +113,7 @@ def test_stuck_run_needs_five(spark, n):
 
 
 def test_a_series_full_of_spikes_hides_none(spark):
-    """Where a fifth of the readings is wrong the fitted tail is wrong too; the cutoff stays below what the rule asks."""
+    """Where a sixth of the readings is wrong, a tail fitted to all residuals would be theirs; gross ones take no part in the fit."""
     rng = random.Random(12)
     rows = series(rng, 100)
     for r in rows:
@@ -121,3 +122,29 @@ def test_a_series_full_of_spikes_hides_none(spark):
         rows[i]["open"] *= 1.5
     got = {(r["row_id"], r["field"]) for r in run(spark, rows).collect()}
     assert got == brute(rows) and len(got) == 16
+
+
+def test_the_fitted_tail_decides(spark):
+    """Without the exact check a spike is what the tail says: other risks find other readings, and a cutoff of nothing finds most."""
+    rng = random.Random(9)
+    rows = [r for k in range(4) for r in series(rng, 200, 1000 * k, f"s{k}")]
+    spikes = lambda **change: {(r["row_id"], r["field"]) for r in run(spark, rows, replace(RULES, **change)).collect() if "spike" in r["reasons"]}
+    strict, usual, none = spikes(multiple=None, risk=1e-5), spikes(multiple=None, risk=0.02), spikes(multiple=None, risk=1.0)
+    checked = spikes()
+    assert checked < usual < none and strict < usual and len(none) > 3 * len(usual) > 3 * len(strict) > 0
+    assert spikes(risk=1e-12) < checked  # the check only narrows what the tail lets through
+
+
+def test_cutoffs_hold_their_risk_on_clean_series(spark):
+    rng = random.Random(21)
+    rows = []
+    for k in range(5):
+        x = 100.0
+        for i in range(800):
+            x *= math.exp(rng.gauss(0.0, 0.01) * (3.0 if rng.random() < 0.05 else 1.0))
+            rows.append((10_000 * k + i, f"s{k}", dt.date(2015, 1, 1) + dt.timedelta(i), x, x, x, "", ""))
+    scored = tail_cutoffs(spark.createDataFrame(rows, SCHEMA), replace(RULES, risk=0.02))
+    for r in scored.where("field = 'open'").groupBy("series_id").agg({"residual": "count", "cutoff": "max"}).collect():
+        cutoff = r["max(cutoff)"]
+        beyond = scored.where(f"field = 'open' and series_id = '{r['series_id']}' and abs(residual) > {cutoff}").count()
+        assert 0.012 < beyond / r["count(residual)"] < 0.03

@@ -2,18 +2,19 @@
 
 Every series is its own source. Its log changes, less the median of their weekday,
 are the seasonal residuals; a generalised Pareto tail fitted to the exceedances over
-their 90 % point gives the cutoff that a residual passes with a fixed risk. A jump
-beyond the cutoff that is undone by an opposite jump within ``max_run`` readings
-encloses candidates; an exact check against the nearest good readings decides.
+their 90 % point gives the cutoff that an ordinary residual passes with a fixed risk. A jump
+beyond the cutoff that is undone by an opposite jump beyond it within ``max_run`` readings encloses
+a spike. An exact check against the nearest good readings may follow.
 
-All windows run over the distinct days of one series, so a partition never holds more
-rows than the series' calendar has days, however many copies of a row there are:
-duplicates are folded by a partial aggregate before the first exchange.
+Rows fold to the distinct days of a series by a partial aggregate before the first exchange, so a
+partition never holds more rows than the series' calendar has days, however many copies of a row
+there are. The fields of a day are columns: all windows of all fields share one exchange and one sort.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,14 +37,17 @@ class SpikeRules:
     """Parameters of :func:`flag_spikes`.
 
     risk: chance that an ordinary residual passes the tail cutoff. tail: share of the
-    residuals that counts as the tail the distribution is fitted to. multiple: how many
-    typical changes (medians of the absolute log change) a spike must stand off.
+    residuals that counts as the tail the distribution is fitted to. gross: residuals of more
+    typical changes (medians of the absolute log change) than this take no part in the fit, so that
+    the errors looked for do not set the cutoff they are held against. multiple: how many typical
+    changes a spike must stand off from its neighbours as well; None leaves the decision to the tail alone.
     max_run: longest spike, in readings. stuck: shortest run of equal values that is stuck.
     """
 
     risk: float = 0.02
     tail: float = 0.10
-    multiple: float = 12.0
+    gross: float = 12.0
+    multiple: float | None = 12.0
     max_run: int = 3
     stuck: int = 5
     fields: tuple[Reading, ...] = field(default_factory=tuple)
@@ -83,79 +87,87 @@ def _typed(bars: DataFrame, series: str, day: str, row_id: str, rules: SpikeRule
     )
 
 
-def _readings(rows: DataFrame, rules: SpikeRules) -> DataFrame:
-    """One row for each field of each row, with the two plausibility rules."""
-    cells = [
-        F.struct(F.lit(r.name).alias("_field"), F.col(r.name).alias("_value"), bad.alias("_impossible"), out.alias("_outside"))
-        for r in rules.fields
-        for bad, out in [_implausible(r)]
-    ]
-    keep = [c for c in rows.columns if c.startswith("_")]
-    return rows.select(*keep, F.inline(F.array(*cells)))
-
-
-def tail_cutoffs(bars: DataFrame, rules: SpikeRules, *, series: str = "series_id", day: str = "date", row_id: str = "bar_id") -> DataFrame:
-    """One row for each series, field and distinct day with a good reading: residual, typical change and cutoff."""
-    return _scored(_daily(_typed(bars, series, day, row_id, rules), rules), rules)
-
-
 def _daily(rows: DataFrame, rules: SpikeRules) -> DataFrame:
+    """One row for each series and day, of the row with the smallest id: of each field its value, log and whether it lies outside its bar."""
     names = [c for c in rows.columns if not c.startswith("_")]
-    first = F.min(F.struct("_row", *names)).alias("_bar")
-    days = rows.where(F.col("_day").isNotNull()).groupBy("_series", "_day").agg(first)
-    return _readings(days.select("_series", "_day", *[F.col(f"_bar.{n}").alias(n) for n in names]), rules)
-
-
-def _scored(readings: DataFrame, rules: SpikeRules) -> DataFrame:
-    source = Window.partitionBy("_series", "_field")
-    order = source.orderBy("_day")
-    weekday = Window.partitionBy("_series", "_field", "_weekday")
-    good = readings.where(F.col("_value").isNotNull() & ~F.col("_impossible")).select("_series", "_day", "_field", "_value", "_outside", F.ln("_value").alias("_log"))
-    good = good.withColumn("_step", F.abs(F.col("_log") - F.lag("_log").over(order)))
-    good = good.withColumn("_typical", F.percentile("_step", F.lit(0.5)).over(source)).where(~F.col("_outside"))
-    good = good.withColumns({"_change": F.col("_log") - F.lag("_log").over(order), "_weekday": F.weekday("_day")})
-    good = good.withColumn("_season", F.coalesce(F.percentile("_change", F.lit(0.5)).over(weekday), F.lit(0.0)))
-    good = good.withColumn("_residual", F.col("_change") - F.col("_season"))
+    # Rows without an id come after all others; the fold stays a hash aggregate, as its buffers are numbers.
+    order = F.coalesce(F.col("_row"), F.lit(2**63 - 1)) if dict(rows.dtypes)["_row"] == "bigint" else F.coalesce(F.col("_row").cast("string"), F.lit("\U0010ffff"))
+    days = rows.where(F.col("_day").isNotNull()).groupBy("_series", "_day").agg(*[F.min_by(n, order).alias(n) for n in names])
+    cells = []
+    for i, r in enumerate(rules.fields):
+        impossible, outside = _implausible(r)
+        log = F.when(F.col(r.name).isNotNull() & ~impossible, F.ln(r.name))
+        cells += [F.col(r.name).alias(f"_v{i}"), log.alias(f"_all{i}"), F.when(~outside, log).alias(f"_log{i}")]
+    return days.select("_series", "_day", *cells)
+
+
+def _beside(x: str, k: int) -> Column:
+    """``x`` of the k-th row ahead (behind, where negative) that has one."""
+    which = "lead" if k > 0 else "lag"
+    return F.expr(f"{which}({x}, {abs(k)}) IGNORE NULLS OVER (PARTITION BY _series ORDER BY _day)")
+
+
+def _scored(days: DataFrame, rules: SpikeRules) -> DataFrame:
+    """Days with each field's seasonal residual, typical change and tail cutoff."""
+    source, every = Window.partitionBy("_series"), range(len(rules.fields))
+    days = days.withColumns({f"_step{i}": F.abs(F.col(f"_all{i}") - _beside(f"_all{i}", -1)) for i in every} | {f"_change{i}": F.col(f"_log{i}") - _beside(f"_log{i}", -1) for i in every} | {"_weekday": F.weekday("_day")})
+    middle = lambda x: F.percentile(x, F.lit(0.5)).over(source)
+    seasons = {f"_season{i}": F.array(*[F.coalesce(middle(F.when(F.col("_weekday") == k, F.col(f"_change{i}"))), F.lit(0.0)) for k in range(7)]) for i in every}
+    days = days.withColumns({f"_typical{i}": middle(F.col(f"_step{i}")) for i in every} | seasons)
+    days = days.withColumns({f"_residual{i}": F.col(f"_change{i}") - F.get(F.col(f"_season{i}"), F.col("_weekday")) for i in every})
     points = F.array(*[F.lit(1 - rules.tail / k) for k in (1, 2, 4)])
-    good = good.withColumns({"_tail": F.percentile(F.abs("_residual"), points).over(source), "_sway": F.max(F.abs("_season")).over(source)})
-    good = good.withColumns({f"_t{i}": F.col("_tail")[i] for i in range(3)})
-    fitted = pareto_cutoff(F.col("_t0"), F.col("_t1"), F.col("_t2"), rules.tail, rules.risk)
-    # Where gross errors are so many that they reach the fitted tail itself, the cutoff may
-    # not rise beyond what the exact check asks for; no case can then fail to be a candidate.
-    most = rules.multiple * F.col("_typical") - F.col("_sway")
-    return good.withColumn("_cutoff", F.least(fitted, most))
-
-
-def _spiked(scored: DataFrame, rules: SpikeRules) -> DataFrame:
-    order = Window.partitionBy("_series", "_field").orderBy("_day")
-    reach = range(1, rules.max_run + 1)
-    scored = scored.select(
-        "_series", "_day", "_field", "_value", F.col("_residual").alias("_r0"), "_cutoff", (rules.multiple * F.col("_typical")).alias("_apart"), F.col("_log").alias("_x0"), F.lag("_log").over(order).alias("_before"),
-        *[F.lead("_log", k).over(order).alias(f"_x{k}") for k in reach], *[F.lead("_residual", k).over(order).alias(f"_r{k}") for k in reach],
-    )
-    # How far the lowest (highest) reading of each run stands above (below) the nearest good readings on either side.
-    runs = []
-    for k in reach:
-        inside = [f"_x{j}" for j in range(k)]
-        low, high = (F.least(*inside), F.greatest(*inside)) if k > 1 else (F.col("_x0"), F.col("_x0"))
-        whole = F.col(f"_x{k}").isNotNull() & F.col("_before").isNotNull()
-        up = (F.col("_r0") > F.col("_cutoff")) & (F.col(f"_r{k}") < -F.col("_cutoff")) & (low - F.greatest("_before", f"_x{k}") > F.col("_apart"))
-        down = (F.col("_r0") < -F.col("_cutoff")) & (F.col(f"_r{k}") > F.col("_cutoff")) & (F.least("_before", f"_x{k}") - high > F.col("_apart"))
-        runs.append(F.coalesce(whole & (up | down), F.lit(False)).alias(f"_run{k}"))
-    scored = scored.select("_series", "_day", "_field", "_value", *runs)
-    inside = F.lit(False)
-    for k in reach:
-        recent = order.rowsBetween(-(k - 1), 0)
-        inside = inside | F.coalesce(F.bool_or(f"_run{k}").over(recent), F.lit(False))
-    return scored.withColumn("_spike", inside)
-
-
-def _stuck(readings: DataFrame, rules: SpikeRules) -> DataFrame:
-    order = Window.partitionBy("_series", "_field").orderBy("_day")
-    fresh = F.col("_value").isNull() | F.lag("_value").over(order).isNull() | (F.col("_value") != F.lag("_value").over(order))
-    runs = readings.withColumn("_fresh", fresh.cast("int")).withColumn("_island", F.sum("_fresh").over(order))
-    runs = runs.withColumn("_held", F.count("_value").over(Window.partitionBy("_series", "_field", "_island")))
-    return runs.where((F.col("_fresh") == 0) & (F.col("_held") >= rules.stuck))
+    size = {i: F.abs(F.col(f"_residual{i}")) for i in every}
+    days = days.withColumns({f"_tail{i}": F.percentile(F.when(size[i] <= rules.gross * F.col(f"_typical{i}"), size[i]), points).over(source) for i in every})
+    return days.withColumns({f"_cutoff{i}": pareto_cutoff(*[F.col(f"_tail{i}")[k] for k in range(3)], rules.tail, rules.risk) for i in every})
+
+
+def tail_cutoffs(bars: DataFrame, rules: SpikeRules, *, series: str = "series_id", day: str = "date", row_id: str = "bar_id") -> DataFrame:
+    """``series_id, day, field, residual, typical, cutoff`` of each distinct day with a good reading; the first one of a series has no residual."""
+    scored = _scored(_daily(_typed(bars, series, day, row_id, rules), rules), rules)
+    cells = [F.struct(F.lit(r.name).alias("field"), F.col(f"_log{i}").alias("_log"), *[F.col(f"_{c}{i}").alias(c) for c in ("residual", "typical", "cutoff")]) for i, r in enumerate(rules.fields)]
+    return scored.select(F.col("_series").alias("series_id"), F.col("_day").alias("day"), F.inline(F.array(*cells))).where(F.col("_log").isNotNull()).drop("_log")
+
+
+def _marked(scored: DataFrame, rules: SpikeRules) -> DataFrame:
+    """Days with a spike or a stuck value: ``_series2, _day2`` and of each field ``_v, _spike, _stuck``."""
+    reach, ahead = range(1, rules.max_run + 1), range(1, rules.stuck)
+    every = range(len(rules.fields))
+    order = Window.partitionBy("_series").orderBy("_day")
+    new, fresh = {"_place": F.row_number().over(order)}, {}
+    for i in every:
+        new |= {f"_before{i}": _beside(f"_log{i}", -1)}
+        new |= {f"_x{i}_{k}": _beside(f"_log{i}", k) for k in reach} | {f"_r{i}_{k}": _beside(f"_residual{i}", k) for k in reach}
+        held = F.lag(f"_v{i}").over(order)
+        fresh[f"_fresh{i}"] = F.col(f"_v{i}").isNull() | held.isNull() | (F.col(f"_v{i}") != held)
+    days = scored.withColumns(new | fresh)
+
+    runs = {}
+    for i in every:
+        apart = F.lit(0.0) if rules.multiple is None else rules.multiple * F.col(f"_typical{i}")
+        cutoff, before, now = F.col(f"_cutoff{i}"), F.col(f"_before{i}"), F.col(f"_residual{i}")
+        for k in reach:
+            # How far the lowest (highest) reading of the run stands above (below) the nearest good readings on either side.
+            inside = [F.col(f"_log{i}"), *[F.col(f"_x{i}_{j}") for j in range(1, k)]]
+            low, high = (F.least(*inside), F.greatest(*inside)) if k > 1 else (inside[0], inside[0])
+            after, back = F.col(f"_x{i}_{k}"), F.col(f"_r{i}_{k}")
+            up = (now > cutoff) & (back < -cutoff) & (low - F.greatest(before, after) > apart)
+            down = (now < -cutoff) & (back > cutoff) & (F.least(before, after) - high > apart)
+            runs[f"_run{i}_{k}"] = F.when(F.col(f"_log{i}").isNotNull(), F.coalesce(before.isNotNull() & after.isNotNull() & (up | down), F.lit(False)))
+        runs[f"_start{i}"] = F.last(F.when(F.col(f"_fresh{i}"), F.col("_place")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        runs |= {f"_ends{i}_{k}": F.coalesce(F.lead(f"_fresh{i}", k).over(order), F.lit(True)) for k in ahead}
+    days = days.withColumns(runs)
+
+    out = []
+    for i in every:
+        parts = [F.coalesce(_beside(f"_run{i}_{k}", -j) if j else F.col(f"_run{i}_{k}"), F.lit(False)) for k in reach for j in range(k)]
+        spike = F.col(f"_log{i}").isNotNull() & reduce(lambda a, b: a | b, parts)
+        # Equal values behind and ahead of the reading, ahead no farther than a run needs.
+        behind = F.col("_place") - F.col(f"_start{i}")
+        further = reduce(lambda n, k: F.when(F.col(f"_ends{i}_{k}"), F.lit(k - 1)).otherwise(n), reversed(ahead), F.lit(rules.stuck - 1))
+        stuck = F.col(f"_v{i}").isNotNull() & ~F.col(f"_fresh{i}") & (behind + further + 1 >= rules.stuck)
+        out += [F.col(f"_v{i}"), spike.alias(f"_spike{i}"), stuck.alias(f"_stuck{i}")]
+    days = days.select(F.col("_series").alias("_series2"), F.col("_day").alias("_day2"), *out)
+    return days.where(reduce(lambda a, b: a | b, [F.col(f"_{c}{i}") for c in ("spike", "stuck") for i in every]))
 
 
 def flag_spikes(bars: DataFrame, rules: SpikeRules, *, series: str = "series_id", day: str = "date", row_id: str = "bar_id") -> DataFrame:
@@ -165,39 +177,25 @@ def flag_spikes(bars: DataFrame, rules: SpikeRules, *, series: str = "series_id"
     zero), ``outside`` (beyond its bar by more than the tolerance), ``stuck`` (inside a run of
     equal values, not its first), ``spike``.
 
-    Days are judged once, by the row with the smallest row id; every row that holds the judged
-    value is reported. Null readings are never reported and end a stuck run. Rows without a day
-    cannot be ordered and are judged by the first two rules only; a null series is a series of
+    Days are judged once, by the row with the smallest row id (of rows without one, by any); every row that
+    holds the judged value is reported. Null readings are never reported and end a stuck run. Rows without a
+    day cannot be ordered and are judged by the first two rules only; a null series is a series of
     its own. A series with fewer than two good readings has no spikes. Empty input, empty result.
     Only the named columns are read, so further columns of any name do no harm.
     """
     rows = _typed(bars, series, day, row_id, rules)
-    readings = _daily(rows, rules)
-    spikes = _spiked(_scored(readings, rules), rules).where("_spike").select("_series", "_day", "_field", "_value", F.lit(1).alias("_s"), F.lit(0).alias("_h"))
-    stuck = _stuck(readings, rules).select("_series", "_day", "_field", "_value", F.lit(0).alias("_s"), F.lit(1).alias("_h"))
-    marks = spikes.unionByName(stuck).groupBy("_series", "_day").agg(
-        *[
-            F.struct(
-                F.max(F.when(F.col("_field") == r.name, F.col("_value"))).alias("held"),
-                F.coalesce(F.max(F.when(F.col("_field") == r.name, F.col("_s"))), F.lit(0)).alias("s"),
-                F.coalesce(F.max(F.when(F.col("_field") == r.name, F.col("_h"))), F.lit(0)).alias("h"),
-            ).alias(f"_mark_{r.name}")
-            for r in rules.fields
-        ]
-    )
-    marks = marks.withColumnsRenamed({"_series": "_series2", "_day": "_day2"})
+    marks = _marked(_scored(_daily(rows, rules), rules), rules)
     joined = rows.join(marks, F.col("_series").eqNullSafe(F.col("_series2")) & (F.col("_day") == F.col("_day2")), "left")
     cells = []
-    for r in rules.fields:
+    for i, r in enumerate(rules.fields):
         bad, out = _implausible(r)
-        mark = F.col(f"_mark_{r.name}")
-        same = F.col(r.name).eqNullSafe(mark["held"])
+        same = F.col(r.name).eqNullSafe(F.col(f"_v{i}"))
         reasons = F.array_compact(
             F.array(
                 F.when(bad, F.lit("impossible")),
                 F.when(out, F.lit("outside")),
-                F.when(same & (mark["h"] == 1), F.lit("stuck")),
-                F.when(same & (mark["s"] == 1), F.lit("spike")),
+                F.when(same & F.col(f"_stuck{i}"), F.lit("stuck")),
+                F.when(same & F.col(f"_spike{i}"), F.lit("spike")),
             )
         )
         cells.append(F.struct(F.lit(r.name).alias("field"), F.col(r.name).alias("value"), reasons.alias("reasons")))

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 
-def _spikes(table: str, field: str, side: str) -> str:
-    """Rules (a) to (d) of the readings ``field``; side compares it with open and close of its bar, or is empty."""
+def _spikes(table: str, field: str, side: str, reasons: bool = False) -> str:
+    """Rules (a) to (d) of the readings ``field``; side compares it with open and close of its bar, or is empty. With ``reasons`` one row for each rule that holds."""
     outside = f"coalesce({side}, false)" if side else "false"
     signs = []
     for k in (1, 2, 3):
@@ -13,8 +13,12 @@ def _spikes(table: str, field: str, side: str) -> str:
             signs.append((k, f"({inside})"))
     runs = ", ".join(f"coalesce({' OR '.join(t for kk, t in signs if kk == k)}, false) AS r{k}" for k in (1, 2, 3))
     hit = " OR ".join(f"coalesce(lag(r{k}, {j}) OVER w, false)" for k in (1, 2, 3) for j in range(k))
+    impossible = f"(isnan(b.{field}) OR isinf(b.{field}) OR b.{field} <= 0)"
+    beyond = outside.replace("{x}", f"b.{field}").replace("{open}", "b.open").replace("{close}", "b.close")
+    rules = {"impossible": impossible, "outside": beyond, "stuck": f"coalesce(d.stuck AND d.x = b.{field}, false)", "spike": f"coalesce(d.spike AND d.x = b.{field}, false)"}
+    what = f"unnest(list_filter([{', '.join(f'CASE WHEN {c} THEN $${n}$$ END' for n, c in rules.items())}], lambda r: r IS NOT NULL)) AS reason" if reasons else "b.bar_id"
     return f"""
-SELECT '{table}' AS table_name, b.bar_id, '{field}' AS field
+SELECT '{table}' AS table_name, {what}, '{field}' AS field
 FROM {table} b
 LEFT JOIN (
   WITH days AS (
@@ -32,20 +36,37 @@ LEFT JOIN (
   ), good AS (SELECT steps.*, m FROM steps JOIN typical ON steps.series_id IS NOT DISTINCT FROM typical.series_id WHERE NOT outside
   ), runs AS (SELECT series_id, date, {runs} FROM good WINDOW w AS (PARTITION BY series_id ORDER BY date)
   ), spike AS (SELECT series_id, date, {hit} AS spike FROM runs WINDOW w AS (PARTITION BY series_id ORDER BY date))
-  SELECT r.series_id, r.date, r.x, coalesce(stuck, false) OR coalesce(spike, false) AS ordered
+  SELECT r.series_id, r.date, r.x, coalesce(stuck, false) AS stuck, coalesce(spike, false) AS spike
   FROM r LEFT JOIN stuck ON r.series_id IS NOT DISTINCT FROM stuck.series_id AND r.date = stuck.date LEFT JOIN spike ON r.series_id IS NOT DISTINCT FROM spike.series_id AND r.date = spike.date
 ) d ON b.series_id IS NOT DISTINCT FROM d.series_id AND b.date = d.date
-WHERE b.{field} IS NOT NULL AND (isnan(b.{field}) OR isinf(b.{field}) OR b.{field} <= 0 OR {outside.replace("{x}", f"b.{field}").replace("{open}", "b.open").replace("{close}", "b.close")} OR (coalesce(d.ordered, false) AND d.x = b.{field}))"""
+WHERE b.{field} IS NOT NULL AND ({" OR ".join(rules.values())})"""
 
 
-P1_FOUND = "\nUNION ALL\n".join(
-    [
-        _spikes("gspc", "open", ""),
-        _spikes("gspc", "low", "{x} > {open} * 1.03::DOUBLE AND {x} > {close} * 1.03::DOUBLE"),
-        _spikes("vix", "open", ""),
-        _spikes("vix", "high", "{x} < {open} * 0.97::DOUBLE AND {x} < {close} * 0.97::DOUBLE"),
-    ]
-)
+_LOW, _HIGH = "{x} > {open} * 1.03::DOUBLE AND {x} > {close} * 1.03::DOUBLE", "{x} < {open} * 0.97::DOUBLE AND {x} < {close} * 0.97::DOUBLE"
+_JUDGED = (("gspc", "open", ""), ("gspc", "low", _LOW), ("vix", "open", ""), ("vix", "high", _HIGH))
+P1_FOUND = "\nUNION ALL\n".join(_spikes(*which) for which in _JUDGED)
+P1_REASONS = f"SELECT table_name, field, reason, count(*) AS readings FROM ({' UNION ALL '.join(_spikes(*which, reasons=True) for which in _JUDGED)}) GROUP BY ALL"
+
+
+def _tail(field: str, side: str) -> str:
+    """Tail of the seasonal residuals of one gspc field, by series."""
+    outside = f"coalesce({side.replace('{x}', 'bar.x').replace('{open}', 'bar.open').replace('{close}', 'bar.close')}, false)" if side else "false"
+    return f"""
+SELECT series_id, '{field}' AS field, count(residual) AS residuals, count(*) FILTER (WHERE abs(residual) > cutoff) AS beyond, round(any_value(cutoff), 8) AS cutoff, round(any_value(m), 8) AS typical_change FROM (
+  WITH days AS (SELECT series_id, date, arg_min({{'x': {field}, 'open': open, 'close': close}}, bar_id) AS bar FROM gspc WHERE date IS NOT NULL GROUP BY series_id, date),
+  good AS (SELECT series_id, date, ln(bar.x) AS lv, {outside} AS outside FROM days WHERE bar.x IS NOT NULL AND NOT isnan(bar.x) AND NOT isinf(bar.x) AND bar.x > 0),
+  typical AS (SELECT series_id, median(step) AS m FROM (SELECT series_id, abs(lv - lag(lv) OVER (PARTITION BY series_id ORDER BY date)) AS step FROM good) GROUP BY series_id),
+  moved AS (SELECT series_id, date, lv - lag(lv) OVER (PARTITION BY series_id ORDER BY date) AS change FROM good WHERE NOT outside),
+  season AS (SELECT series_id, isodow(date) AS dow, median(change) AS s FROM moved GROUP BY ALL),
+  left_over AS (SELECT moved.series_id, change - coalesce(s, 0) AS residual, m FROM moved JOIN typical ON moved.series_id IS NOT DISTINCT FROM typical.series_id LEFT JOIN season ON moved.series_id IS NOT DISTINCT FROM season.series_id AND isodow(moved.date) = dow),
+  ends AS (SELECT series_id, quantile_cont(abs(residual), 0.9) AS u, quantile_cont(abs(residual), 0.95) AS mid, quantile_cont(abs(residual), 0.975) AS far FROM left_over WHERE abs(residual) <= 12 * m GROUP BY series_id),
+  shaped AS (SELECT *, CASE WHEN mid > u AND far > mid THEN least(greatest(log2((far - mid) / (mid - u)), -1), 2) ELSE 0 END AS shape FROM ends),
+  cut AS (SELECT series_id, u + CASE WHEN abs(shape) < 1e-6 THEN (mid - u) / ln(2) * ln(5) ELSE (mid - u) * shape / (pow(2, shape) - 1) * (pow(5, shape) - 1) / shape END AS cutoff FROM shaped)
+  SELECT left_over.*, cutoff FROM left_over LEFT JOIN cut ON left_over.series_id IS NOT DISTINCT FROM cut.series_id
+) GROUP BY series_id"""
+
+
+P1_CUTOFFS = f"{_tail('open', '')} UNION ALL {_tail('low', _LOW)}"
 
 _FIELDS = ("dv_cc", "rv_cc_trail_22", "target_rv_22")
 _ROLL = f"""
@@ -153,4 +174,6 @@ SELECT series_id, day, CASE WHEN y IS NULL THEN 'gspc_only' WHEN x IS NULL THEN
 _P5 = ("open", "high", "low", "close", "volume")
 P5_FIELDS = _pairs(_P5) + "\nUNION ALL\n".join(f" SELECT series_id, day, '{n}' AS field, x.{n} AS left_value, y.{n} AS right_value FROM j WHERE x IS NOT NULL AND y IS NOT NULL AND {_apart(n)}" for n in _P5)
 
-ORACLES = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_rolling": P2_ROLLING, "p3_found": P3_FOUND, "p3_gspc": P3_GSPC, "p3_vix": P3_VIX, "p4_found": P4_FOUND, "p4_profile": P4_PROFILE, "p5_found": P5_FOUND, "p5_fields": P5_FIELDS}
+ORACLES = {
+    "p1_reasons": P1_REASONS,
+    "p1_cutoffs": P1_CUTOFFS,"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_rolling": P2_ROLLING, "p3_found": P3_FOUND, "p3_gspc": P3_GSPC, "p3_vix": P3_VIX, "p4_found": P4_FOUND, "p4_profile": P4_PROFILE, "p5_found": P5_FOUND, "p5_fields": P5_FIELDS}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ def p1_flags(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p1_flags(spark, folder).select("table_name", F.col("row_id").alias("bar_id"), "field").distinct()
+    return p1_flags(spark, folder).select("table_name", F.col("row_id").alias("bar_id"), "field")
 
 
 def p1_reasons(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,11 +38,18 @@ def p1_reasons(spark: SparkSession, folder: str) -> DataFrame:
 def p1_cutoffs(spark: SparkSession, folder: str) -> DataFrame:
     """Fitted tail of each series and field of gspc: residuals, those beyond the cutoff, cutoff and typical change."""
     scored = tail_cutoffs(table(spark, folder, "gspc"), GSPC)
-    return scored.groupBy(F.col("_series").alias("series_id"), F.col("_field").alias("field")).agg(
-        F.count("_residual").alias("residuals"), F.count_if(F.abs("_residual") > F.col("_cutoff")).alias("beyond"), F.round(F.max("_cutoff"), 8).alias("cutoff"), F.round(F.max("_typical"), 8).alias("typical_change")
+    return scored.groupBy("series_id", "field").agg(
+        F.count("residual").alias("residuals"), F.count_if(F.abs("residual") > F.col("cutoff")).alias("beyond"), F.round(F.max("cutoff"), 8).alias("cutoff"), F.round(F.max("typical"), 8).alias("typical_change")
     )
 
 
+def p1_tail(spark: SparkSession, folder: str) -> DataFrame:
+    """Spikes of gspc by the tail alone, at a risk of one in ten thousand, without the exact check that ``p1_found`` adds."""
+    rules = replace(GSPC, multiple=None, risk=0.0001)
+    spikes = flag_spikes(table(spark, folder, "gspc"), rules).where(F.array_contains("reasons", "spike"))
+    return spikes.select(F.col("row_id").alias("bar_id"), "field")
+
+
 def p2_rolling(spark: SparkSession, folder: str) -> DataFrame:
     out = rolling_totals(table(spark, folder, "features"), ROLLED)
     numbers = [c for c in out.columns if c.startswith(("total_", "avg_"))]
@@ -107,4 +116,4 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return _copies(spark, folder, ("close",)).select("series_id", F.col("date").cast("string").alias("day"), kind.alias("kind"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_cutoffs, p2_found, p2_rolling, p3_found, p3_gspc, p3_vix, p4_found, p4_profile, p4_shifts, p5_found, p5_fields)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_cutoffs, p1_tail, p2_found, p2_rolling, p3_found, p3_gspc, p3_vix, p4_found, p4_profile, p4_shifts, p5_found, p5_fields)}
