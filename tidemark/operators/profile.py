@@ -1,30 +1,26 @@
 """Quality profile of every column for each load, and loads that differ from the others.
 
 Base figures are exact aggregates. Distribution changes are found by classifier two-sample
-tests: for each load a logistic regression tells its rows from those of the other loads. The
-judged columns are reduced to a fixed, small set of states (missing, NaN, zero, negative, order
-of magnitude, repeated within the load), so the counts of states, a distributed aggregate whose
-size does not depend on the number of rows, are the regression's exact sufficient statistic:
-every row takes part in the training, none is moved to it.
+tests: for each load a logistic regression, trained by sums over all partitions, tells its rows
+from those of the other loads. How well it does so on rows it was not trained on is held
+against the same in loads permuted at random, so the limit needs no assumption.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Mapping, Sequence
-from functools import reduce
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.quantiles import counted_medians
+from tidemark.session import cut_lineage
 
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
-#: Magnitude states: half decades between 1e-12 and 1e12. States of a number: 3 special ones, then sign x magnitude x repeated.
-_STEPS = 48
-_STATES = 3 + 2 * (_STEPS + 1) * 2
+_MOST_LOADS = 100_000
 
 
 def _kind(dtype: str) -> str:
@@ -96,161 +92,282 @@ def profile_loads(df: DataFrame, columns: Sequence[str] | None = None, *, load:
     return base.withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0))).select(F.col("_load").alias(load), "column_name", *order)
 
 
-def _number_state(x: Column, repeated: Column) -> Column:
-    step = F.least(F.greatest(F.floor(F.log10(F.abs(x)) * 2) + _STEPS // 2, F.lit(0)), F.lit(_STEPS))
-    state = 3 + (F.when(x < 0, 1).otherwise(0) * (_STEPS + 1) + step) * 2 + repeated.cast("int")
-    return F.when(x.isNull(), 0).when(F.isnan(x), 1).when(x == 0, 2).otherwise(state).cast("int")
-
-
-def _features(states: np.ndarray, kind: str) -> np.ndarray:
-    """Rows of regression inputs for each state of a column."""
-    s = states.astype(int)
-    if kind == "flag":
-        return np.stack([s == 0, s == 2], 1).astype(float)
-    plain = s >= 3
-    code = np.where(plain, s - 3, 0)
-    size = np.where(plain, (code // 2) % (_STEPS + 1) - _STEPS // 2, 0) / 4.0
-    near = np.average(size[plain]) if plain.any() else 0.0
-    size = np.where(plain, size - near, 0.0)
-    return np.stack([s == 0, s == 1, s == 2, plain & (code // 2 >= _STEPS + 1), plain & (code % 2 == 1), size, np.minimum(size * size, 16.0)], 1).astype(float)
-
-
-def _fit(x: np.ndarray, y1: np.ndarray, y0: np.ndarray, ridge: float, steps: int = 12) -> np.ndarray:
-    """Newton's method for weighted logistic regression on counted rows, both classes weighing the same."""
-    a, b = max(y1.sum(), 1e-9), max(y0.sum(), 1e-9)
-    n = min(a, b)
-    w1, w0 = y1 * (n / a), y0 * (n / b)
-    total, beta = w1 + w0, np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
-    penalty[0] = 1e-6
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        gradient = x.T @ (w1 - total * p) - penalty * beta
-        hessian = (x * (total * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        move = np.linalg.solve(hessian, gradient)
-        beta = beta + np.clip(move, -4, 4)
-        if np.abs(move).max() < 1e-6:
-            break
-    return beta
-
-
-def _auc(score: np.ndarray, y1: np.ndarray, y0: np.ndarray) -> float:
-    """Chance that a row of the load scores above one of the others; ties count half."""
-    order = np.argsort(score, kind="stable")
-    s, a, b = score[order], y1[order], y0[order]
-    starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-    a, b = np.add.reduceat(a, starts), np.add.reduceat(b, starts)
-    if a.sum() == 0 or b.sum() == 0:
-        return float("nan")
-    return float((a * (np.cumsum(b) - b / 2)).sum() / (a.sum() * b.sum()))
-
-
-def two_sample_test(cells: pd.DataFrame, kinds: Sequence[str], ridge: float = 1.0) -> list[tuple[float, float, float, float, float, float]]:
-    """Cross-fitted comparison of two counted samples.
-
-    cells: ``s0, s1, ...`` (states), ``fold`` (0 or 1), ``own`` and ``other`` (rows). For each column:
-    AUC of all columns, AUC without the column, AUC of the column alone, then the held-out log
-    likelihood the column adds to all others, the one it gains alone, and the larger upper bound of
-    the two, two standard errors above.
+#: Hash states of a text column, and width and sharpness of the bins in which scores are counted.
+_TEXT_STATES, _FINE, _PER_FOLD = 16, 200.0, 12.0
+
+
+@dataclass(frozen=True)
+class _Frame:
+    """What every task needs to turn rows into regression inputs: kinds and scales of the columns, shares of the loads.
+
+    reference: the loads that others are held against.
     """
-    blocks = [_features(cells[f"s{i}"].to_numpy(), k) for i, k in enumerate(kinds)]
-    own, other, fold = cells["own"].to_numpy(float), cells["other"].to_numpy(float), cells["fold"].to_numpy()
-    one = np.ones((len(cells), 1))
-    subsets = {"all": tuple(range(len(kinds))), "none": ()}
-    for i in range(len(kinds)):
-        subsets[f"without{i}"] = tuple(j for j in range(len(kinds)) if j != i)
-        subsets[f"only{i}"] = (i,)
-    scores = {}
-    for name, used in subsets.items():
-        x = np.hstack([one, *[blocks[j] for j in used]])
-        score = np.zeros(len(cells))
-        for held in (0, 1):
-            train = fold != held
-            if own[train].sum() > 0 and other[train].sum() > 0:
-                score[~train] = x[~train] @ _fit(x[train], own[train], other[train], ridge)
-        scores[name] = np.clip(score, -30, 30)
-    n1, n0 = max(own.sum(), 1e-9), max(other.sum(), 1e-9)
-    n = min(n1, n0)
-
-    def gain(a: str, b: str) -> tuple[float, float]:
-        up = -np.logaddexp(0, -scores[a]) + np.logaddexp(0, -scores[b])
-        down = -np.logaddexp(0, scores[a]) + np.logaddexp(0, scores[b])
-        w1, w0 = own * (n / n1), other * (n / n0)
-        mean1, mean0 = (w1 * up).sum() / n, (w0 * down).sum() / n
-        spread = (w1 * (up - mean1) ** 2).sum() + (w0 * (down - mean0) ** 2).sum() * min(1.0, n / n0)
-        return float(n * (mean1 + mean0)), math.sqrt(max(spread, 0.0))
-
-    def auc(name: str) -> float:
-        """Scores of two fits are not compared: the folds' figures, weighted by the load's rows."""
-        parts = [(_auc(scores[name][fold == k], own[fold == k], other[fold == k]), own[fold == k].sum()) for k in (0, 1)]
-        parts = [(a, n) for a, n in parts if not math.isnan(a)]
-        return sum(a * n for a, n in parts) / sum(n for _, n in parts) if parts else float("nan")
-
-    out = []
-    whole = auc("all")
-    for i in range(len(kinds)):
-        (added, e1), (alone, e2) = gain("all", f"without{i}"), gain(f"only{i}", "none")
-        out.append((whole, auc(f"without{i}"), auc(f"only{i}"), added, alone, max(added + 2 * e1, alone + 2 * e2)))
-    return out
-
-
-def load_shifts(df: DataFrame, columns: Sequence[str], *, load: str = "load_id", row_id: str = "feature_id", ridge: float = 1.0) -> DataFrame:
-    """Classifier two-sample test of each load against all other loads, by column.
-
-    ``load_id, column_name, auc, auc_without, auc_alone, gain, gain_alone, upper``: cross-fitted
-    discrimination with all columns, without the column (ablation) and by the column alone; held-out log
-    likelihood it adds and gains alone, and an upper bound of these. A column whose upper bound is
-    below zero is one in which the test sees no change. At most four columns (numbers or flags) are
-    tested together: their joint states are what is sent to the regression, and are bounded.
-
-    A lone load has nothing to be compared with: its figures are null and upper is infinite. A null
-    load is a load; a null row id goes to a fold of its own hash. An empty table gives no rows.
+
+    kinds: tuple[str, ...]
+    centre: tuple[float, ...]
+    spread: tuple[float, ...]
+    upto: np.ndarray
+    reference: np.ndarray
+
+    @property
+    def loads(self) -> int:
+        return len(self.upto)
+
+    def inputs(self, batch: pd.DataFrame) -> list[np.ndarray]:
+        """One matrix for each column, its first input constant."""
+        blocks = []
+        for i, kind in enumerate(self.kinds):
+            x = batch[f"_c{i}"].to_numpy(float, na_value=np.nan)
+            absent = batch[f"_c{i}"].isna().to_numpy() if kind != "number" else batch[f"_m{i}"].to_numpy(bool)
+            parts = [np.ones(len(batch)), absent]
+            if kind == "flag":
+                parts.append(x == 1)
+            elif kind == "text":
+                parts += [x == k for k in range(1, _TEXT_STATES)]
+            else:
+                finite = np.isfinite(x) & (x != 0)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    size = np.where(finite, (np.log(np.abs(x)) - self.centre[i]) / self.spread[i], 0.0)
+                size = np.clip(size, -8, 8)
+                parts += [~absent & ~np.isfinite(x), x == 0, finite & (x < 0), batch[f"_r{i}"].to_numpy(bool), size, np.minimum(size * size, 16.0)]
+            blocks.append(np.stack([np.asarray(p, float) for p in parts], 1))
+        return blocks
+
+    def _drawn(self, h: np.ndarray, k: int, not_this: np.ndarray | None = None) -> np.ndarray:
+        """A load for each row, by its hash, in proportion to the loads' rows."""
+        pick = np.minimum(np.searchsorted(self.upto, _uniform(h, k), "right"), self.loads - 1)
+        if not_this is not None:
+            for again in range(1, 4):
+                same = pick == not_this
+                pick[same] = np.minimum(np.searchsorted(self.upto, _uniform(h[same], k + again), "right"), self.loads - 1)
+            pick = np.where(pick == not_this, (pick + 1) % self.loads, pick)
+        return pick
+
+    def uses(self, batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, model, label, fold) of the uses of each row: in its load; of rows of the reference also against another load, and both with permuted loads.
+
+        Models count the loads, then the permuted ones.
+        """
+        h = batch["_h"].to_numpy(np.int64).view(np.uint64)
+        own = batch["_own"].to_numpy(np.int64)
+        fold = (_uniform(h, 1) < 0.5).astype(np.int64)
+        kept = np.flatnonzero(self.reference[own])
+        fake = self._drawn(h[kept], 20)
+        row = np.concatenate([np.arange(len(own)), kept, kept, kept])
+        model = np.concatenate([own, self._drawn(h[kept], 10, own[kept]), self.loads + fake, self.loads + self._drawn(h[kept], 30, fake)])
+        return row, model, np.repeat([1.0, 0.0, 1.0, 0.0], [len(own), *[len(kept)] * 3]), fold[row]
+
+
+def _uniform(h: np.ndarray, k: int) -> np.ndarray:
+    """Numbers in [0, 1) from 64-bit hashes, another for each ``k``."""
+    with np.errstate(over="ignore"):
+        z = h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z = z ^ (z >> np.uint64(31))
+    return (z >> np.uint64(11)).astype(float) / 2.0**53
+
+
+def _logits(blocks: list[np.ndarray], weights: list[np.ndarray], fit: np.ndarray) -> np.ndarray:
+    """Logit of each column's own regression for each use of a row; two fits a model, one for each held fold."""
+    return np.stack([np.einsum("ij,ij->i", x, w[fit]) for x, w in zip(blocks, weights)], 1)
+
+
+def _moments(x: np.ndarray, logit: np.ndarray, label: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Gradient and Hessian of the log likelihood, summed over the uses of each fit."""
+    p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+    rows = x[order]
+    first = np.add.reduceat(rows * (label - p)[order, None], starts)
+    second = np.add.reduceat(rows[:, :, None] * (rows * (p * (1 - p))[order, None])[:, None, :], starts)
+    return np.concatenate([first, second.reshape(len(starts), -1)], 1)
+
+
+def _fits(rows: DataFrame, frame: _Frame, ridge: float, steps: tuple[int, int], known: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Weights, from ``known`` ones on, of each column's own regression and of the joint one over their logits, for each model and held fold.
+
+    Every step of Newton's method is one distributed sum over all rows; the driver gets gradients and Hessians
+    only, whose size is loads x columns.
+    """
+    spark = rows.sparkSession
+    widths = [{"flag": 3, "text": 1 + _TEXT_STATES, "number": 8}[k] for k in frame.kinds]
+    fits, joint_width = 4 * frame.loads, len(widths) + 1
+    weights, joint = known or [np.zeros((fits, w)) for w in widths], np.zeros((fits, joint_width))
+    joint[:, 1:] = 1.0
+
+    for step in range(sum(steps)):
+        stage, sizes = (1, widths) if step < steps[0] else (2, [joint_width])
+        shared = spark.sparkContext.broadcast((weights, joint))
+
+        def tally(batches: Iterator[pd.DataFrame], stage=stage, shared=shared) -> Iterator[pd.DataFrame]:
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                if not len(batch):
+                    continue
+                own, both = shared.value
+                row, model, label, fold = frame.uses(batch)
+                blocks = [x[row] for x in frame.inputs(batch)]
+                fit = 2 * model + 1 - fold
+                order = np.argsort(fit, kind="stable")
+                starts = np.flatnonzero(np.r_[True, np.diff(fit[order]) != 0])
+                logit = _logits(blocks, own, fit)
+                if stage == 1:
+                    sums = np.concatenate([_moments(x, logit[:, i], label, order, starts) for i, x in enumerate(blocks)], 1)
+                else:
+                    x = np.concatenate([np.ones((len(fit), 1)), np.clip(logit, -30, 30)], 1)
+                    sums = _moments(x, np.einsum("ij,ij->i", x, both[fit]), label, order, starts)
+                for k, v in zip(fit[order][starts].tolist(), sums):
+                    total[k] = total[k] + v if k in total else v
+            if total:
+                width = len(next(iter(total.values())))
+                yield pd.DataFrame({"fit": np.repeat(np.array(list(total), np.int64), width), "place": np.tile(np.arange(width, dtype=np.int32), len(total)), "part": np.concatenate(list(total.values()))})
+
+        long = rows.mapInPandas(tally, "fit long, place int, part double")
+        summed = long.groupBy("fit", "place").agg(F.sum("part").alias("part")).toPandas()
+        table = np.zeros((fits, sum(w + w * w for w in sizes)))
+        table[summed["fit"].to_numpy(np.int64), summed["place"].to_numpy(np.int64)] = summed["part"].to_numpy(float)
+        at = 0
+        for i, w in enumerate(sizes):
+            beta = weights[i] if stage == 1 else joint
+            penalty = np.r_[1e-3, np.full(w - 1, ridge)]
+            goal = np.zeros(w) if stage == 1 else np.r_[0.0, np.ones(w - 1)]
+            gradient = table[:, at : at + w] - penalty * (beta - goal)
+            hessian = table[:, at + w : at + w + w * w].reshape(fits, w, w) + np.diag(penalty)
+            beta += np.clip(np.linalg.solve(hessian, gradient[:, :, None])[:, :, 0], -4, 4)
+            at += w + w * w
+        shared.unpersist()
+    return weights, joint
+
+
+def load_shifts(df: DataFrame, columns: Sequence[str], *, load: str = "load_id", row_id: str = "feature_id", ridge: float = 1.0, steps: tuple[int, int] = (3, 2)) -> DataFrame:
+    """Classifier two-sample test of each load against the others, by column.
+
+    ``load_id, column_name, rows, auc, auc_without, auc_alone, z, z_drop, limit, limit_drop, changed``. A logistic regression
+    for each load tells its rows from as many of a reference (every row stands once for its own load, and
+    once against another one, drawn in proportion to their sizes). The reference is all loads but those
+    that a first, coarser fit finds far from the others: at least half of the loads. auc: cross-fitted discrimination of the
+    joint regression; auc_without: of the same without the column's part (ablation); auc_alone: of the column's own
+    regression. z and z_drop: auc_alone over one half and the loss by ablation, in standard errors. The limits are the
+    highest z and z_drop that any of the columns reaches in loads permuted at random within the reference, of the
+    same sizes and by the same fits; ``changed`` if either limit is passed.
+
+    Any number of columns of any type: numbers, dates and times by missing, not finite, zero, negative, repeated within
+    the load, and standardised log magnitude with its square; flags; texts by hash states. All rows take part in
+    the training, by sums over the partitions; neither rows nor groups of them are gathered. What the driver holds
+    grows with loads x columns only.
+
+    A lone load has nothing to be compared with: its figures are null and changed is true. A null load is a
+    load; rows of equal or null ids go to folds by their values too. An empty table gives no rows.
     """
-    if not 1 <= len(columns) <= 4:
-        raise ValueError("between one and four columns are tested together")
     types = dict(df.dtypes)
-    kinds = [_kind(types[c]) for c in columns]
-    if "text" in kinds:
-        raise ValueError("only numbers and flags can be tested")
-    names = [f"_c{i}" for i in range(len(columns))]
-    rows = df.select(F.col(load).alias("_load"), (F.abs(F.hash(F.col(row_id))) % 2).alias("_fold"), *[F.col(c).cast("double" if k == "number" else "boolean").alias(n) for c, k, n in zip(columns, kinds, names)])
-    for n, k in zip(names, kinds):
-        if k == "number":
-            repeated = rows.where(F.col(n).isNotNull() & ~F.isnan(n) & (F.col(n) != 0)).groupBy("_load", n).agg(F.count(F.lit(1)).alias("_times")).where(F.col("_times") > 1)
-            repeated = repeated.select(F.col("_load").alias("_rl"), F.col(n).alias("_rv"), F.lit(True).alias("_again"))
-            rows = rows.join(repeated, F.col("_load").eqNullSafe(F.col("_rl")) & (F.col(n) == F.col("_rv")), "left")
-            rows = rows.withColumn(n.replace("c", "s"), _number_state(F.col(n), F.coalesce("_again", F.lit(False)))).drop("_rl", "_rv", "_again", n)
-        else:
-            rows = rows.withColumn(n.replace("c", "s"), F.when(F.col(n).isNull(), 0).when(F.col(n), 2).otherwise(1)).drop(n)
-    states = [f"_s{i}" for i in range(len(columns))]
-    cells = rows.groupBy("_load", "_fold", *states).agg(F.count(F.lit(1)).alias("_own"))
-    # The states are finitely many whatever the number of rows; what is broadcast is their counts over all loads.
-    every = cells.groupBy("_fold", *states).agg(F.sum("_own").alias("_own")).toPandas()
-    bound = 2 * reduce(lambda a, k: a * (_STATES if k == "number" else 3), kinds, 1)
-    assert len(every) <= bound
-    every = every.rename(columns={"_fold": "fold", "_own": "total", **{s: s[1:] for s in states}})
-    shared = df.sparkSession.sparkContext.broadcast(every)
+    kinds = tuple("number" if types[c] in ("date", "timestamp", "timestamp_ntz") else _kind(types[c]) for c in columns)
+    picked = df.select(F.col(load).alias("_load"), F.xxhash64(F.col(row_id), *columns).alias("_h"), *[_as_input(F.col(c), types[c], k).alias(f"_c{i}") for i, (c, k) in enumerate(zip(columns, kinds))])
+    numbers = [i for i, k in enumerate(kinds) if k == "number"]
+    # One pass for the sizes of the loads and the scale of each column.
+    logs = {i: F.when((F.abs(f"_c{i}") > 0) & (F.abs(f"_c{i}") < float("inf")), F.ln(F.abs(f"_c{i}"))) for i in numbers}
+    sizes = picked.groupBy("_load").agg(F.count(F.lit(1)).alias("_n"), *[a for i, x in logs.items() for a in (F.avg(x).alias(f"_mean{i}"), F.stddev_pop(x).alias(f"_sd{i}"))]).collect()
+    if len(sizes) > _MOST_LOADS:
+        raise ValueError(f"more than {_MOST_LOADS} loads")
     load_type = types[load]
-    keys = ["fold", *[s[1:] for s in states]]
-    labels = list(columns)
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        mine = group.rename(columns={"_fold": "fold", "_own": "own", **{s: s[1:] for s in states}})
-        both = shared.value.merge(mine[[*keys, "own"]], on=keys, how="left").fillna({"own": 0})
-        both["other"] = both["total"] - both["own"]
-        both = both[(both["own"] > 0) | (both["other"] > 0)]
-        blank = (None,) * 5 + (float("inf"),)
-        figures = two_sample_test(both, kinds, ridge) if both["other"].sum() > 0 else [blank] * len(labels)
-        return pd.DataFrame([(group["_load"].iloc[0], c, *f) for c, f in zip(labels, figures)], columns=["_load", "column_name", "auc", "auc_without", "auc_alone", "gain", "gain_alone", "upper"])
-
-    schema = f"_load {load_type}, column_name string, auc double, auc_without double, auc_alone double, gain double, gain_alone double, upper double"
-    return cells.groupBy("_load").applyInPandas(compare, schema).withColumnRenamed("_load", load)
+    schema = f"{load} {load_type}, column_name string, rows long, auc double, auc_without double, auc_alone double, z double, z_drop double, limit double, limit_drop double, changed boolean"
+    if len(sizes) < 2:
+        return df.sparkSession.createDataFrame([(r["_load"], c, r["_n"], *[None] * 7, True) for r in sizes for c in columns], schema)
+
+    def usual(name: str, i: int, floor: float) -> float:
+        found = [r[f"{name}{i}"] for r in sizes if r[f"{name}{i}"] is not None]
+        middle = float(np.median(found)) if found else 0.0
+        return middle if name == "_mean" or middle > floor else max(float(np.ptp([r[f"_mean{i}"] for r in sizes if r[f"_mean{i}"] is not None])), 1.0) if found else 1.0
+
+    centre = tuple(usual("_mean", i, 0) if i in numbers else 0.0 for i in range(len(kinds)))
+    spread = tuple(usual("_sd", i, 1e-9) if i in numbers else 1.0 for i in range(len(kinds)))
+    upto = np.cumsum([r["_n"] for r in sizes]) / sum(r["_n"] for r in sizes)
+    frame = _Frame(kinds, centre, spread, upto, np.ones(len(sizes), bool))
+    places = df.sparkSession.createDataFrame([(r["_load"], i) for i, r in enumerate(sizes)], f"_of {load_type}, _own int")
+
+    rows = picked.join(F.broadcast(places), F.col("_load").eqNullSafe(F.col("_of"))).drop("_of")  # at most _MOST_LOADS rows
+    for i in numbers:
+        x = F.col(f"_c{i}")
+        repeated = picked.where(x.isNotNull() & ~F.isnan(x) & (x != 0)).groupBy("_load", x).agg(F.count(F.lit(1)).alias("_times")).where(F.col("_times") > 1)
+        repeated = repeated.select(F.col("_load").alias("_rl"), x.alias("_rv"), F.lit(True).alias("_again"))
+        rows = rows.join(repeated, F.col("_load").eqNullSafe(F.col("_rl")) & (x == F.col("_rv")), "left")
+        rows = rows.withColumns({f"_r{i}": F.coalesce("_again", F.lit(False)), f"_m{i}": x.isNull()}).drop("_rl", "_rv", "_again")
+    rows = cut_lineage(rows.drop("_load"))
+
+    # The others may hold spoiled loads, which would make every sound one differ from them: those that stand out at first sight leave the reference.
+    weights, joint = _fits(rows, frame, ridge, (2, 0))
+    first = _figures(rows, frame, weights, joint, columns).toPandas()
+    frame = replace(frame, reference=_inliers(first, frame.loads))
+    weights, joint = _fits(rows, frame, ridge, steps, weights)
+    table = _figures(rows, frame, weights, joint, columns)
+    permuted = F.col("model") >= frame.loads
+    limits = table.where(permuted).agg(F.coalesce(F.max("z"), F.lit(0.0)).alias("limit"), F.coalesce(F.max("z_drop"), F.lit(0.0)).alias("limit_drop")).first()
+    out = table.where(~permuted).withColumns({k: F.lit(float(limits[k])) for k in ("limit", "limit_drop")})
+    out = out.join(F.broadcast(places), F.col("model") == F.col("_own"))
+    changed = (F.col("z") > F.col("limit")) | (F.col("z_drop") > F.col("limit_drop"))
+    return out.select(F.col("_of").alias(load), "column_name", "rows", "auc", "auc_without", "auc_alone", "z", "z_drop", "limit", "limit_drop", changed.alias("changed"))
+
+
+def _inliers(figures: pd.DataFrame, loads: int) -> np.ndarray:
+    """The loads of which no column stands out among the others' discrimination, by five median deviations; at least half of them."""
+    table = figures[figures["model"] < loads].pivot(index="model", columns="column_name", values="auc_alone")
+    table = table.reindex(range(loads)).fillna(0.5)
+    off = table - table.median()
+    excess = (off / (1.4826 * off.abs().median() + 0.002)).max(axis=1).to_numpy()
+    return (excess <= 5.0) | (excess <= np.median(excess))
+
+
+def _figures(rows: DataFrame, frame: _Frame, weights: list[np.ndarray], joint: np.ndarray, columns: Sequence[str]) -> DataFrame:
+    """``model, rows, column_name, auc, auc_without, auc_alone, z, z_drop`` of held-out rows, by counted scores."""
+    shared = rows.sparkSession.sparkContext.broadcast((weights, joint))
+    variants = 1 + 2 * len(columns)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, both = shared.value
+        seen, ones, zeros = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        for batch in batches:
+            if not len(batch):
+                continue
+            row, model, label, fold = frame.uses(batch)
+            fit = 2 * model + fold
+            logit = np.clip(_logits([x[row] for x in frame.inputs(batch)], own, fit), -30, 30)
+            parts = logit * both[fit][:, 1:]
+            whole = parts.sum(1) + both[fit][:, 0]
+            every = np.concatenate([whole[:, None], whole[:, None] - parts, logit], 1)
+            bins = np.rint(np.arcsinh(every * _FINE) * _PER_FOLD).astype(np.int64) + 512
+            code = (((fit[:, None] * variants) + np.arange(variants)) * 1024 + np.clip(bins, 0, 1023)).ravel()
+            which, place = np.unique(np.concatenate([seen, code]), return_inverse=True)
+            labels = np.repeat(label, variants)
+            ones = np.bincount(place, np.concatenate([ones, labels]), len(which))
+            zeros = np.bincount(place, np.concatenate([zeros, 1 - labels]), len(which))
+            seen = which
+        yield pd.DataFrame({"fit": seen // 1024 // variants, "variant": (seen // 1024 % variants).astype(np.int32), "bin": (seen % 1024).astype(np.int32), "ones": ones.astype(np.int64), "zeros": zeros.astype(np.int64)})
+
+    counted = rows.mapInPandas(score, "fit long, variant int, bin int, ones long, zeros long").groupBy("fit", "variant", "bin").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    below = F.sum("zeros").over(Window.partitionBy("fit", "variant").orderBy("bin")) - F.col("zeros") / 2
+    # Scores of the two fits of a model are not compared: the figure is the mean of the folds', by their rows.
+    folds = counted.withColumn("_won", F.col("ones") * below).groupBy("fit", "variant").agg(F.sum("_won").alias("_won"), F.sum("ones").alias("_n1"), F.sum("zeros").alias("_n0"))
+    figures = folds.where((F.col("_n1") > 0) & (F.col("_n0") > 0)).groupBy(F.floor(F.col("fit") / 2).alias("model"), "variant").agg((F.sum(F.col("_won") / F.col("_n0")) / F.sum("_n1")).alias("auc"), F.sum("_n1").alias("n1"), F.sum("_n0").alias("n0"))
+    wide = figures.groupBy("model").agg(F.max("n1").alias("_n1"), F.max("n0").alias("_n0"), *[F.max(F.when(F.col("variant") == v, F.col("auc"))).alias(f"_a{v}") for v in range(variants)])
+    cells = [F.struct(F.lit(c).alias("column_name"), F.col("_a0").alias("auc"), F.col(f"_a{1 + i}").alias("auc_without"), F.col(f"_a{1 + len(columns) + i}").alias("auc_alone")) for i, c in enumerate(columns)]
+    error = F.sqrt((F.col("_n1") + F.col("_n0") + 1) / (12 * F.col("_n1") * F.col("_n0")))
+    table = wide.select("model", F.col("_n1").alias("rows"), error.alias("_error"), F.inline(F.array(*cells)))
+    return table.select("model", "rows", "column_name", "auc", "auc_without", "auc_alone", ((F.col("auc_alone") - 0.5) / F.col("_error")).alias("z"), ((F.col("auc") - F.col("auc_without")) / F.col("_error")).alias("z_drop"))
+
+
+def _as_input(x: Column, dtype: str, kind: str) -> Column:
+    """A column as one number: itself, days or seconds, 1 or 0, or the hash state of its text."""
+    if kind == "text":
+        return F.when(x.isNotNull(), F.pmod(F.xxhash64((F.to_json(x) if dtype.startswith(("struct", "map", "array")) else x.cast("string"))), F.lit(_TEXT_STATES))).cast("double")
+    if dtype == "date":
+        return F.unix_date(x).cast("double")
+    if dtype in ("timestamp", "timestamp_ntz"):
+        return F.unix_micros(x.cast("timestamp")).cast("double")
+    return x.cast("double") if kind == "number" else x.cast("int").cast("double")
 
 
 def out_of_line(df: DataFrame, columns: Sequence[str], *, load: str = "load_id", row_id: str = "feature_id", unsigned: Sequence[str] = (), nulls: float = 0.12, odd: float = 0.03, distinct: float = 0.5, factor: float = 10.0, share: float = 0.2) -> DataFrame:
     """Loads and columns that are out of line with the other loads: ``load_id, column_name, reasons``.
 
-    Candidates are the loads and columns in which :func:`load_shifts` cannot rule out a change; their
+    Candidates are the loads and columns in which :func:`load_shifts` finds a change; their
     exact figures are then held against the median over all loads of the same figure. Reasons: ``nulls``
     (share of nulls off by at least that much), ``odd`` (NaN, exact zeros and, for ``unsigned`` columns,
     negatives make up that share of the non-null values), ``distinct`` (distinct values for each non-null value
@@ -274,7 +391,7 @@ def out_of_line(df: DataFrame, columns: Sequence[str], *, load: str = "load_id",
     )
     measures = ["null_share", "distinct_share", "median_abs", "true_share"]
     usual = figures.groupBy(F.col("column_name").alias("_column")).agg(*[F.median(m).alias(f"usual_{m}") for m in measures])
-    shifts = load_shifts(df, columns, load=load, row_id=row_id).where(F.col("upper") >= 0).select(F.col(load).alias("_load2"), F.col("column_name").alias("_column2"))
+    shifts = load_shifts(df, columns, load=load, row_id=row_id).where("changed").select(F.col(load).alias("_load2"), F.col("column_name").alias("_column2"))
     candidates = figures.join(shifts, F.col("_load").eqNullSafe(F.col("_load2")) & (F.col("column_name") == F.col("_column2")), "left_semi")
     held = candidates.join(usual, F.col("column_name") == F.col("_column"))
     off = lambda m: F.round(F.abs(F.col(m) - F.col(f"usual_{m}")), 12)

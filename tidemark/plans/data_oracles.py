@@ -151,9 +151,13 @@ def _profile(c: str) -> str:
     else:
         true = f"count(*) FILTER (WHERE {c})" if c == "spx_open_synthetic" else "0::BIGINT"
         figures = f"0::BIGINT AS n_nan, 0::BIGINT AS n_zero, 0::BIGINT AS n_negative, 0::BIGINT AS n_positive, {true} AS n_true, count(DISTINCT {c}) AS n_distinct, CAST(NULL AS DOUBLE) AS median_abs"
+    if c in _NUMBERS:
+        ends = "CAST(NULL AS VARCHAR) AS min_value, CAST(NULL AS VARCHAR) AS max_value, " + ", ".join(f"round({e}({real}), 10) AS {e}_number" for e in ("min", "max"))
+    else:
+        ends = ", ".join(f"CAST({e}({c}) AS VARCHAR) AS {e}_value" for e in ("min", "max")) + ", CAST(NULL AS DOUBLE) AS min_number, CAST(NULL AS DOUBLE) AS max_number"
     pattern = {"series_id": "[a-z]{3}-[0-9]{8}", "symbol": "[A-Z]{3}"}.get(c)
     violations = f"count(*) FILTER (WHERE NOT regexp_full_match({c}, '{pattern}'))" if pattern else "0::BIGINT"
-    return f"SELECT load_id, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null, {figures}, {violations} AS n_violations FROM features GROUP BY load_id"
+    return f"SELECT load_id, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null, {figures}, {ends}, {violations} AS n_violations FROM features GROUP BY load_id"
 
 
 P4_PROFILE = "\nUNION ALL\n".join(_profile(c) for c in ("series_id", "symbol", "date", "spx_open_synthetic", "loaded_at", *_NUMBERS))

@@ -89,7 +89,13 @@ def p3_vix(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_profile(spark: SparkSession, folder: str) -> DataFrame:
     patterns = {"series_id": "^[a-z]{3}-[0-9]{8}$", "symbol": "^[A-Z]{3}$"}
-    return profile_loads(table(spark, folder, "features"), patterns=patterns).withColumn("median_abs", F.round("median_abs", 10)).drop("min_value", "max_value")
+    features = table(spark, folder, "features")
+    numbers = [n for n, t in features.dtypes if t in ("double", "bigint", "int")]
+    out = profile_loads(features, patterns=patterns).withColumn("median_abs", F.round("median_abs", 10))
+    # Numbers as numbers: how they are spelt is not compared.
+    ends = {f"{end}_number": F.when(F.col("column_name").isin(numbers), F.round(F.col(f"{end}_value").try_cast("double"), 10)) for end in ("min", "max")}
+    texts = {f"{end}_value": F.when(~F.col("column_name").isin(numbers), F.col(f"{end}_value")) for end in ("min", "max")}
+    return out.withColumns(ends).withColumns(texts)
 
 
 def p4_shifts(spark: SparkSession, folder: str) -> DataFrame:
