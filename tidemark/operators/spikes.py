@@ -83,7 +83,7 @@ def _implausible(r: Reading) -> tuple[Column, Column]:
 def _typed(bars: DataFrame, series: str, day: str, row_id: str, rules: SpikeRules) -> DataFrame:
     names = dict.fromkeys(n for r in rules.fields for n in (r.name, *r.above, *r.below))
     return bars.select(
-        F.col(row_id).alias("_row"), F.col(series).alias("_series"), F.col(day).cast("date").alias("_day"), *[F.col(n).cast("double").alias(n) for n in names]
+        F.col(row_id).alias("_row"), F.col(series).alias("_series"), F.when(F.col(series).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(series).cast("string"))).alias("_key"), F.col(day).cast("date").alias("_day"), *[F.col(n).cast("double").alias(n) for n in names]
     )
 
 
@@ -92,33 +92,52 @@ def _daily(rows: DataFrame, rules: SpikeRules) -> DataFrame:
     names = [c for c in rows.columns if not c.startswith("_")]
     # Rows without an id come after all others; the fold stays a hash aggregate, as its buffers are numbers.
     order = F.coalesce(F.col("_row"), F.lit(2**63 - 1)) if dict(rows.dtypes)["_row"] == "bigint" else F.coalesce(F.col("_row").cast("string"), F.lit("\U0010ffff"))
-    days = rows.where(F.col("_day").isNotNull()).groupBy("_series", "_day").agg(*[F.min_by(n, order).alias(n) for n in names])
+    days = rows.where(F.col("_day").isNotNull()).groupBy("_key", "_day").agg(F.first("_series").alias("_series"), *[F.min_by(n, order).alias(n) for n in names])
     cells = []
     for i, r in enumerate(rules.fields):
         impossible, outside = _implausible(r)
         log = F.when(F.col(r.name).isNotNull() & ~impossible, F.ln(r.name))
         cells += [F.col(r.name).alias(f"_v{i}"), log.alias(f"_all{i}"), F.when(~outside, log).alias(f"_log{i}")]
-    return days.select("_series", "_day", *cells)
+    return days.select("_key", "_series", "_day", *cells)
 
 
 def _beside(x: str, k: int) -> Column:
     """``x`` of the k-th row ahead (behind, where negative) that has one."""
     which = "lead" if k > 0 else "lag"
-    return F.expr(f"{which}({x}, {abs(k)}) IGNORE NULLS OVER (PARTITION BY _series ORDER BY _day)")
+    return F.expr(f"{which}({x}, {abs(k)}) IGNORE NULLS OVER (PARTITION BY _key ORDER BY _day)")
+
+
+def _quantile(ordered: Column, p: float) -> Column:
+    """Of an ordered array, with linear interpolation; null if it is empty."""
+    place = (F.size(ordered) - 1) * F.lit(p)
+    low = F.floor(place).cast("int")
+    near, far = F.get(ordered, low), F.get(ordered, F.least(low + 1, F.size(ordered) - 1))
+    return near + (place - low) * (far - near)
 
 
 def _scored(days: DataFrame, rules: SpikeRules) -> DataFrame:
-    """Days with each field's seasonal residual, typical change and tail cutoff."""
-    source, every = Window.partitionBy("_series"), range(len(rules.fields))
-    days = days.withColumns({f"_step{i}": F.abs(F.col(f"_all{i}") - _beside(f"_all{i}", -1)) for i in every} | {f"_change{i}": F.col(f"_log{i}") - _beside(f"_log{i}", -1) for i in every} | {"_weekday": F.weekday("_day")})
-    middle = lambda x: F.percentile(x, F.lit(0.5)).over(source)
-    seasons = {f"_season{i}": F.array(*[F.coalesce(middle(F.when(F.col("_weekday") == k, F.col(f"_change{i}"))), F.lit(0.0)) for k in range(7)]) for i in every}
-    days = days.withColumns({f"_typical{i}": middle(F.col(f"_step{i}")) for i in every} | seasons)
-    days = days.withColumns({f"_residual{i}": F.col(f"_change{i}") - F.get(F.col(f"_season{i}"), F.col("_weekday")) for i in every})
-    points = F.array(*[F.lit(1 - rules.tail / k) for k in (1, 2, 4)])
-    size = {i: F.abs(F.col(f"_residual{i}")) for i in every}
-    days = days.withColumns({f"_tail{i}": F.percentile(F.when(size[i] <= rules.gross * F.col(f"_typical{i}"), size[i]), points).over(source) for i in every})
-    return days.withColumns({f"_cutoff{i}": pareto_cutoff(*[F.col(f"_tail{i}")[k] for k in range(3)], rules.tail, rules.risk) for i in every})
+    """Days with each field's seasonal residual, typical change and tail cutoff.
+
+    The tail is fitted by one aggregate over each series' days and joined to them; both sides have the
+    partitioning of the windows already.
+    """
+    every = range(len(rules.fields))
+    days = days.withColumns({f"_before{i}": _beside(f"_log{i}", -1) for i in every} | {"_weekday": F.weekday("_day")})
+    # A field no bar can rule out has one sequence of good readings, not two.
+    earlier = [_beside(f"_all{i}", -1) if r.above or r.below else F.col(f"_before{i}") for i, r in enumerate(rules.fields)]
+    days = days.withColumns({f"_step{i}": F.abs(F.col(f"_all{i}") - earlier[i]) for i in every} | {f"_change{i}": F.col(f"_log{i}") - F.col(f"_before{i}") for i in every})
+    middle = lambda x: F.percentile(x, F.lit(0.5))
+    seasons = [F.array(*[F.coalesce(middle(F.when(F.col("_weekday") == k, F.col(f"_change{i}"))), F.lit(0.0)) for k in range(7)]).alias(f"_season{i}") for i in every]
+    moves = [F.collect_list(F.when(F.col(f"_change{i}").isNotNull(), F.struct("_weekday", F.col(f"_change{i}").alias("change")))).alias(f"_moves{i}") for i in every]
+    fit = days.groupBy(F.col("_key").alias("_of")).agg(*[middle(F.col(f"_step{i}")).alias(f"_typical{i}") for i in every], *seasons, *moves)
+    for i in every:
+        sizes = F.transform(f"_moves{i}", lambda m: F.abs(m["change"] - F.get(F.col(f"_season{i}"), m["_weekday"])))
+        fit = fit.withColumn(f"_sizes{i}", F.array_sort(F.filter(sizes, lambda x: x <= rules.gross * F.col(f"_typical{i}"))))
+        points = [_quantile(F.col(f"_sizes{i}"), 1 - rules.tail / k) for k in (1, 2, 4)]
+        fit = fit.withColumn(f"_cutoff{i}", pareto_cutoff(*points, rules.tail, rules.risk))
+    fit = fit.select("_of", *[f"{c}{i}" for c in ("_typical", "_season", "_cutoff") for i in every])
+    days = days.join(fit, F.col("_key") == F.col("_of"))
+    return days.withColumns({f"_residual{i}": F.col(f"_change{i}") - F.get(F.col(f"_season{i}"), F.col("_weekday")) for i in every})
 
 
 def tail_cutoffs(bars: DataFrame, rules: SpikeRules, *, series: str = "series_id", day: str = "date", row_id: str = "bar_id") -> DataFrame:
@@ -129,44 +148,44 @@ def tail_cutoffs(bars: DataFrame, rules: SpikeRules, *, series: str = "series_id
 
 
 def _marked(scored: DataFrame, rules: SpikeRules) -> DataFrame:
-    """Days with a spike or a stuck value: ``_series2, _day2`` and of each field ``_v, _spike, _stuck``."""
-    reach, ahead = range(1, rules.max_run + 1), range(1, rules.stuck)
-    every = range(len(rules.fields))
-    order = Window.partitionBy("_series").orderBy("_day")
-    new, fresh = {"_place": F.row_number().over(order)}, {}
+    """Days with a spike or a stuck value: ``_key2, _day2`` and of each field ``_v, _spike, _stuck``."""
+    reach, every = range(1, rules.max_run + 1), range(len(rules.fields))
+    order = Window.partitionBy("_key").orderBy("_day")
+    days = scored.withColumns({f"_good{i}": F.when(F.col(f"_log{i}").isNotNull(), F.struct(F.col(f"_log{i}").alias("x"), F.col(f"_residual{i}").alias("r"))) for i in every})
+    beside = {"_place": F.row_number().over(order)}
     for i in every:
-        new |= {f"_before{i}": _beside(f"_log{i}", -1)}
-        new |= {f"_x{i}_{k}": _beside(f"_log{i}", k) for k in reach} | {f"_r{i}_{k}": _beside(f"_residual{i}", k) for k in reach}
         held = F.lag(f"_v{i}").over(order)
-        fresh[f"_fresh{i}"] = F.col(f"_v{i}").isNull() | held.isNull() | (F.col(f"_v{i}") != held)
-    days = scored.withColumns(new | fresh)
+        beside |= {f"_next{i}_{k}": _beside(f"_good{i}", k) for k in reach}
+        beside[f"_fresh{i}"] = F.col(f"_v{i}").isNull() | held.isNull() | (F.col(f"_v{i}") != held)
+    days = days.withColumns(beside)
 
     runs = {}
     for i in every:
         apart = F.lit(0.0) if rules.multiple is None else rules.multiple * F.col(f"_typical{i}")
         cutoff, before, now = F.col(f"_cutoff{i}"), F.col(f"_before{i}"), F.col(f"_residual{i}")
+        begun = F.lit(0)
         for k in reach:
             # How far the lowest (highest) reading of the run stands above (below) the nearest good readings on either side.
-            inside = [F.col(f"_log{i}"), *[F.col(f"_x{i}_{j}") for j in range(1, k)]]
+            inside = [F.col(f"_log{i}"), *[F.col(f"_next{i}_{j}")["x"] for j in range(1, k)]]
             low, high = (F.least(*inside), F.greatest(*inside)) if k > 1 else (inside[0], inside[0])
-            after, back = F.col(f"_x{i}_{k}"), F.col(f"_r{i}_{k}")
+            after, back = F.col(f"_next{i}_{k}")["x"], F.col(f"_next{i}_{k}")["r"]
             up = (now > cutoff) & (back < -cutoff) & (low - F.greatest(before, after) > apart)
             down = (now < -cutoff) & (back > cutoff) & (F.least(before, after) - high > apart)
-            runs[f"_run{i}_{k}"] = F.when(F.col(f"_log{i}").isNotNull(), F.coalesce(before.isNotNull() & after.isNotNull() & (up | down), F.lit(False)))
+            begun = F.when(before.isNotNull() & after.isNotNull() & (up | down), F.lit(k)).otherwise(begun)
+        #: The longest run that begins at the reading; shorter ones that begin there are inside it.
+        runs[f"_begun{i}"] = F.when(F.col(f"_log{i}").isNotNull(), begun)
         runs[f"_start{i}"] = F.last(F.when(F.col(f"_fresh{i}"), F.col("_place")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-        runs |= {f"_ends{i}_{k}": F.coalesce(F.lead(f"_fresh{i}", k).over(order), F.lit(True)) for k in ahead}
     days = days.withColumns(runs)
 
     out = []
     for i in every:
-        parts = [F.coalesce(_beside(f"_run{i}_{k}", -j) if j else F.col(f"_run{i}_{k}"), F.lit(False)) for k in reach for j in range(k)]
-        spike = F.col(f"_log{i}").isNotNull() & reduce(lambda a, b: a | b, parts)
-        # Equal values behind and ahead of the reading, ahead no farther than a run needs.
-        behind = F.col("_place") - F.col(f"_start{i}")
-        further = reduce(lambda n, k: F.when(F.col(f"_ends{i}_{k}"), F.lit(k - 1)).otherwise(n), reversed(ahead), F.lit(rules.stuck - 1))
-        stuck = F.col(f"_v{i}").isNotNull() & ~F.col(f"_fresh{i}") & (behind + further + 1 >= rules.stuck)
+        spike = (F.col(f"_begun{i}") > 0) | reduce(lambda a, b: a | b, [F.coalesce(_beside(f"_begun{i}", -j) > j, F.lit(False)) for j in range(1, rules.max_run)], F.lit(False))
+        spike = F.coalesce(F.col(f"_log{i}").isNotNull() & spike, F.lit(False))
+        # Where a run has reached its length by a row not far ahead, all its rows but the first are stuck; a later run cannot have by then.
+        long = F.when(F.col("_place") - F.col(f"_start{i}") >= rules.stuck - 1, F.col(f"_start{i}"))
+        stuck = F.coalesce(~F.col(f"_fresh{i}") & (F.max(long).over(order.rowsBetween(0, rules.stuck - 1)) == F.col(f"_start{i}")), F.lit(False))
         out += [F.col(f"_v{i}"), spike.alias(f"_spike{i}"), stuck.alias(f"_stuck{i}")]
-    days = days.select(F.col("_series").alias("_series2"), F.col("_day").alias("_day2"), *out)
+    days = days.select(F.col("_key").alias("_key2"), F.col("_day").alias("_day2"), *out)
     return days.where(reduce(lambda a, b: a | b, [F.col(f"_{c}{i}") for c in ("spike", "stuck") for i in every]))
 
 
@@ -185,7 +204,7 @@ def flag_spikes(bars: DataFrame, rules: SpikeRules, *, series: str = "series_id"
     """
     rows = _typed(bars, series, day, row_id, rules)
     marks = _marked(_scored(_daily(rows, rules), rules), rules)
-    joined = rows.join(marks, F.col("_series").eqNullSafe(F.col("_series2")) & (F.col("_day") == F.col("_day2")), "left")
+    joined = rows.join(marks, (F.col("_key") == F.col("_key2")) & (F.col("_day") == F.col("_day2")), "left")
     cells = []
     for i, r in enumerate(rules.fields):
         bad, out = _implausible(r)
