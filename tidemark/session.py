@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +23,11 @@ DEFAULTS = {
 
 def local_session(cpus: int = 8, memory: str = "12g", app: str = "tidemark", **conf: str) -> SparkSession:
     """A local session with the settings the operators are tested under."""
+    # Workers of a local session find the package wherever they are started; on a cluster it is installed, or sent with --py-files.
+    root = str(Path(__file__).resolve().parents[1])
+    known = os.environ.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     settings = DEFAULTS | {"spark.driver.memory": memory, "spark.sql.shuffle.partitions": str(cpus)} | conf
     spark = builder.config(map=settings).getOrCreate()
@@ -30,14 +38,19 @@ def local_session(cpus: int = 8, memory: str = "12g", app: str = "tidemark", **c
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and return the copy that reads it.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where
-    that is unset (tests, a laptop) a folder of our own is taken.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local session may leave it
+    unset: it gets a folder of its own, removed at the end. On a cluster that is an error, as no folder of
+    the driver's machine could be read by the executors.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+        if not named:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors can read")
+            named = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
     return df.checkpoint(eager=True)
 
 
