@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tidemark.llm.overlap import find_leaks, rolling, tiling
+from tidemark.llm.overlap import Seeds, find_leaks, read_through, rolling, tiling
 from tidemark.llm.words import folded, speech, wide
 
 WORDS = "ferry canal tower amber resin slate windmill harbour moved sealed counted northern vaulted because each support mercury barrels measured autumn market rebuilt".split()
@@ -79,7 +79,7 @@ def test_reordered_passages_add_up(spark):
     words = PASSAGE.split()
     parts = [words[i : i + 11] for i in range(0, 33, 11)]
     text = " then ".join(" ".join(p) for p in (parts[2], parts[0], parts[1]))
-    r = find_leaks(spark.createDataFrame([(1, text, 0)], DOCS), spark.createDataFrame([(7, PASSAGE, 0)], ITEMS)).first()
+    r = find_leaks(spark.createDataFrame([(1, text, 0)], DOCS), spark.createDataFrame([(7, PASSAGE, 0)], ITEMS), gap_words=0).first()
     assert (r["longest"], r["covered"], r["tiles"], r["item_words"]) == (11, 32, 3, len(words))
     assert find_leaks(spark.createDataFrame([(1, " ".join(parts[2]), 0)], DOCS), spark.createDataFrame([(7, PASSAGE, 0)], ITEMS)).count() == 0
 
@@ -111,3 +111,33 @@ def test_parts():
     assert speech("12\n00:01 --> 00:02\nBOY: Hi <b>there</b> [laughs]\n\n13\nYou").split() == ["Hi", "there", "You"]
     assert folded("modern clown") == folded("m0dem cIown".replace("m0dem", "m0dern")) and folded("well") == folded("vvcll")
     assert wide("Ｆｕｌｌ ÉTÉ") == ["full", "été"]
+
+
+def test_a_foreign_line_inside_a_passage_is_read_through(spark):
+    words = PASSAGE.split()
+    cut = lambda gap, a=9, b=10: " ".join(["so", *words[:a], *(f"other{k}" for k in range(gap)), *words[a : a + b], "end"])
+    docs = [(1, cut(4), 0), (2, cut(12), 0), (3, cut(13), 0), (4, cut(3, 12, 3), 0), (5, cut(3, 13, 4), 0), (6, " ".join(words[:9] + ["x"] * 3 + words[12:20]), 0)]
+    got = {r["doc_id"]: r["longest"] for r in find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(7, PASSAGE, 0)], ITEMS), min_coverage=9.0).collect()}
+    assert got == {1: 19, 2: 19, 5: 17}
+    a, b = np.arange(1, 30, dtype=np.uint64), np.r_[np.arange(1, 5), [90, 91], np.arange(5, 15), [92], np.arange(15, 18)].astype(np.uint64)
+    assert read_through(b, a, 6, 4, 10, 3) == 17 and read_through(b, a, 6, 4, 10, 1) == 13
+
+
+def test_a_preamble_that_many_items_share_stays_bounded(spark):
+    """Ten thousand items begin alike; documents with the beginning carry none of them, those with more carry one."""
+    rng = random.Random(3)
+    preamble = "read the following story about the old harbour town with care and then answer"
+    items = [(i, f"{preamble} {sentence(rng, 12)} number{i}", 0) for i in range(10_000)]
+    docs = [(d, f"{sentence(rng, 20)} {preamble} plainly {sentence(rng, 20)}", 0) for d in range(150)] + [(900 + k, items[k * 7][1], 0) for k in range(5)]
+    rows = find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} >= {(900 + k, k * 7) for k in range(5)} and all(r["doc_id"] >= 900 for r in rows)
+    seeds = Seeds([np.arange(8, dtype=np.uint64)] * 50, 8)
+    tokens, starts = np.tile(np.arange(8, dtype=np.uint64), 40), np.arange(0, 321, 8)
+    parts = list(seeds.matches(tokens, starts, most=200))
+    assert len(parts) == 10 and sum(h.shape[1] for _, h in parts) == 2000
+
+
+def test_equal_hashes_of_other_words_do_not_count():
+    seeds = Seeds([np.arange(8, dtype=np.uint64)], 8)
+    seeds.flat = seeds.flat + np.uint64(1)  # the table's hashes now belong to other words
+    assert list(seeds.matches(np.arange(8, dtype=np.uint64), np.array([0, 8]))) == []

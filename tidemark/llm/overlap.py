@@ -2,7 +2,7 @@
 
 Test items are a query set: they are held against all documents in blocks of bounded size,
 each block's seeds a sorted table that every task gets. A document's words are hashed, a
-Karp-Rabin hash rolls over them, and windows that equal a seed are joined with it. Runs of such
+Karp-Rabin hash rolls over them, and windows that equal a seed, word by word, are joined with it. Runs of such
 hits are the maximal common word sequences; the tiling repeatedly marks the longest one that is
 not covered yet, so passages whose sentences were reordered still add up to their coverage.
 There is no shuffle, and no document leaves its task.
@@ -61,6 +61,8 @@ class Seeds:
 
     def __init__(self, items: list[np.ndarray], width: int) -> None:
         self.items, self.tables = items, []
+        self.flat = np.concatenate([*items, np.zeros(0, np.uint64)])
+        self.begins = np.cumsum([0, *[len(x) for x in items]])
         lengths = sorted({min(len(x), width) for x in items if len(x)})
         for w in lengths:
             owners = [i for i, x in enumerate(items) if min(len(x), width) == w]
@@ -71,10 +73,12 @@ class Seeds:
             order = np.argsort(h, kind="stable")
             self.tables.append((w, h[order], owner[order], place[order]))
 
-    def matches(self, tokens: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def matches(self, tokens: np.ndarray, starts: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[int, np.ndarray]]:
         """(width, rows of document, item, place in the document, place in the item) of all seed hits of a batch.
 
-        tokens: the words of all documents; starts: where each begins, and the end.
+        tokens: the words of all documents; starts: where each begins, and the end. Seeds that many items
+        share are expanded for so many documents at a time that hits beyond ``most`` begin another
+        part; a document's hits stay together. Equal hashes count only if the words are equal.
         """
         for w, table, owner, place in self.tables:
             h = rolling(tokens, w)
@@ -89,8 +93,23 @@ class Seeds:
                 continue
             first = left[found]
             times = np.searchsorted(table, h[found], "right") - first
-            row = np.repeat(first, times) + (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
-            yield w, np.stack([np.repeat(doc, times), owner[row], np.repeat(found - starts[doc], times), place[row]])
+            # Documents in parts of bounded expansion.
+            by_doc = np.bincount(doc, times, len(starts) - 1)
+            part = (np.cumsum(by_doc) - by_doc) // most
+            for k in np.unique(part[doc]):
+                own = part[doc] == k
+                yield from self._verified(w, tokens, starts, found[own], doc[own], first[own], times[own], owner, place)
+
+    def _verified(self, w: int, tokens: np.ndarray, starts: np.ndarray, found: np.ndarray, doc: np.ndarray, first: np.ndarray, times: np.ndarray, owner: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        row = np.repeat(first, times) + (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
+        at, item = np.repeat(found, times), owner[row]
+        there = self.begins[item] + place[row]
+        same = np.ones(len(at), bool)
+        for j in range(w):
+            same &= tokens[at + j] == self.flat[there + j]
+        if same.any():
+            doc = np.repeat(doc, times)[same]
+            yield w, np.stack([doc, item[same], at[same] - starts[doc], place[row][same]])
 
 
 def sequences(width: int, hits: np.ndarray) -> np.ndarray:
@@ -131,6 +150,45 @@ def tiling(found: np.ndarray, least: int) -> list[int]:
     return tiles
 
 
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words two sequences have in common from their start."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+def read_through(words: np.ndarray, item: np.ndarray, at: int, place: int, length: int, gap: int, least: int = 3) -> int:
+    """Length of a common sequence continued on either side of foreign lines of up to ``gap`` words, each part of ``least`` words or more."""
+    total = length
+    for step in (1, -1):
+        a, b = (words[at + length :], item[place + length :]) if step == 1 else (words[:at][::-1], item[:place][::-1])
+        while len(b) >= least:
+            skip = next((g for g in range(1, min(gap, len(a)) + 1) if _shared(a[g : g + least], b) >= least), None)
+            if skip is None:
+                break
+            more = _shared(a[skip:], b)
+            total, a, b = total + more, a[skip + more :], b[more:]
+    return total
+
+
+def may_continue(tokens: np.ndarray, starts: np.ndarray, seeds: Seeds, found: np.ndarray, gap: int, least: int = 3) -> np.ndarray:
+    """Which sequences :func:`read_through` could lengthen: ``least`` words of the item beside them stand a gap away in the document."""
+    doc, item, at, place, length = found
+    here, there = rolling(tokens, least), rolling(seeds.flat, least)
+    out = np.zeros(len(doc), bool)
+    if not len(here) or not len(there):
+        return out
+    begin, end, first, last = starts[doc], starts[doc + 1], seeds.begins[item], seeds.begins[item + 1]
+    after, before = first + place + length, first + place - least
+    for g in range(1, gap + 1):
+        a, b = begin + at + length + g, begin + at - g - least
+        ahead = (a + least <= end) & (after + least <= last)
+        behind = (b >= begin) & (before >= first)
+        out |= ahead & (here[np.where(ahead, a, 0)] == there[np.where(ahead, after, 0)])
+        out |= behind & (here[np.where(behind, b, 0)] == there[np.where(behind, before, 0)])
+    return out
+
+
 def _blocks(items: DataFrame, item_id: str, passage: str, block_chars: int) -> Iterator[list]:
     """The items, a bounded part of them at a time."""
     chosen = items.select(F.col(item_id).alias("_item"), F.col(passage).alias("_passage")).where(F.length("_passage") > 0)
@@ -152,10 +210,12 @@ def find_leaks(
     min_run: int = 16,
     min_coverage: float = 0.6,
     block_chars: int = 20_000_000,
+    gap_words: int = 12,
 ) -> DataFrame:
     """Documents that carry a passage, whole or in part: ``doc_id, item_id, longest, covered, item_words, coverage, tiles``.
 
-    longest: words of the longest tile, which is the longest common word sequence; covered: words of
+    longest: words of the longest common word sequence, which is the first tile; where it is under ``min_run``, foreign
+    lines of up to ``gap_words`` words inside it are read through, the item's words being in a row still. covered: words of
     all tiles of at least ``seed_words`` words; coverage: covered / item_words. A pair is returned if
     longest >= ``min_run`` or coverage >= ``min_coverage``.
 
@@ -197,12 +257,18 @@ def find_leaks(
                         most, total = np.maximum.reduceat(found[4], pair), np.add.reduceat(found[4], pair)
                         size = np.array([len(seeds.items[i]) for i in found[1][pair]])
                         # The longest sequence is a tile, and tiles cover no more than all sequences together.
-                        for k in np.flatnonzero((most >= min_run) | (total >= min_coverage * size)):
-                            tiles = tiling(found[2:, pair[k] : ends[k]], width)
-                            covered = sum(tiles)
-                            if tiles[0] >= min_run or covered >= min_coverage * size[k]:
-                                doc, item = int(found[0][pair[k]]), int(found[1][pair[k]])
-                                out.append((batch["doc_id"].iloc[doc], ids[item], tiles[0], covered, int(size[k]), covered / int(size[k]), len(tiles)))
+                        more = np.logical_or.reduceat(may_continue(tokens, starts, seeds, found, gap_words), pair)
+                        for k in np.flatnonzero((most >= min_run) | (total >= min_coverage * size) | (more & (size >= min_run))):
+                            own, doc, item = found[2:, pair[k] : ends[k]], int(found[0][pair[k]]), int(found[1][pair[k]])
+                            longest = int(most[k])
+                            if longest < min_run <= size[k]:
+                                whole = tokens[starts[doc] : starts[doc + 1]]
+                                longest = max(read_through(whole, seeds.items[item], *map(int, one), gap_words) for one in own.T)
+                            if longest >= min_run or total[k] >= min_coverage * size[k]:
+                                tiles = tiling(own, width)
+                                covered = max(sum(tiles), min(longest, int(size[k])))
+                                if longest >= min_run or covered >= min_coverage * size[k]:
+                                    out.append((batch["doc_id"].iloc[doc], ids[item], longest, covered, int(size[k]), covered / int(size[k]), len(tiles)))
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "longest", "covered", "item_words", "coverage", "tiles"])
 
         result = result.unionByName(source.mapInPandas(search, schema))
