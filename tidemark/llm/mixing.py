@@ -12,7 +12,10 @@ from __future__ import annotations
 import base64
 import math
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,21 +24,35 @@ from tidemark.session import cut_lineage
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 TOKENIZER = "byte_bpe_50k"
+#: Rows of quotas up to which they are broadcast.
+_MOST_BROADCAST = 200_000
 #: Fixed value: the splitting pattern that belongs to the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+@lru_cache(maxsize=4)
+def _encoding(lines: bytes):
+    """The tokenizer of a vocabulary, built once in each worker."""
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines.splitlines() if line.strip())}
+    return tiktoken.Encoding("mixing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def count_tokens(df: DataFrame, text: str, keep: Sequence[str], vocabulary: str = VOCABULARY) -> DataFrame:
-    """``keep`` and ``n_tokens``, the tokens of the whole text; 0 for null or empty text. Special tokens' strings are ordinary text."""
+    """``keep`` and ``n_tokens``, the tokens of the whole text; 0 for null or empty text. Special tokens' strings are ordinary text.
+
+    The vocabulary is read on the driver and sent with the job; one over 64 MB is refused.
+    """
     source = df.select(*keep, F.col(text).alias("_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "_text"), "n_tokens long"])
+    lines = Path(vocabulary).read_bytes()
+    if len(lines) > 64_000_000:
+        raise ValueError(f"{vocabulary} is too large for a vocabulary")
+    shared = df.sparkSession.sparkContext.broadcast(lines)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import tiktoken
-
-        with open(vocabulary, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-        encoding = tiktoken.Encoding("mixing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        encoding = _encoding(shared.value)
         for batch in batches:
             yield batch.assign(n_tokens=[len(encoding.encode_ordinary(t)) if t else 0 for t in batch.pop("_text")])
 
@@ -48,30 +65,34 @@ def sainte_lague(weights: Sequence[float], seats: int, caps: Sequence[int] | Non
     Found by bisection for the quotient that all but the last seats pass, so the work does not
     depend on the number of seats. Fewer seats are given only if all caps are reached.
     """
-    caps = [seats if c is None else min(int(c), seats) for c in (caps or [None] * len(weights))]
-    caps = [c if w > 0 else 0 for c, w in zip(caps, weights)]
-    seats = min(seats, sum(caps))
+    size = np.asarray(weights, float)
+    caps = np.array([seats if c is None else min(int(c), seats) for c in (caps if caps is not None else [None] * len(size))], np.int64)
+    caps[size <= 0] = 0
+    seats = min(seats, int(caps.sum()))
     if seats <= 0:
-        return [0] * len(weights)
+        return [0] * len(size)
 
-    def given(quotient: float) -> list[int]:
+    def given(quotient: float) -> np.ndarray:
         """Seats whose quotient is above ``quotient``."""
-        return [c if w > (2 * c - 1) * quotient else max(0, math.ceil((w / quotient - 1) / 2)) for w, c in zip(weights, caps)]
+        with np.errstate(divide="ignore", over="ignore"):
+            free = np.ceil((size / quotient - 1) / 2)
+        return np.where(size > (2 * caps - 1) * quotient, caps, np.clip(free, 0, caps)).astype(np.int64)
 
-    low, high = 0.0, max(weights) * 2
+    low, high = 0.0, float(size.max()) * 2
     for _ in range(2000):
         middle = (low + high) / 2
         if middle in (low, high):
             break
-        if sum(given(middle)) > seats:
+        if given(middle).sum() > seats:
             low = middle
         else:
             high = middle
     out = given(high)
-    while sum(out) < seats:
-        k = max((i for i in range(len(out)) if out[i] < caps[i]), key=lambda i: (weights[i] / (2 * out[i] + 1), -i))
-        out[k] += 1
-    return out
+    while (left := seats - int(out.sum())) > 0:
+        # All that is left ties at one quotient: a seat each, in the order given.
+        quotient = np.where(out < caps, size / (2 * out + 1), -1.0)
+        out[np.argsort(-quotient, kind="stable")[: min(left, max(1, int((quotient == quotient.max()).sum())))]] += 1
+    return out.tolist()
 
 
 def mix_sources(
@@ -81,11 +102,10 @@ def mix_sources(
     doc_id: str = "doc_id",
     text: str = "text",
     source: str = "source",
-    block_tokens: int = 2048,
+    block_tokens: int = 128,
     total_tokens: int | None = None,
     seed: int = 20240,
-    shard_tokens: int = 4_000_000,
-    max_shards: int = 2048,
+    shard_tokens: int = 8_000_000,
     vocabulary: str = VOCABULARY,
 ) -> tuple[DataFrame, DataFrame]:
     """(selection, shares) of a mix in which each source has its target share of all tokens.
@@ -104,8 +124,10 @@ def mix_sources(
     Source names are trimmed and lower-cased; documents of null or other sources are not used, nor
     are those without tokens (null or empty text). A null max_repeats is 1; targets with a null or
     non-positive share are not used. Repeated documents are documents; a long one may exceed a block and
-    is used whole. Blocks shrink where the smallest source holds fewer than 64. The same seed, documents and
-    targets give the same selection. Empty tables give an empty selection.
+    is used whole. Blocks have one length at all sizes: a source of
+    fewer than 25 blocks may miss its share by over 2 %. The same seed, documents and
+    targets give the same selection. Empty tables give an empty selection. The number of shards, about which
+    alone the driver learns, is the tokens over ``shard_tokens``; no shard is larger, however large its source.
     """
     spark = documents.sparkSession
     wanted = [
@@ -119,11 +141,9 @@ def mix_sources(
     used = documents.select(F.col(doc_id).alias("doc_id"), named.alias("source_name"), F.col(text).alias("_whole")).where(F.col("source_name").isin(names))
     counted = cut_lineage(count_tokens(used, "_whole", ["doc_id", "source_name"], vocabulary).where(F.col("n_tokens") > 0))
     totals = {r["source_name"]: (r["n"], r["t"]) for r in counted.groupBy("source_name").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t")).collect()}
-    supply = {n: totals.get(n, (0, 0))[1] * repeats for n, _, repeats in wanted}
-    held = [s for s in supply.values() if s > 0]
-    block = max(1, min(block_tokens, min(held) // 64)) if held else block_tokens
+    block = block_tokens
 
-    shards = {n: max(1, min(max_shards, -(-totals[n][1] // shard_tokens))) for n in totals}
+    shards = {n: -(-totals[n][1] // shard_tokens) for n in totals}
     count = F.create_map(*[x for n, k in shards.items() for x in (F.lit(n), F.lit(k))])[F.col("source_name")] if shards else F.lit(1)
     order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("n_tokens"))
     placed = counted.withColumn("shard", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed + 1)), count).cast("int")).withColumn("_order", order)
@@ -146,7 +166,7 @@ def mix_sources(
     quota = spark.createDataFrame(plan, "source_name string, shard int, _passes long, _rest long, _size long")
 
     inside = Window.partitionBy("source_name", "shard")
-    drawn = placed.join(F.broadcast(quota), ["source_name", "shard"])
+    drawn = placed.join(F.broadcast(quota) if len(plan) <= _MOST_BROADCAST else quota, ["source_name", "shard"])
     running = F.sum("n_tokens").over(inside.orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     width = F.greatest(F.lit(1.0), F.col("_size") / F.greatest(F.lit(1.0), F.round(F.col("_size") / F.lit(block))))
     drawn = drawn.withColumn("_block", F.floor((running - F.col("n_tokens") / 2) / width))
@@ -156,13 +176,12 @@ def mix_sources(
     picked = drawn.withColumn("_extra", F.when(upto - F.col("n_tokens") / 2 <= F.col("_rest"), 1).otherwise(0))
     selection = picked.select("doc_id", "source_name", "n_tokens", (F.col("_passes") + F.col("_extra")).cast("int").alias("repeats")).where(F.col("repeats") > 0)
 
-    realised = selection.groupBy("source_name").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("used_tokens"))
-    rows = [(n, share, repeats, *map(int, totals.get(n, (0, 0)))) for n, share, repeats in wanted]
-    goals = spark.createDataFrame(rows, "source_name string, target_share double, max_repeats int, documents long, available_tokens long")
-    shares = goals.join(realised, "source_name", "left").withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0)))
-    everything = F.nullif(F.sum("used_tokens").over(Window.partitionBy(F.lit(1))), F.lit(0))
-    shares = shares.withColumn("actual_share", F.coalesce(F.col("used_tokens") / everything, F.lit(0.0)))
+    # A figure for each target.
+    realised = {r["source_name"]: int(r["used"]) for r in selection.groupBy("source_name").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("used")).collect()}
+    whole = sum(realised.values())
+    rows = [(n, share, repeats, *map(int, totals.get(n, (0, 0))), realised.get(n, 0), realised.get(n, 0) / whole if whole else 0.0) for n, share, repeats in wanted]
+    shares = spark.createDataFrame(rows, "source_name string, target_share double, max_repeats int, documents long, available_tokens long, used_tokens long, actual_share double")
     short = F.col("actual_share") < F.col("target_share") * 0.98
-    spent = F.col("used_tokens") >= F.col("available_tokens") * F.col("max_repeats") * 0.98
+    spent = F.col("used_tokens") >= F.col("available_tokens") * F.col("max_repeats") * 0.98 - block
     reason = F.when(F.col("available_tokens") == 0, "no documents").when(short & spent, "repeats used up").when(short, "documents too coarse")
     return selection, shares.withColumn("falls_short", short).withColumn("reason", reason)

@@ -29,7 +29,10 @@ def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     """The mix: each document with its repeats beside target and real share of its source; sources with nothing to give as rows without a document."""
     selection, shares = mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
     real = shares.select("source_name", "target_share", "max_repeats", "actual_share", "falls_short")
-    return F.broadcast(real).join(selection, "source_name", "left").select("doc_id", "source_name", "n_tokens", F.coalesce("repeats", F.lit(0)).alias("repeats"), "max_repeats", "target_share", "actual_share", "falls_short", F.lit(TOKENIZER).alias("tokenizer"))
+    # One row for each target, a table of parameters: the selection stays where it is.
+    chosen = selection.join(F.broadcast(real), "source_name")
+    empty = shares.where(F.col("used_tokens") == 0).select(F.lit(None).cast("bigint").alias("doc_id"), "source_name", F.lit(None).cast("bigint").alias("n_tokens"), F.lit(0).alias("repeats"), "max_repeats", "target_share", "actual_share", "falls_short")
+    return chosen.select(*empty.columns).unionByName(empty).withColumn("tokenizer", F.lit(TOKENIZER))
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
