@@ -1,85 +1,109 @@
-"""Labelled exemplars of residue: text that stands where content belongs."""
+"""Labelled exemplars of residue, and the concepts that different wordings share.
+
+Exemplars are messages that servers, browsers, frameworks, editors and template languages are known for,
+written from general knowledge; a caller may pass a labelled table of its own instead. Concepts fold the
+words in which such messages vary (enable, activate, allow, ...) in the languages covered, so that one exemplar
+stands for many wordings.
+"""
+
+from __future__ import annotations
+
+#: How template languages write a slot. Only the skeleton counts; the name is arbitrary.
+SLOTS = """
+{{name}}
+{{{name}}}
+${name}
+#{name}
+%{name}
+@{name}
+{%name%}
+{#name#}
+<%name%>
+<%=name%>
+<?name?>
+<?=name?>
+[[name]]
+[%name%]
+<<name>>
+{name}
+@@name@@
+##name##
+__name__
+%name%
+$name$
+:NAME:
+%(name)s
+%s
+%d
+[NAME_HERE]
+<NAME_HERE>
+[insert name here]
+<insert name here>
+(insert name here)
+"""
 
 #: Dummy and filler text of templates and editors.
 FILLER = """
-Type your text here
-Enter your text here
-Insert your text here
-Write your text here
-Add your text here
 Your text here
+Your text
+Your title goes here
 Text goes here
-Your title here
+Your subtitle here
+Type your text here
 Insert text
-Add subtitle text here
-Sample subtitle text goes here
-Sample text
-Sample subtitle
-Example subtitle
-Click to edit text
+Type something
+Enter your message
+Enter a description for this item
 Click to add text
-Double click to edit
-Tap to edit
-Enter dialogue for this cue
-Your subtitle line
-Your subtitle here
-Subtitle text here
-Subtitle placeholder
-This is placeholder text, replace before release
+Click to edit
+Double click to edit this text
+Tap to add a title
 Placeholder text
-Replace this text
-Dummy line, no text yet
-Dummy text
-Dummy subtitle
-No text yet
-Text to be added
-Text to follow
+This is placeholder text
+This is a sample text
+This is dummy text
+Dummy text, no content yet
+Sample line
+Sample text line
+Dummy line
+Replace this text before publishing
+Replace before launch
+Replace me
+Change me
+Needs translation
 To be translated
-To be announced
-TODO: translate this line
-TODO: translate
-xxxx TRANSLATE ME xxxx
-Untranslated line
 Not translated yet
-Translation missing
+Untranslated string
 Missing translation
 Translation pending
-Content goes here
+TODO
+TODO: translate this
+FIXME
+To be announced
+To be added
+No text yet available
 Content coming soon
-asdf asdf asdf asdf
-qwerty qwerty
+Coming soon
+Text to follow
+asdf
+qwerty
+xxxx
 foo bar baz
-xxx xxx xxx
-Text folgt
-Hier steht Ihr Text
-Hier Text eingeben
+Hier steht Text
 Ihr Text hier
-Platzhalter
 Platzhaltertext
-Beispieltext
-Blindtext
-Texto de ejemplo, sustituir
+Text folgt
 Texto de ejemplo
-Texto de relleno
-Escriba su texto aquí
-Su texto aquí
-Texte à venir
+Reemplazar este texto
 Votre texte ici
+Texte à venir
 Texte de remplacement
-Saisissez votre texte
-Exemple de texte
 Testo di esempio
-Inserisci il testo qui
 Texto de exemplo
-Insira seu texto aqui
 Voorbeeldtekst
 Tekst volgt
 Exempeltext
-Din text här
-Skriv text här
-Text kommer
-Tekst przykładowy
-Wpisz tekst tutaj
+Przykładowy tekst
 """
 
 #: The vocabulary of the usual dummy paragraph.
@@ -95,310 +119,266 @@ ERRORS = """
 Error 404
 HTTP 404
 HTTP Error 404
-Error code 404
-404 error
+HTTP/1.1 404
 Status code 404
 404 Not Found
 Not Found
 Page not found
 File not found
 The requested URL was not found on this server
-The requested file could not be found
-The requested file could not be delivered
-The resource you are looking for has been removed
+The requested resource could not be found
 The page you are looking for does not exist
-The page you requested could not be found
-The subtitle you are looking for has been moved or deleted
-There is no file on this host
+The page you are looking for has been moved or removed
 This page could not be loaded
+The file could not be loaded
 This site can't be reached
 This page isn't working
-This page is no longer available
 This content is no longer available
-This content is not available in your country
 This video is unavailable
-This subtitle is not available
-Check the address and reload
+This content is not available in your country
 Check the address and try again
-Go back to the start page
-Back to home page
-Return to the home page
+Go back to the home page
+Return to the start page
 Please try again later
 Please try again in a few minutes
-Too busy right now, come back in minutes
+Retry after 60 seconds
 Too many requests
+Too many requests, try again later
 Rate limit exceeded
-Rate limit exceeded. Retry after 60 seconds
-Download limit exceeded
-Download limit exceeded. Retry after 60 seconds
-Retry after seconds
 Daily limit reached
-You have exceeded your download limit
+Download limit exceeded
 Quota exceeded
+404 Bad Request
 Bad Request
-400 Bad Request
+404 Unauthorized
 Unauthorized
-401 Unauthorized
 Payment Required
+404 Forbidden
 Forbidden
-403 Forbidden
 You don't have permission to access this resource
-You do not have permission to view this subtitle
+You do not have permission to view this page
 You are not authorized to view this page
 Access denied
 Access to this page has been denied
-Access forbidden
 Permission denied
 Method Not Allowed
-405 Method Not Allowed
+404 Request Timeout
 Request Timeout
-408 Request Timeout
-410 Gone
+404 Gone
 Payload Too Large
-Request Entity Too Large
-429 Too Many Requests
+404 Too Many Requests
+404 Internal Server Error
 Internal Server Error
-500 Internal Server Error
 Not Implemented
+404 Bad Gateway
 Bad Gateway
-502 Bad Gateway
+404 Service Unavailable
 Service Unavailable
-503 Service Unavailable
-The service is temporarily unavailable
 The server is temporarily unable to service your request
-Gateway Timeout
+404 Gateway Timeout
 Gateway Time-out
-504 Gateway Timeout
-504 Gateway Time-out
-Web server is down
 Web server is returning an unknown error
 Connection timed out
 Connection refused
 Connection reset by peer
 Connection closed
-Connection failed
 Could not connect to the server
-Unable to connect
-The connection was reset
-The host did not respond
-The host did not respond error 521
-The upstream server sent no answer in seconds
-No answer from the cache node
-Error 7: no answer from the cache node
-XID
+The server did not respond
+No response from the server
+No answer from upstream host
+The server took too long to respond
 Host not found
+Host unreachable
+The connection to the server was lost
+The server is overloaded
 DNS error
 Network error
-Database error
 Error establishing a database connection
-Error connecting to database
-Could not connect to database
 Application error
 An error occurred
-An error has occurred
-An unexpected error occurred
-An error occurred while processing your request
-Oops! Something went wrong
-Oops, that page does not exist
+An unexpected error occurred while processing your request
+Error 1020
+Error code 7: request failed
+Something went wrong
+Oops, something went wrong
+Something went wrong on our end
 We are working on it
-We are sorry for the inconvenience
-Your IP has been logged
+We are working to fix the problem
+Sorry for the inconvenience
 Your IP address has been blocked
+Your IP address has been logged
 Your request has been blocked
-Your account has been suspended
 This account has been suspended
 Site under maintenance
-Down for maintenance
+Temporarily down for maintenance
 We will be back soon
-Under construction
-This site is under construction
 Session expired
-Your session has expired
-Please sign in again to continue
-Please log in to continue
+Your session has expired, please log in again
 Please sign in to continue
 You must be logged in to view this page
-You must be logged in to download
+Please log in to watch
 Login required
-Log in to view this content
 Traceback (most recent call last)
-KeyError cue
-ValueError
-TypeError
-NameError
+Traceback (most recent call last): File main.py, line 1
 Exception in thread main
-NullPointerException
 Unhandled exception
 Uncaught exception
-Fatal error
-Fatal error: Uncaught exception in export.php on line
-Fatal error: Uncaught exception
-Fatal error: Uncaught exception in on line
-Warning: fetch_row() got a boolean where a result was due in export.php on line
-Warning: mysql_fetch_array() expects parameter to be resource, boolean given in on line
-Notice: Undefined index in on line
-Notice: Undefined variable in on line
-Parse error: syntax error, unexpected in on line
-Segmentation fault core dumped
+Fatal error: Uncaught exception in main.php on line 1
+GeneralException: in main.py line 1
+SQLSTATE[00000]: General error
+Warning: function() expects parameter to be resource, boolean given in main.php on line 1
+Warning: mysql_fetch_array() supplied argument is not a valid result resource in main.php on line 1
+Warning in main.php on line 1
+Notice: Undefined variable in main.php on line 1
+Parse error: syntax error, unexpected end of file in main.php on line 1
+Segmentation fault (core dumped)
 Stack trace
-Out of memory error
-Disk full
+Out of memory
 No space left on device
-Additionally, a 404 error was encountered while trying to use an ErrorDocument to handle the request
-Apache Server at Port
-Apache server
-nginx
-Request ID
-If the problem persists contact the administrator
-If the problem persists, contact support
-Please contact the administrator
+Apache Server at example.org Port 80
+Request ID: 0123456789ab
+Reference number: 0123456789ab
+If the problem persists, contact the administrator
+Please contact support
+The request could not be completed
+The requested file could not be retrieved
 Invalid request
 Invalid token
-Invalid response
 Failed to load resource
-Failed to load subtitles
 Failed to load
-Could not load subtitles
-Could not load
-File corrupted
-File is corrupt
 Unsupported format
-Conversion failed
-Export failed
 Seite nicht gefunden
 Datei nicht gefunden
-Die angeforderte Datei existiert nicht mehr
-Die angeforderte Seite wurde nicht gefunden
+Die angeforderte Seite existiert nicht
 Zugriff verweigert
 Interner Serverfehler
 Ein Fehler ist aufgetreten
 Dienst nicht verfügbar
-Bitte versuchen Sie es später erneut
 Page introuvable
 Fichier introuvable
-Le fichier demandé n'existe plus
 La page demandée n'existe pas
 Accès refusé
-Accès interdit
 Erreur interne du serveur
 Une erreur est survenue
-Veuillez réessayer plus tard
 Página no encontrada
 Archivo no encontrado
-Este archivo ya no está disponible
+Esta página ya no está disponible
 Acceso denegado
 Error interno del servidor
 Se ha producido un error
-Inténtelo de nuevo más tarde
 Pagina non trovata
 Accesso negato
 Página não encontrada
 Acesso negado
 Sidan hittades inte
-Åtkomst nekad
 Nie znaleziono strony
-Odmowa dostępu
 """
 
 #: Notices that scripts, cookies, a browser or a check for robots stand before the content.
 NOTICES = """
 Please enable JavaScript to view this page
-Please enable JavaScript
-Please enable JavaScript to continue
 You need to enable JavaScript to run this app
-You need to enable JavaScript
 JavaScript is required
-JavaScript required
 JavaScript is disabled in your browser
-JavaScript is disabled
-JavaScript is not enabled
 JavaScript must be enabled
+This page requires JavaScript to work properly
+This site only works with JavaScript enabled
+The video player needs JavaScript to run
 Enable JavaScript and cookies to continue
-Turn on JavaScript
-Turn it on and reload to read the subtitles
-Turn JavaScript on and reload the page
-This player runs only with JavaScript enabled
-This page requires JavaScript
-This site requires JavaScript
-This app requires JavaScript
-This site requires cookies and scripts to work properly
-This website requires cookies
+Turn on JavaScript and reload the page
+Scripts are blocked on this site
+If nothing appears, enable scripts and reload
+If the page does not load, allow scripts for this site
+Loading, please wait
+Loading content
+This site requires cookies
 This website uses cookies
 We use cookies to improve your experience
-Accept cookies to continue
 Accept all cookies
 Please enable cookies
-Please accept cookies
 Cookies are disabled in your browser
-Cookies must be enabled
 Your browser does not support JavaScript
 Your browser does not support the video tag
-Your browser does not support HTML5 video
 Your browser is not supported
 Your browser is out of date
-Your browser is outdated
-Your browser is out of date and does not support the subtitle viewer
-and does not support the subtitle viewer
-This browser is not supported
+Unsupported browser
 Please update your browser
-Please upgrade your browser
-Please use a modern browser
 Please disable your ad blocker
-Loading subtitles, if nothing appears, allow scripts for this site
-If nothing appears, allow scripts for this site
-Please allow scripts for this site
-Scripts are blocked
-Loading please wait
-Checking your browser before you continue
-Checking your browser before accessing
 Checking your browser
+Checking your browser before accessing the site
 Checking if the site connection is secure
-Ray ID
-Ray fd8edef7b613
-DDoS protection by
-This process is automatic. Your browser will redirect shortly
-Please wait while we verify your browser
+DDoS protection
+This process is automatic, your browser will redirect shortly
 Verify you are human
-Verifying you are human
-Please verify you are a human
-Please verify that you are not a robot
-Confirm you are not a robot
+Please wait while we verify
+One moment please
+Verifying that you are not a robot
+Please prove that you are not a robot
+Confirm you are human to continue
 I am not a robot
-Prove you are not a robot
-Please complete the captcha to prove you are not a robot
-Please complete the captcha
-Please complete the security check to continue
-Please solve the captcha
-Complete the security check to access
+Please complete the captcha to continue
+Complete the security check to access the site
 Unusual traffic from your computer network
-Needs to review the security of your connection before proceeding
-Bitte aktivieren Sie JavaScript, um fortzufahren
 Bitte aktivieren Sie JavaScript
-Bitte aktivieren Sie Cookies
-JavaScript ist deaktiviert
+Bitte aktivieren Sie JavaScript, um die Seite anzuzeigen
 Ihr Browser wird nicht unterstützt
-Diese Seite benötigt JavaScript
-Bestätigen Sie, dass Sie kein Roboter sind
-Activez JavaScript pour afficher cette page
-Veuillez activer JavaScript
-Veuillez activer les cookies
+Veuillez activer JavaScript pour afficher la page
 Votre navigateur n'est pas pris en charge
-Confirmez que vous n'êtes pas un robot
-Necesita activar JavaScript para ver este contenido
-Active JavaScript para continuar
-Habilite JavaScript para continuar
-Habilite las cookies
+Habilite JavaScript para ver el contenido
+Es necesario activar JavaScript para continuar
 Su navegador no es compatible
-Confirme que no es un robot
 Abilita JavaScript per continuare
 Ative o JavaScript para continuar
-Schakel JavaScript in
+Schakel JavaScript in om door te gaan
 Aktivera JavaScript för att fortsätta
 Włącz JavaScript, aby kontynuować
 Включите JavaScript
 """
 
+#: Words of one concept. A word ending in * stands for all that begin so.
+CONCEPTS = """
+enable enabl* activat* activer activez activar active aktivier* aktivera allow* permit* unblock* habilit* abilita ative schakel włącz włączyć
+disable disabl* deactivat* deaktiviert desactivado désactivé
+script javascript* script scripts scripting ecmascript
+cookie cookie*
+browser browser* navigateur navegador przeglądarka
+human robot robots captcha* recaptcha bots roboter
+verify verif* prove confirm* check checking
+page page pages site sites website* webpage* seite página pagina sidan strona strony
+file file files datei fichier archivo ficheiro bestand plik
+resource resource* content contents contenido contenu inhalt conteúdo contenuto
+show view display* afficher ver anzuzeigen anzeigen visualizzare visualizar
+server server servers gateway proxy upstream backend node cache
+answer answer* respon*
+deliver deliver* retriev* fetch* served load* download* chargement cargar laden
+absent unavailable missing introuvable gefunden encontrada encontrado trovata encontrada hittades znaleziono removed deleted moved
+deny denied forbidden unauthori* refused reject* verweigert refusé denegado negado interdit prohibido blocked
+retry retry retries reload refresh
+need need needs require* requires necesita necesario necessary benötigt
+run run runs running works
+again continue proceed fortzufahren fortfahren continuer continuar continuare kontynuować fortsätta
+limit limit* quota rate
+fail fail* error* fehler erreur errore erro oops
+expire expire* outdated
+text text texts line lines string subtitle* caption* texto texte testo tekst untertitel
+speech dialogue dialog cue cues description message
+dummy dummy placeholder* sample example filler beispiel* platzhalter* ejemplo exemple esempio exemplo voorbeeld* exempel* przykład*
+enter type enter insert insertar introduce escriba saisissez inserisci insira skriv wpisz eingeben
+replace replace* reemplazar sustituir sustituya ersetzen remplacer remplacement sostituire
+publish publish* release launch
+translate translat* untranslated
+login login log* sign* session password account
+stand steht stehen
+later later moment shortly
+product player viewer app application
+"""
+
+
+#: Words of people about people, which count in full against a passage.
+TALK = "he she they him her them his hers their mine myself himself herself sir madam mom dad darling"
+
 
 def labelled() -> list[tuple[str, str]]:
     """(kind, text) of each exemplar but the dummy paragraph."""
-    return [(kind, line) for kind, block in (("filler", FILLER), ("error", ERRORS), ("notice", NOTICES)) for line in block.strip().splitlines()]
+    blocks = (("slot", SLOTS), ("filler", FILLER), ("error", ERRORS), ("notice", NOTICES))
+    return [(kind, line) for kind, block in blocks for line in block.strip().splitlines()]
