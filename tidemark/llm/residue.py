@@ -63,9 +63,9 @@ _DAMAGED_QUOTE = re.compile(r"(?:â\S{0,6}|Â\S{0,3}|\?|�)$")
 _PLACE = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:example|com|org|net|io|tv)\b\S*|(?:/[\w.-]+){2,}", re.I)
 _STATUS_NUMBER = re.compile(r"(?<![\w.,/])[45]\d\d(?![\w,/]|\.\d)")
 #: What may be a status number once places, tags and underscores are gone; no part of a time.
-_MAY_BE_STATUS = re.compile(r"(?<![^\W_])(?<![.,])[45]\d\d(?![^\W_])")
-_ERROR_NUMBER = re.compile(r"\b(?:error|err|code|fehler|erreur)\s*+(?:code|no\.?|number|[#:])?\s*+#?(?![45]\d\d\b)\d+\b", re.I)
-_PROGRAM = re.compile(r"\bon line \d+|\bline \d+, in\b|(?<![\w/.-])(?:[\w/-]++\.)++(?:php|py|js|jsp|aspx?|cgi|rb|pl|java|cpp)\b|\b\w++\(\)|\b[A-Z][A-Za-z]*?(?:Error|Exception)\b|\b[A-Z]{4,}+\[\w++\]")
+_MAY_BE_STATUS = re.compile(r"[45](?<![^\W_][45])(?<![.,][45])\d\d(?![^\W_])")
+_ERROR_NUMBER = re.compile(r"\b(?:error|code|fehler|erreur)\s*+(?:code|no\.?|number|[#:])?\s*+#?(?![45]\d\d\b)\d+\b", re.I)
+_PROGRAM = re.compile(r"\bon line \d+|\bline \d+, in\b|(?<![\w/.-])(?:[\w/-]++\.)++(?:php|py|js|jsp|aspx?|cgi|rb|pl|java|cpp)\b|\b\w++\(\)|\b[A-Z][A-Za-z]*?(?:Error|Exception)\b|\b[A-Z]{4,}+\[HY\w*+\]")
 _IDENTIFIER = re.compile(r"\b(?=\w*\d)(?=\w*[a-f])[0-9a-f]{8,}\b", re.I)
 #: Numbers and identifiers; a word with one or two misread letters is none.
 _NUMBER = re.compile(r"\b\d+\b|\b\w*\d\w*\d\w*\d\w*|\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b", re.I)
@@ -200,7 +200,8 @@ class Index:
         self.anchors = frozenset(w for i in range(len(self.exemplars)) for w in self._rarest(i))
 
     def _rarest(self, i: int) -> list[str]:
-        words = sorted(self.exemplars[i][2], key=lambda w: (-self.idf[w], w))
+        # Identifiers last: the pre-screen of texts does not look for them.
+        words = sorted(self.exemplars[i][2], key=lambda w: (w == _ID, -self.idf[w], w))
         left = sum(self.idf[w] for w in words)
         for n, w in enumerate(words):
             if left < (self.held - 1e-6) * self.mass[i]:
@@ -313,9 +314,19 @@ def has_slot(text: str) -> bool:
     return _SIGIL.search(text) is not None and _SLOT.search(text.replace("\n", " ")) is not None
 
 
+#: What a place in program code, or an error's number, cannot do without; looked for before the patterns are.
+_PROGRAM_SIGNS = ("line ", "()", "Error", "Exception", ".php", ".py", ".js", ".asp", ".cgi", ".rb", ".pl", ".java", ".cpp", "[HY")
+_ERROR_SIGNS = ("error", "code", "fehler", "erreur")
+
+
 def _structured(text: str) -> bool:
-    """Whether a text may have a term that is no word."""
-    return _MAY_BE_STATUS.search(text) is not None or _PROGRAM.search(text) is not None or _ERROR_NUMBER.search(text) is not None or _IDENTIFIER.search(text) is not None or has_slot(text)
+    """Whether a text may have a term that is no word (but for identifiers, which no exemplar rests on)."""
+    if _MAY_BE_STATUS.search(text) or has_slot(text):
+        return True
+    if any(sign in text for sign in _PROGRAM_SIGNS) and _PROGRAM.search(text):
+        return True
+    low = text.lower()
+    return any(sign in low for sign in _ERROR_SIGNS) and _ERROR_NUMBER.search(text) is not None
 
 
 def residue_matches(
