@@ -109,10 +109,69 @@ scaled AS (
 ), sim AS (SELECT series_id, strategy, h, date, w, gross, paid AS cost, gross - paid AS net, unit FROM (SELECT run.*, CASE WHEN run.i = 0 THEN run.w * z.spread ELSE run.cost END AS paid FROM run JOIN scaled z USING (series_id, strategy, h, i)))"""
 
 
+def _phi(x: str) -> str:
+    """Normal distribution function by its series about zero, in nested form."""
+    z, inner = f"(({x}) * ({x}))", "1.0::DOUBLE"
+    for k in range(201, 1, -2):
+        inner = f"1 + z / {k} * ({inner})"
+    return f"(SELECT CASE WHEN x > 8 THEN 1.0::DOUBLE WHEN x < -8 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE + exp(-z / 2) / sqrt(2 * pi()) * x * ({inner}) END FROM (SELECT ({x})::DOUBLE AS x, {z}::DOUBLE AS z))"
+
+
+def _performance(rows: str, keys: str) -> str:
+    """Metrics of ``x`` by group of ``rows`` (a table with keys, date, x)."""
+    on = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
+    return f"""present AS (SELECT * FROM {rows} WHERE x IS NOT NULL), cuts AS (SELECT {keys}, quantile_cont(x, 0.05) AS q5, quantile_cont(x, 0.01) AS q1 FROM present GROUP BY {keys}),
+eq AS (SELECT {keys}, date, sum(x) OVER (PARTITION BY {keys} ORDER BY date) AS equity FROM present), dd AS (SELECT {keys}, min(equity - peak) AS max_dd FROM (SELECT *, max(equity) OVER (PARTITION BY {keys} ORDER BY date) AS peak FROM eq) GROUP BY {keys}),
+tails AS (SELECT {", ".join("a." + k.strip() for k in keys.split(","))}, avg(CASE WHEN x <= q5 THEN x END) AS cvar95, avg(CASE WHEN x <= q1 THEN x END) AS cvar99, any_value(q5) AS var95, any_value(q1) AS var99 FROM present a JOIN cuts b ON {on} GROUP BY ALL),
+moments AS (SELECT {keys}, {_MOMENTS}, avg(CASE WHEN x > 0 THEN 1 ELSE 0 END) AS hit FROM present GROUP BY {keys})"""
+
+
+def _har(name: str, horizon: int) -> str:
+    """One walk-forward regression: per block its training rows are orthogonalised column by column, the asked rows with them."""
+    rv = [f"rv_cc_trail_{n}" for n in (1, 5, 22)]
+    part = lambda n: f"CASE WHEN bv_trail_{n} IS NULL THEN rv_cc_trail_{n} ELSE least(bv_trail_{n}, rv_cc_trail_{n}) END"
+    x = {"har_cj": [rv[0], part(5), "jump_5", part(22), "jump_22"], "har_j": [*rv, "jump_22"]}.get(name, rv + (["iv30"] if name.endswith("iv") else []))
+    log, y = "log" in name, f"target_rv_{horizon}"
+    if log:
+        x, y = ([f"CASE WHEN {c} IS NOT NULL THEN ln(greatest({c}, 1e-5::DOUBLE)) END" for c in cols] for cols in (x, [y]))
+        y = y[0]
+    k = len(x)
+    over = "FILTER (WHERE t) OVER (PARTITION BY b)"
+    names = [f"x{i}" for i in range(k)]
+    steps, before = [], "u"
+    centred = ", ".join([*(f"{n} - avg({n}) {over} AS {n}" for n in names), f"y - avg(y) {over} AS y", f"avg(y) {over} AS level", f"count(*) {over} AS n", "0::DOUBLE AS fit"])
+    steps.append(f"c0 AS (SELECT b, t, date, {centred} FROM u)")
+    for j in range(k):
+        rest = [f"{n} - {names[j]} * (sum({n} * {names[j]}) {over} / sum({names[j]} * {names[j]}) {over}) AS {n}" for n in names[j + 1 :]]
+        steps.append(f"c{j + 1} AS (SELECT b, t, date, {', '.join([*rest, 'y', 'level', 'n'])}, fit + {names[j]} * (sum(y * {names[j]}) {over} / sum({names[j]} * {names[j]}) {over}) AS fit FROM c{j})")
+    ahead = f"exp(level + fit) * avg(exp(y - fit)) {over}" if log else "level + fit"
+    return f"""SELECT 'asset' AS series_id, CAST(date AS VARCHAR) AS date, {horizon} AS horizon, '{name}' AS model, CASE WHEN n >= 252 THEN round(forecast, 8) END AS forecast FROM (
+  WITH d AS (SELECT date, pos, {", ".join(f"{c} AS {n}" for c, n in zip(x, names))}, {y} AS y FROM pos), asked AS (SELECT pos.date, pos.pos, row_number() OVER (ORDER BY date) - 1 AS ordinal FROM pos, cut WHERE date >= DATE '1998-01-01' AND pos <= last - {horizon}),
+  blocks AS (SELECT ordinal // 22 AS b, min(pos) AS first FROM asked GROUP BY 1),
+  u AS (SELECT b, true AS t, date, {", ".join(names)}, y FROM blocks JOIN d ON d.pos <= first - {horizon} WHERE {" AND ".join(f"{n} IS NOT NULL" for n in [*names, "y"])} UNION ALL SELECT ordinal // 22, false, d.date, {", ".join(names)}, NULL FROM asked JOIN d ON asked.pos = d.pos),
+  {", ".join(steps)} SELECT t, date, n, {ahead} AS forecast FROM c{k}) WHERE NOT t"""
+
+
+def _mz(forecast: str, lag: int) -> str:
+    """Calibration regression with robust Wald test of the sample's ``forecast``, up to ``mz``."""
+    lags = ", ".join(f"lag(u, {k}) OVER w AS u{k}, lag(v, {k}) OVER w AS v{k}" for k in range(1, lag + 1))
+    weigh = lambda a, b: f"sum({a} * {b}) + " + " + ".join(f"{1 - k / (lag + 1)!r}::DOUBLE * coalesce(sum({a} * {b}{k} + {a}{k} * {b}), 0)" for k in range(1, lag + 1))
+    return f"""cal AS (SELECT model, regr_intercept(y, {forecast}) AS alpha, regr_slope(y, {forecast}) AS beta, regr_r2(y, {forecast}) AS r2, count(*) AS n, avg({forecast}) AS mf, avg({forecast} * {forecast}) AS mff FROM lossed GROUP BY model),
+errs AS (SELECT lossed.model, date, y - alpha - beta * {forecast} AS u, (y - alpha - beta * {forecast}) * {forecast} AS v FROM lossed JOIN cal USING (model)), lagged_errs AS (SELECT model, u, v, {lags} FROM errs WINDOW w AS (PARTITION BY model ORDER BY date)),
+meat AS (SELECT model, {weigh("u", "u")} AS suu, {weigh("u", "v")} AS suv, {weigh("v", "v")} AS svv FROM lagged_errs GROUP BY model),
+mz AS (SELECT model, n, alpha, beta, r2, (svv * g1 * g1 - 2 * suv * g1 * g2 + suu * g2 * g2) / (suu * svv - suv * suv) AS wald FROM (SELECT *, n * (alpha + mf * (beta - 1)) AS g1, n * (mf * alpha + mff * (beta - 1)) AS g2 FROM cal JOIN meat USING (model)))"""
+
+
 def _rounded(names: str, digits: int = 8) -> str:
     return ", ".join(f"round({n}, {digits}) + 0.0::DOUBLE AS {n}" for n in names.split())
 
 
+def _rounded_as(columns: str, digits: int = 6) -> str:
+    """``expression AS name, ...`` with each expression rounded."""
+    cells = [c.rsplit(" AS ", 1) for c in columns.split(", ")]
+    return ", ".join(f"round({x}, {digits}) + 0.0::DOUBLE AS {n}" for x, n in cells)
+
+
 _TEXT_DATE = "CAST(date AS VARCHAR) AS date"
 _EXAMPLES = "array_to_string(list_sort(list(CAST(date AS VARCHAR) ORDER BY date) FILTER (WHERE k <= 3)), ',') AS examples"
 
@@ -145,7 +204,28 @@ _KURT = "(m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 * m1 * m1 * m1) / pow(m2
 _EQUITY = f"{_UNITS}, eq AS (SELECT date, sum(x) OVER (ORDER BY date) AS equity FROM u), dd AS (SELECT date, equity, equity - max(equity) OVER (ORDER BY date) AS drawdown FROM eq)"
 _FEATURE_NAMES = "spx_open spx_high spx_low spx_close vix_close ret_cc dv_cc dv_parkinson dv_garman_klass dv_rogers_satchell dv_yang_zhang22 rv_cc_trail_1 rv_gk_trail_1 rv_pk_trail_1 target_rv_1 rv_cc_trail_5 rv_gk_trail_5 rv_pk_trail_5 target_rv_5 rv_cc_trail_22 rv_gk_trail_22 rv_pk_trail_22 target_rv_22 bv_trail_5 bv_trail_22 jump_5 jump_22 iv30 vrp_expost"
 
+_SPREADS = ", ".join(str(x / 4) for x in range(13))
+_SHARPES = f"{_simulation(_MARKET, _SPREADS)}, curve AS (SELECT strategy, h, avg(net) / nullif(stddev_samp(net), 0) * sqrt(252) AS sharpe FROM sim GROUP BY strategy, h)"
+_DM_PAIRS = "SELECT a.model, a.date, a.qlike - b.qlike AS x FROM lossed a JOIN lossed b ON a.date = b.date WHERE a.model <> $$random_walk$$ AND b.model = $$random_walk$$"
+_DM = f"{_lrv(_DM_PAIRS)}, dm AS (SELECT model, n, mean, mean / sqrt(lrv / n) AS stat FROM lrv)"
+
+
 ORACLES = {
+    "calendar_joint_whole": f"WITH {_SERIES} SELECT g.series_id, CAST(g.date AS VARCHAR) AS date, round(g.close, 8) AS spx_close, round(v.close, 8) AS vix_close FROM g JOIN v ON g.series_id = v.series_id AND g.date = v.date WHERE g.date >= DATE '1990-01-02'",
+    "walkforward_har": f"{_NUMBERED} {' UNION ALL '.join(_har(n, h) for n in ('har', 'har_log', 'har_iv', 'har_log_iv', 'har_j', 'har_cj') for h in (1, 5, 22))}",
+    "breakeven_sweep": f"{_SHARPES} SELECT strategy, min(CASE WHEN sharpe <= 0 THEN h END) AS breakeven FROM curve GROUP BY strategy",
+    "spread_curve": f"{_SHARPES} SELECT strategy, h AS half_spread, round(sharpe, 6) + 0.0::DOUBLE AS sharpe FROM curve",
+    "perf_summary": f"{_simulation(_MARKET)}, {_performance('(SELECT strategy, date, net AS x FROM sim)', 'strategy')} SELECT m.strategy, n, {_rounded_as('m1 * 252 AS ann_return, sd * sqrt(252) AS ann_vol, m1 * 252 / (sd * sqrt(252)) AS sharpe, max_dd AS max_dd')}, round({_SKEW}, 6) + 0.0::DOUBLE AS skew, round({_KURT}, 6) + 0.0::DOUBLE AS kurtosis, {_rounded_as('var95 AS var95, cvar95 AS cvar95, var99 AS var99, cvar99 AS cvar99, hit AS hit_rate')} FROM moments m JOIN tails t ON m.strategy = t.strategy JOIN dd ON m.strategy = dd.strategy",
+    "net_edge": f"{_simulation(_MARKET)}, {_lrv('SELECT a.strategy AS model, a.date, a.net - b.net AS x FROM sim a JOIN sim b ON a.date = b.date WHERE a.strategy <> $$always_short$$ AND b.strategy = $$always_short$$')}, edge AS (SELECT model, n, mean, mean / sqrt(lrv / n) AS stat FROM lrv) SELECT model AS strategy, n, round(mean, 6) + 0.0::DOUBLE AS mean_daily_diff, round(mean * 252, 6) + 0.0::DOUBLE AS ann_diff, round(stat, 6) + 0.0::DOUBLE AS t_stat, round(2 * (1 - {_phi('abs(stat)')}), 6) + 0.0::DOUBLE AS p_value FROM edge",
+    "dm_sample": f"{_PANEL}, {_DM} SELECT model, n, round(mean, 6) AS mean_diff, round(stat, 6) AS stat, round(2 * (1 - {_phi('abs(stat)')}), 6) + 0.0::DOUBLE AS p_value FROM dm",
+    "mz_sample": f"{_PANEL}, {_mz('forecast', 22)} SELECT model, n, round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(r2, 6) AS r2, round(wald, 4) AS wald, round(exp(-wald / 2), 6) + 0.0::DOUBLE AS p_joint FROM mz",
+    "score_table_sample": f"{_PANEL}, base AS (SELECT sum(se) AS b FROM lossed WHERE model = 'expanding_mean'), scored AS (SELECT model, count(*) AS n, avg(qlike) AS qlike, avg(se) * 1e4 AS mse, 1 - sum(se) / any_value(b) AS r2_oos, count(*) FILTER (WHERE forecast < 1e-4) AS n_clipped FROM lossed, base GROUP BY model), {_mz('clipped', 22)}, {_DM} SELECT s.model, s.n, round(qlike, 6) AS qlike, round(mse, 6) AS mse_x1e4, round(r2_oos, 6) + 0.0::DOUBLE AS oos_r2, n_clipped, round(alpha, 6) AS mz_alpha, round(beta, 6) AS mz_beta, round(r2, 6) AS mz_r2, round(exp(-wald / 2), 6) + 0.0::DOUBLE AS mz_p, round(stat, 6) AS dm_stat, round(2 * (1 - {_phi('abs(stat)')}), 6) + 0.0::DOUBLE AS dm_p FROM scored s JOIN mz ON s.model = mz.model LEFT JOIN dm ON s.model = dm.model",
+    "series_sim": f"{_simulation(_WIDE)} SELECT series_id, strategy, h AS half_spread, {_TEXT_DATE}, round(w, 6) AS w, round(gross, 6) + 0.0::DOUBLE AS pnl_gross, round(cost, 6) + 0.0::DOUBLE AS cost, round(net, 6) + 0.0::DOUBLE AS pnl_net, round(unit, 6) + 0.0::DOUBLE AS unit_pnl FROM sim",
+    "series_performance": f"{_simulation(_WIDE)}, {_performance('(SELECT series_id, strategy, date, net AS x FROM sim)', 'series_id, strategy')} SELECT m.series_id, m.strategy, n, {_rounded_as('m1 * 252 AS ann_return, max_dd AS max_dd, var95 AS var95, cvar95 AS cvar95, hit AS hit_rate')} FROM moments m JOIN tails t ON m.series_id = t.series_id AND m.strategy = t.strategy JOIN dd ON m.series_id = dd.series_id AND m.strategy = dd.strategy",
+    "series_scores": f"""{_WIDE}, panel AS (SELECT series_id, date, target_rv_22 AS y, unnest(['random_walk', 'vix']) AS model, unnest([rv_cc_trail_22, iv30]) AS forecast FROM feat),
+sample AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY series_id, date) AS have FROM panel WHERE y IS NOT NULL AND forecast IS NOT NULL) WHERE have = 2),
+lossed AS (SELECT series_id || '|' || model AS model, series_id, model AS name, date, greatest(y, 1e-6) / greatest(forecast, 1e-4) - ln(greatest(y, 1e-6) / greatest(forecast, 1e-4)) - 1 AS qlike, (y - greatest(forecast, 1e-4)) * (y - greatest(forecast, 1e-4)) AS se FROM sample), {_lrv('SELECT model, date, qlike AS x FROM lossed')}
+SELECT split_part(l.model, '|', 1) AS series_id, split_part(l.model, '|', 2) AS model, n, round(mean, 6) AS mean, round(lrv, 6) AS lrv FROM lrv l""",
     "bars_daily": f"WITH {_ASSET} SELECT series_id, {_TEXT_DATE}, {_rounded('open high low close')} FROM asset",
     "iv_daily": f"WITH {_ASSET} SELECT series_id, {_TEXT_DATE}, {_rounded('close', 5)} FROM asset_iv",
     "events_bars": "SELECT event_type AS series_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, round(arg_min(value, row(ts, event_id)), 8) AS open, round(max(value), 8) AS high, round(min(value), 8) AS low, round(arg_max(value, row(ts, event_id)), 8) AS close, count(value) AS n FROM events GROUP BY 1, 2",

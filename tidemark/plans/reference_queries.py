@@ -231,6 +231,20 @@ def mz_joint(s: SparkSession, d: str) -> DataFrame:
     return market(S.mincer_zarnowitz(_dev_panel(s, d)), 6)
 
 
+def dm_sample(s: SparkSession, d: str) -> DataFrame:
+    """The test with its probabilities on the four models whose SQL is stated."""
+    return market(S.diebold_mariano(S.losses(_sample(s, d)), "qlike", "random_walk", 22).drop("horizon"), 6)
+
+
+def mz_sample(s: SparkSession, d: str) -> DataFrame:
+    out = S.mincer_zarnowitz(_sample(s, d), 22).drop("horizon")
+    return market(out.withColumn("wald", F.round("wald", 4)), 6)
+
+
+def score_table_sample(s: SparkSession, d: str) -> DataFrame:
+    return market(S.score_table(_sample(s, d), against="random_walk", lag=22).drop("horizon"), 6)
+
+
 def model_confidence_set(s: SparkSession, d: str) -> DataFrame:
     return market(S.confidence_set(S.losses(_dev_panel(s, d))), 4)
 
@@ -298,6 +312,24 @@ def strategy_sim(s: SparkSession, d: str) -> DataFrame:
     return market(_simulated(s, d, [0.5]), 6)
 
 
+def series_sim(s: SparkSession, d: str) -> DataFrame:
+    """The simulation of every index series, each a market of its own."""
+    return tidy(_simulate(cut_lineage(series_features(s, d)), [0.5]), 6)
+
+
+def series_performance(s: SparkSession, d: str) -> DataFrame:
+    out = B.performance(_simulate(cut_lineage(series_features(s, d)), [0.5]), "pnl_net")
+    return tidy(out.select("series_id", "strategy", "n", "ann_return", "max_dd", "var95", "cvar95", "hit_rate"), 6)
+
+
+def series_scores(s: SparkSession, d: str) -> DataFrame:
+    """Robust variance of the losses of two forecasts, for every index series."""
+    features = cut_lineage(series_features(s, d))
+    panel = baselines.union([baselines.random_walk(features, (22,)), baselines.implied(features, (22,))])
+    sample = protocol.common_sample(panel, protocol.targets(features, (22,)))
+    return tidy(S.long_run_variance(S.losses(sample), "qlike", S.KEYS, 22).drop("horizon"), 6)
+
+
 def breakeven_sweep(s: SparkSession, d: str) -> DataFrame:
     return market(B.breakeven(_simulated(s, d, [x / 4 for x in range(13)])))
 
@@ -387,7 +419,7 @@ QUERIES = {
     for f in (
         bars_daily, iv_daily, events_bars, series_bars_first, calendar_joint, calendar_joint_whole, calendar_dropped, crosscheck, quality_index, quality_ohlc, quality_ohlc_shares, quality_close, quality_variance,
         dv_estimators, yang_zhang, rv_trailing, rv_forward, bipower_jump, features_full, open_synthetic_by_year, vrp_summary_by_period, estimator_table,
-        baseline_random_walk, baseline_expanding_mean, baseline_ewma, eval_index, walkforward_uni, walkforward_har, common_sample, loss_scores, oos_r2, newey_west_lrv, dm_stat, dm_p_values, mz_ols, mz_joint,
+        baseline_random_walk, baseline_expanding_mean, baseline_ewma, eval_index, walkforward_uni, walkforward_har, common_sample, loss_scores, oos_r2, newey_west_lrv, dm_stat, dm_p_values, dm_sample, mz_ols, mz_joint, mz_sample, score_table_sample, series_sim, series_performance, series_scores,
         model_confidence_set, garch_fit, boosting, boosting_importance, config_registry, weights, unit_pnl, turnover, strategy_sim, breakeven_sweep, perf_summary, deflated_sharpe, perf_unit, drawdown_series, drawdown_top5, event_windows, sharpe_moments,
         alignment_report, score_table, holdout_strategies, net_edge, spread_curve, equity_curves, premium_histogram, implied_and_realised, forecasts_beside_targets, aggregation_ratio,
     )
