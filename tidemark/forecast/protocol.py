@@ -46,6 +46,12 @@ def holdout_guard(rows: DataFrame, protocol: Protocol) -> None:
         raise HoldoutViolation(f"evaluation rows reach {last}; development ends {protocol.dev_end}")
 
 
+def guarded(rows: DataFrame, protocol: Protocol) -> DataFrame:
+    """Development rows, after the guard has let them pass."""
+    holdout_guard(rows, protocol)
+    return rows
+
+
 def common_sample(panel: DataFrame, targets: DataFrame) -> DataFrame:
     """Forecasts with their target ``y``, on the dates on which the target and every model are there."""
     models = panel.select("horizon", "model").distinct().groupBy("horizon").agg(F.count(F.lit(1)).alias("_models"))

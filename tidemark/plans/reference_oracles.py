@@ -204,6 +204,8 @@ _KURT = "(m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 * m1 * m1 * m1) / pow(m2
 _EQUITY = f"{_UNITS}, eq AS (SELECT date, sum(x) OVER (ORDER BY date) AS equity FROM u), dd AS (SELECT date, equity, equity - max(equity) OVER (ORDER BY date) AS drawdown FROM eq)"
 _FEATURE_NAMES = "spx_open spx_high spx_low spx_close vix_close ret_cc dv_cc dv_parkinson dv_garman_klass dv_rogers_satchell dv_yang_zhang22 rv_cc_trail_1 rv_gk_trail_1 rv_pk_trail_1 target_rv_1 rv_cc_trail_5 rv_gk_trail_5 rv_pk_trail_5 target_rv_5 rv_cc_trail_22 rv_gk_trail_22 rv_pk_trail_22 target_rv_22 bv_trail_5 bv_trail_22 jump_5 jump_22 iv30 vrp_expost"
 
+_REGISTRY = """SELECT DISTINCT 'orders' AS phase, o_orderpriority AS model, CAST(year(o_orderdate) AS INTEGER) AS horizon, '{"status":"' || o_orderstatus || '"}' AS params, 'all' AS eval_window FROM orders o
+WHERE NOT EXISTS (SELECT 1 FROM orders f WHERE f.o_orderstatus = 'F' AND f.o_orderpriority = o.o_orderpriority AND year(f.o_orderdate) = year(o.o_orderdate) AND f.o_orderstatus = o.o_orderstatus)"""
 _SPREADS = ", ".join(str(x / 4) for x in range(13))
 _SHARPES = f"{_simulation(_MARKET, _SPREADS)}, curve AS (SELECT strategy, h, avg(net) / nullif(stddev_samp(net), 0) * sqrt(252) AS sharpe FROM sim GROUP BY strategy, h)"
 _DM_PAIRS = "SELECT a.model, a.date, a.qlike - b.qlike AS x FROM lossed a JOIN lossed b ON a.date = b.date WHERE a.model <> $$random_walk$$ AND b.model = $$random_walk$$"
@@ -216,6 +218,12 @@ ORACLES = {
     "breakeven_sweep": f"{_SHARPES} SELECT strategy, min(CASE WHEN sharpe <= 0 THEN h END) AS breakeven FROM curve GROUP BY strategy",
     "spread_curve": f"{_SHARPES} SELECT strategy, h AS half_spread, round(sharpe, 6) + 0.0::DOUBLE AS sharpe FROM curve",
     "perf_summary": f"{_simulation(_MARKET)}, {_performance('(SELECT strategy, date, net AS x FROM sim)', 'strategy')} SELECT m.strategy, n, {_rounded_as('m1 * 252 AS ann_return, sd * sqrt(252) AS ann_vol, m1 * 252 / (sd * sqrt(252)) AS sharpe, max_dd AS max_dd')}, round({_SKEW}, 6) + 0.0::DOUBLE AS skew, round({_KURT}, 6) + 0.0::DOUBLE AS kurtosis, {_rounded_as('var95 AS var95, cvar95 AS cvar95, var99 AS var99, cvar99 AS cvar99, hit AS hit_rate')} FROM moments m JOIN tails t ON m.strategy = t.strategy JOIN dd ON m.strategy = dd.strategy",
+    "deflated_sharpe": f"""{_simulation(_MARKET)}, tried AS (SELECT count(*) AS trials FROM ({_REGISTRY})), levels AS (SELECT unnest([1 - 1.0::DOUBLE / trials, 1 - 1.0::DOUBLE / (trials * exp(1.0::DOUBLE))]) AS p, unnest([1, 2]) AS which, trials FROM tried),
+bisect AS (SELECT which, p, -9.0::DOUBLE AS lo, 9.0::DOUBLE AS hi, 0 AS k FROM levels UNION ALL SELECT which, p, CASE WHEN below THEN mid ELSE lo END, CASE WHEN below THEN hi ELSE mid END, k + 1 FROM (SELECT *, {_phi("mid")} < p AS below FROM (SELECT *, (lo + hi) / 2 AS mid FROM bisect WHERE k < 60))),
+found AS (SELECT (1 - 0.5772156649015329::DOUBLE) * max(CASE WHEN which = 1 THEN lo END) + 0.5772156649015329::DOUBLE * max(CASE WHEN which = 2 THEN lo END) AS best FROM bisect WHERE k = 60),
+m AS (SELECT strategy, {_MOMENTS} FROM (SELECT strategy, net AS x FROM sim) GROUP BY strategy), g AS (SELECT strategy, n, m1 / sd AS sr, {_SKEW} AS g3, {_KURT} AS g4 FROM m), shaped AS (SELECT *, 1 - g3 * sr + (g4 - 1) / 4 * sr * sr AS shape FROM g),
+judged AS (SELECT *, sqrt(greatest(shape / (n - 1), 1e-12)) * best AS bench FROM shaped, found)
+SELECT strategy, round(sr * sqrt(252), 6) AS sharpe_ann, round({_phi("(sr - bench) * sqrt(n - 1) / sqrt(shape)")}, 6) + 0.0::DOUBLE AS dsr, round(bench * sqrt(252), 6) AS benchmark_ann, CAST(trials AS INTEGER) AS trials FROM judged, tried""",
     "net_edge": f"{_simulation(_MARKET)}, {_lrv('SELECT a.strategy AS model, a.date, a.net - b.net AS x FROM sim a JOIN sim b ON a.date = b.date WHERE a.strategy <> $$always_short$$ AND b.strategy = $$always_short$$')}, edge AS (SELECT model, n, mean, mean / sqrt(lrv / n) AS stat FROM lrv) SELECT model AS strategy, n, round(mean, 6) + 0.0::DOUBLE AS mean_daily_diff, round(mean * 252, 6) + 0.0::DOUBLE AS ann_diff, round(stat, 6) + 0.0::DOUBLE AS t_stat, round(2 * (1 - {_phi('abs(stat)')}), 6) + 0.0::DOUBLE AS p_value FROM edge",
     "dm_sample": f"{_PANEL}, {_DM} SELECT model, n, round(mean, 6) AS mean_diff, round(stat, 6) AS stat, round(2 * (1 - {_phi('abs(stat)')}), 6) + 0.0::DOUBLE AS p_value FROM dm",
     "mz_sample": f"{_PANEL}, {_mz('forecast', 22)} SELECT model, n, round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(r2, 6) AS r2, round(wald, 4) AS wald, round(exp(-wald / 2), 6) + 0.0::DOUBLE AS p_joint FROM mz",
@@ -260,7 +268,7 @@ SELECT series_id, 'info' AS severity, 'open_eq_prevclose' AS code, CAST(round(a
             ("ohlc_fields_inconsistent", "warn", "high + 1e-9 < open OR high + 1e-9 < close OR high + 1e-9 < low OR low - 1e-9 > open OR low - 1e-9 > close"),
         ],
     ),
-    "quality_variance": _issues("WITH flagged AS (SELECT series_id, date, dv_parkinson FROM features)", [("negative_dv_parkinson", "error", "dv_parkinson < -1e-9")]),
+    "quality_variance": _issues("WITH flagged AS (SELECT * FROM features)", [(f"negative_{c}", "error", f"{c} < -1e-9") for c in ("dv_cc", "dv_parkinson", "dv_garman_klass", "dv_rogers_satchell")]),
     "dv_estimators": f"{_WIDE} SELECT series_id, {_TEXT_DATE}, {_rounded('ret_cc dv_cc dv_parkinson dv_garman_klass dv_rogers_satchell')} FROM feat",
     "yang_zhang": f"{_WIDE} SELECT series_id, {_TEXT_DATE}, {_rounded('dv_yang_zhang22')} FROM feat",
     "rv_trailing": f"{_WIDE} SELECT series_id, {_TEXT_DATE}, {_rounded(' '.join(f'rv_{k}_trail_{n}' for k in ('cc', 'gk', 'pk') for n in (1, 5, 22)))} FROM feat",
@@ -286,8 +294,7 @@ SELECT 'asset' AS series_id, {_TEXT_DATE}, 22 AS horizon, 'ewma_riskmetrics' AS
     "newey_west_lrv": f"{_PANEL}, {_lrv('SELECT model, date, qlike AS x FROM lossed')} SELECT model, n, round(mean, 6) AS mean, round(lrv, 6) AS lrv FROM lrv",
     "dm_stat": f"{_PANEL}, {_lrv('SELECT a.model, a.date, a.qlike - b.qlike AS x FROM lossed a JOIN lossed b ON a.date = b.date WHERE a.model <> $$random_walk$$ AND b.model = $$random_walk$$')} SELECT model, n, round(mean, 6) AS mean_diff, round(mean / sqrt(lrv / n), 6) AS stat FROM lrv",
     "mz_ols": f"{_PANEL} SELECT model, count(*) AS n, round(regr_intercept(y, forecast), 6) AS alpha, round(regr_slope(y, forecast), 6) AS beta, round(regr_r2(y, forecast), 6) AS r2 FROM sample GROUP BY model",
-    "config_registry": """SELECT DISTINCT 'orders' AS phase, o_orderpriority AS model, CAST(year(o_orderdate) AS INTEGER) AS horizon, '{"status":"' || o_orderstatus || '"}' AS params, 'all' AS eval_window FROM orders o
-WHERE NOT EXISTS (SELECT 1 FROM orders f WHERE f.o_orderstatus = 'F' AND f.o_orderpriority = o.o_orderpriority AND year(f.o_orderdate) = year(o.o_orderdate) AND f.o_orderstatus = o.o_orderstatus)""",
+    "config_registry": _REGISTRY,
     "weights": f"{_weights(_MARKET)} SELECT {_TEXT_DATE}, strategy, round(base_w, 6) AS base_w, rebalance_every FROM weights",
     "unit_pnl": f"{_UNITS} SELECT {_TEXT_DATE}, {_rounded('carry m2m')}, round(carry + m2m, 8) + 0.0::DOUBLE AS unit_pnl, round((vix_close / 100 + 0.005::DOUBLE) * (vix_close / 100 + 0.005::DOUBLE) - vix_close / 100 * (vix_close / 100), 8) AS spread_cost FROM units",
     "turnover": f"{_weights(_MARKET)} SELECT strategy, {_TEXT_DATE}, round(before / 22 + abs(base_w - before), 6) AS turnover FROM (SELECT *, coalesce(lag(base_w) OVER (PARTITION BY strategy ORDER BY date), 0) AS before FROM weights WHERE base_w IS NOT NULL)",

@@ -9,7 +9,7 @@ from tidemark.backtest import strategies as B
 from tidemark.evaluate import scores as S
 from tidemark.evaluate.registry import new_entries
 from tidemark.forecast import baselines, boost, garch, protocol, walkforward
-from tidemark.forecast.panel import forecast_panel
+from tidemark.forecast.panel import common_models, forecast_panel
 from tidemark.functions.windows import by_date
 from tidemark.operators import features as X
 from tidemark.operators import quality as Q
@@ -154,7 +154,7 @@ def baseline_ewma(s: SparkSession, d: str) -> DataFrame:
 def _dev(s: SparkSession, d: str, horizon: int = 22) -> tuple[DataFrame, DataFrame]:
     """Features, written once for the many forecasts that read them, and evaluation rows."""
     features = cut_lineage(asset_features(s, d))
-    return features, protocol.dev_rows(features, horizon, PROTOCOL)
+    return features, protocol.guarded(protocol.dev_rows(features, horizon, PROTOCOL), PROTOCOL)
 
 
 def eval_index(s: SparkSession, d: str) -> DataFrame:
@@ -193,7 +193,7 @@ def _dev_panel(s: SparkSession, d: str) -> DataFrame:
     GARCH is fitted once, on the rows of 22 days, for all horizons.
     """
     features = cut_lineage(asset_features(s, d))
-    rows = {h: protocol.dev_rows(features, h, PROTOCOL) for h in HORIZONS}
+    rows = {h: protocol.guarded(protocol.dev_rows(features, h, PROTOCOL), PROTOCOL) for h in HORIZONS}
     parts = [forecast_panel(features, rows[h], h, ("baseline", "har", "boosting") if h == 22 else ("baseline", "har")) for h in HORIZONS]
     parts.append(garch.garch_forecasts(features, rows[22], horizons=HORIZONS).select("series_id", "date", "horizon", "model", "forecast"))
     return cut_lineage(protocol.common_sample(baselines.union(parts), protocol.targets(features)))
@@ -250,7 +250,7 @@ def model_confidence_set(s: SparkSession, d: str) -> DataFrame:
 
 
 def _both_parts(features: DataFrame) -> list[DataFrame]:
-    return [protocol.dev_rows(features, 22, PROTOCOL), protocol.holdout_rows(features, 22, PROTOCOL)]
+    return [protocol.guarded(protocol.dev_rows(features, 22, PROTOCOL), PROTOCOL), protocol.holdout_rows(features, 22, PROTOCOL)]
 
 
 def garch_fit(s: SparkSession, d: str) -> DataFrame:
@@ -339,7 +339,8 @@ def perf_summary(s: SparkSession, d: str) -> DataFrame:
 
 
 def deflated_sharpe(s: SparkSession, d: str) -> DataFrame:
-    return market(B.deflated_sharpe(_simulated(s, d, [0.5]), "pnl_net", 66), 6)
+    """Trials are the configurations of the register."""
+    return market(B.deflated_sharpe(_simulated(s, d, [0.5]), "pnl_net", config_registry(s, d).count()), 6)
 
 
 def _units(s: SparkSession, d: str) -> DataFrame:
@@ -379,7 +380,8 @@ def score_table(s: SparkSession, d: str) -> DataFrame:
 def holdout_strategies(s: SparkSession, d: str) -> DataFrame:
     """The eight strategies over the holdout, from all fifteen models' panel; weights and positions come from the development period on."""
     features = cut_lineage(asset_features(s, d))
-    panel = cut_lineage(baselines.union([forecast_panel(features, rows) for rows in _both_parts(features)]))
+    dev, holdout = (forecast_panel(features, rows) for rows in _both_parts(features))
+    panel = cut_lineage(baselines.keep_first(list(common_models(dev, holdout))))
     scaled = B.with_scale(B.strategy_weights(features, panel), B.unit_pnl(features), B.Backtest())
     simulated = B.simulate(scaled, [0.5])
     return market(B.performance_table(protocol.after_dev(simulated, PROTOCOL)), 6)

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +43,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     unset: it gets a folder of its own, removed at the end. On a cluster that is an error, as no folder of
     the driver's machine could be read by the executors.
     """
-    context = df.sparkSession.sparkContext
+    _checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path for intermediate files under the checkpoint folder, which all executors can read."""
+    return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _checkpoint_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir")
         if not named:
@@ -51,7 +62,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             named = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
         context.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def spread_groups(df: DataFrame, *keys: str) -> DataFrame:

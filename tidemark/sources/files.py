@@ -71,7 +71,11 @@ def chart_rows(charts: DataFrame, json: str = "payload") -> DataFrame:
 
 def manifest(spark: SparkSession, folder: str, least_bytes: int = 200) -> DataFrame:
     """``file, bytes, sha256, data_rows, first_date, last_date, accepted``; too short files and web pages are not accepted."""
-    files = spark.read.format("binaryFile").load(os.path.join(folder, "*.csv"))
+    return manifest_of(spark.read.format("binaryFile").load(os.path.join(folder, "*.csv")), least_bytes)
+
+
+def manifest_of(files: DataFrame, least_bytes: int = 200) -> DataFrame:
+    """The manifest of files given as ``path, length, content``; each file is one row, so files are of a size a task can hold."""
     lines = F.filter(F.split(F.decode("content", "UTF-8"), "\r?\n"), lambda x: F.trim(x) != "")
     files = files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), lines.alias("_lines"))
     token = lambda i: F.split(F.try_element_at("_lines", F.lit(i)), ",")[0]
@@ -102,9 +106,11 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def write_csv(df: DataFrame, path: str, decimals: int = 4) -> None:
-    """A small report, rounded, as one CSV file."""
+def write_csv(df: DataFrame, path: str, decimals: int = 4, most: int = 100_000) -> None:
+    """A small report, rounded, as one CSV file; more than ``most`` rows are refused rather than written by one task."""
     rounded = df.select(*[F.bround(f.name, decimals).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema.fields])
+    if rounded.limit(most + 1).count() > most:
+        raise ValueError(f"a report has at most {most} rows")
     rounded.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
