@@ -33,3 +33,15 @@ def test_empty_copies(spark):
     assert [r["kind"] for r in diff_copies(none, some, ["series_id", "date"], ["close"]).collect()] == ["right_only"]
     assert diff_copies(none, none, ["series_id", "date"], ["close"]).count() == 0
     assert diff_copies(some, some, ["series_id", "date"], ["close"]).count() == 0
+
+
+def test_the_row_with_the_smallest_tie_counts_whole(spark):
+    """Of repeated rows one is taken whole, as a hash aggregate where types allow it; without a tie the smallest values."""
+    rows = [("a", 3, 1.0, None), ("a", 1, None, 9.0), ("a", 2, 0.5, 0.5), ("b", None, 7.0, 7.0), ("b", 5, 8.0, 8.0)]
+    left = spark.createDataFrame(rows, "k string, id long, x double, y double")
+    right = spark.createDataFrame([("a", 1, 1.0, 9.0), ("b", 1, 8.0, 8.0)], "k string, id long, x double, y double")
+    out = diff_copies(left, right, ["k"], ["x", "y"], tie="id")
+    assert [(r["k"], r["left_rows"], [(d["field"], d["left_value"], d["right_value"]) for d in r["differences"]]) for r in out.collect()] == [("a", 3, [("x", None, "1.0")])]
+    assert "SortAggregate" not in out._jdf.queryExecution().toString()
+    none = {r["k"]: [d["left_value"] for d in r["differences"]] for r in diff_copies(left, right, ["k"], ["x", "y"]).collect()}
+    assert none == {"a": [None], "b": ["7.0", "7.0"]}

@@ -58,6 +58,7 @@ def test_typed_values(spark):
     rows = [(0, "f", 1, HEAD + "\r", "x", 1), (1, "f", 2, '01/02/2000,bad,"1,000",3,"2,115.68",5, 6 ', "x", 1), (2, "f", 3, "oops", "x", 1)]
     out = typed_rows(read(spark, rows), {"date": "date", "open": "number", "high": "number", "close": "number", "volume": "number", "absent": "number"}).collect()
     assert [(r["line_id"], r["date"], r["open"], r["high"], r["close"], r["volume"], r["absent"]) for r in out] == [(1, dt.date(2000, 1, 2), None, 1000.0, 2115.68, 6.0, None)]
+    assert [r["invalid"] for r in out] == [["open"]]  # an absent column, like an empty field, lost nothing
 
 
 def test_nulls_missing_headers_long_lines_and_empty(spark):

@@ -8,16 +8,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.fold import first_values
+
 
 def _copy(df: DataFrame, key: Sequence[str], fields: Sequence[str], normalise: Callable[[str, Column], Column], side: str, tie: str | None) -> DataFrame:
     named = df.select(
         *[normalise(k, F.col(k)).alias(f"_k{i}") for i, k in enumerate(key)],
         *[normalise(f, F.col(f)).alias(f"_f{i}") for i, f in enumerate(fields)],
-        (F.col(tie) if tie else F.lit(0)).alias("_tie"),
+        (F.col(tie) if tie else F.lit("")).alias("_tie"),
     )
     keys = [f"_k{i}" for i in range(len(key))]
-    first = F.min(F.struct("_tie", *[f"_f{i}" for i in range(len(fields))]))
-    return named.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{side}_rows"), first.alias(f"_{side}"))
+    first = first_values(named, [f"_f{i}" for i in range(len(fields))], "_tie")
+    return named.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{side}_rows"), F.struct(*[x.alias(n) for n, x in first.items()]).alias(f"_{side}"))
 
 
 def diff_copies(
@@ -38,7 +40,7 @@ def diff_copies(
 
     Both copies are folded to one row for each key before the exchange, so repeated rows, however many,
     cost nothing there; of rows with one key but other values the one with the smallest ``tie``
-    (then the smallest values, nulls first) counts. The copies meet in a full outer join that takes
+    counts (without ``tie``, or where it is no number, ties go to the smallest values, nulls first). The copies meet in a full outer join that takes
     a null in the key as a value. Numbers differ if they are more than ``tolerance`` apart, judged to
     nine decimals; two nulls, or two NaN, are equal, a null and a value differ. An empty copy makes
     every key one-sided. Only the named columns are read.

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as V
+from tidemark.functions.fold import first_values
 from tidemark.functions.nullsafe import finite
 from tidemark.params import HORIZONS
 
@@ -17,9 +18,8 @@ PRICES = ("open", "high", "low", "close")
 def first_per_day(bars: DataFrame, order: str | None = None, keys: tuple[str, ...] = ("series_id", "date")) -> DataFrame:
     """The first row of each key (by ``order``, then by value), others dropped; folded before the exchange."""
     rest = [c for c in bars.columns if c not in keys and c != order]
-    row = F.struct(*([F.col(order)] if order else []), *rest)
-    out = bars.groupBy(*keys).agg(F.min(row).alias("_row"))
-    return out.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in ([order] if order else []) + rest])
+    kept = ([order] if order else []) + rest
+    return bars.groupBy(*keys).agg(*[x.alias(n) for n, x in first_values(bars, kept, order).items()]).select(*keys, *kept)
 
 
 def clean(bars: DataFrame) -> DataFrame:

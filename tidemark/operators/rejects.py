@@ -102,8 +102,14 @@ def read_lines(lines: DataFrame, judged: Mapping[str, str] | Sequence[tuple[str,
 
 
 def typed_rows(read: DataFrame, columns: Mapping[str, str]) -> DataFrame:
-    """The valid lines of :func:`read_lines` with ``columns`` (header name -> kind) typed; a value that does not parse, or a column the header lacks, is null."""
-    kinds = {kind: F.transform("fields", PARSERS[kind]).alias(f"_{kind}") for kind in dict.fromkeys(columns.values())}
-    parsed = read.where(F.col("reason").isNull()).select("line_id", "file_name", "line_no", "header", *kinds.values())
-    value = lambda name, kind: F.try_element_at(F.col(f"_{kind}"), F.nullif(F.array_position("header", name), F.lit(0)).cast("int"))
-    return parsed.select("line_id", "file_name", "line_no", *[value(name, kind).alias(name) for name, kind in columns.items()])
+    """The valid lines of :func:`read_lines` with ``columns`` (header name -> kind) typed, and ``invalid``.
+
+    Only the named fields are parsed, each by its own kind. A value that does not parse, or of a column the header
+    lacks, is null; ``invalid`` names the columns whose field holds something that does not parse, in the order
+    given, so that what is lost beside the judged columns is reported too.
+    """
+    field = lambda name: F.try_element_at("fields", F.nullif(F.array_position("header", name), F.lit(0)).cast("int"))
+    picked = read.where(F.col("reason").isNull()).select("line_id", "file_name", "line_no", *[field(name).alias(f"_in_{name}") for name in columns])
+    parsed = picked.select("line_id", "file_name", "line_no", *[f"_in_{name}" for name in columns], *[PARSERS[kind](F.col(f"_in_{name}")).alias(name) for name, kind in columns.items()])
+    lost = [F.when(F.col(name).isNull() & (_strip(F.col(f"_in_{name}")) != ""), F.lit(name)) for name in columns]
+    return parsed.select("line_id", "file_name", "line_no", *columns, F.array_compact(F.array(*lost)).alias("invalid"))

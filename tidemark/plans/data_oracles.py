@@ -180,4 +180,5 @@ P5_FIELDS = _pairs(_P5) + "\nUNION ALL\n".join(f" SELECT series_id, day, '{n}' A
 
 ORACLES = {
     "p1_reasons": P1_REASONS,
-    "p1_cutoffs": P1_CUTOFFS,"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_rolling": P2_ROLLING, "p3_found": P3_FOUND, "p3_gspc": P3_GSPC, "p3_vix": P3_VIX, "p4_found": P4_FOUND, "p4_profile": P4_PROFILE, "p5_found": P5_FOUND, "p5_fields": P5_FIELDS}
+    "p1_cutoffs": P1_CUTOFFS,
+    "p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_rolling": P2_ROLLING, "p3_found": P3_FOUND, "p3_gspc": P3_GSPC, "p3_vix": P3_VIX, "p4_found": P4_FOUND, "p4_profile": P4_PROFILE, "p5_found": P5_FOUND, "p5_fields": P5_FIELDS}

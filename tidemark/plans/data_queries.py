@@ -16,6 +16,7 @@ from tidemark.session import table
 
 GSPC = SpikeRules(fields=(Reading("open"), Reading("low", above=("open", "close"))))
 VIX = SpikeRules(fields=(Reading("open"), Reading("high", below=("open", "close"))))
+_INDEX = ("open", "high", "low", "close", "adj_close", "volume")
 ROLLED = ("dv_cc", "rv_cc_trail_22", "target_rv_22")
 SHIFTED = ("dv_parkinson", "spx_open_synthetic", "vrp_expost")
 
@@ -79,12 +80,12 @@ def _bars(spark: SparkSession, folder: str, kind: str, numbers: tuple[str, ...])
 
 def p3_gspc(spark: SparkSession, folder: str) -> DataFrame:
     """The valid gspc bars, typed."""
-    return _bars(spark, folder, "gspc", ("open", "high", "low", "close", "adj_close", "volume"))
+    return _bars(spark, folder, "gspc", _INDEX).drop("invalid")
 
 
 def p3_vix(spark: SparkSession, folder: str) -> DataFrame:
     """The valid vix bars, typed."""
-    return _bars(spark, folder, "vix", ("open", "high", "low", "close"))
+    return _bars(spark, folder, "vix", _INDEX[:4]).drop("invalid")
 
 
 def p4_profile(spark: SparkSession, folder: str) -> DataFrame:
