@@ -48,24 +48,46 @@ P1_FOUND = "\nUNION ALL\n".join(_spikes(*which) for which in _JUDGED)
 P1_REASONS = f"SELECT table_name, field, reason, count(*) AS readings FROM ({' UNION ALL '.join(_spikes(*which, reasons=True) for which in _JUDGED)}) GROUP BY ALL"
 
 
-def _tail(field: str, side: str) -> str:
-    """Tail of the seasonal residuals of one gspc field, by series."""
+def _residuals(field: str, side: str, ratio: float) -> str:
+    """Seasonal residuals of one gspc field and, by series, the cutoff of a tail ``ratio`` times as heavy as the risk, up to ``cut``."""
     outside = f"coalesce({side.replace('{x}', 'bar.x').replace('{open}', 'bar.open').replace('{close}', 'bar.close')}, false)" if side else "false"
-    return f"""
-SELECT series_id, '{field}' AS field, count(residual) AS residuals, count(*) FILTER (WHERE abs(residual) > cutoff) AS beyond, round(any_value(cutoff), 8) AS cutoff, round(any_value(m), 8) AS typical_change FROM (
-  WITH days AS (SELECT series_id, date, arg_min({{'x': {field}, 'open': open, 'close': close}}, bar_id) AS bar FROM gspc WHERE date IS NOT NULL GROUP BY series_id, date),
+    return f"""WITH days AS (SELECT series_id, date, arg_min({{'x': {field}, 'open': open, 'close': close}}, bar_id) AS bar FROM gspc WHERE date IS NOT NULL GROUP BY series_id, date),
   good AS (SELECT series_id, date, ln(bar.x) AS lv, {outside} AS outside FROM days WHERE bar.x IS NOT NULL AND NOT isnan(bar.x) AND NOT isinf(bar.x) AND bar.x > 0),
   typical AS (SELECT series_id, median(step) AS m FROM (SELECT series_id, abs(lv - lag(lv) OVER (PARTITION BY series_id ORDER BY date)) AS step FROM good) GROUP BY series_id),
-  moved AS (SELECT series_id, date, lv - lag(lv) OVER (PARTITION BY series_id ORDER BY date) AS change FROM good WHERE NOT outside),
+  moved AS (SELECT series_id, date, lv, lv - lag(lv) OVER (PARTITION BY series_id ORDER BY date) AS change FROM good WHERE NOT outside),
   season AS (SELECT series_id, isodow(date) AS dow, median(change) AS s FROM moved GROUP BY ALL),
-  left_over AS (SELECT moved.series_id, change - coalesce(s, 0) AS residual, m FROM moved JOIN typical ON moved.series_id IS NOT DISTINCT FROM typical.series_id LEFT JOIN season ON moved.series_id IS NOT DISTINCT FROM season.series_id AND isodow(moved.date) = dow),
+  left_over AS (SELECT moved.series_id, moved.date, lv, change - coalesce(s, 0) AS residual, m FROM moved JOIN typical ON moved.series_id IS NOT DISTINCT FROM typical.series_id LEFT JOIN season ON moved.series_id IS NOT DISTINCT FROM season.series_id AND isodow(moved.date) = dow),
   ends AS (SELECT series_id, quantile_cont(abs(residual), 0.9) AS u, quantile_cont(abs(residual), 0.95) AS mid, quantile_cont(abs(residual), 0.975) AS far FROM left_over WHERE abs(residual) <= 12 * m GROUP BY series_id),
   shaped AS (SELECT *, CASE WHEN mid > u AND far > mid THEN least(greatest(log2((far - mid) / (mid - u)), -1), 2) ELSE 0 END AS shape FROM ends),
-  cut AS (SELECT series_id, u + CASE WHEN abs(shape) < 1e-6 THEN (mid - u) / ln(2) * ln(5) ELSE (mid - u) * shape / (pow(2, shape) - 1) * (pow(5, shape) - 1) / shape END AS cutoff FROM shaped)
-  SELECT left_over.*, cutoff FROM left_over LEFT JOIN cut ON left_over.series_id IS NOT DISTINCT FROM cut.series_id
-) GROUP BY series_id"""
+  cut AS (SELECT series_id, u + CASE WHEN abs(shape) < 1e-6 THEN (mid - u) / ln(2) * ln({ratio!r}::DOUBLE) ELSE (mid - u) * shape / (pow(2, shape) - 1) * (pow({ratio!r}::DOUBLE, shape) - 1) / shape END AS cutoff FROM shaped),
+  scored AS (SELECT left_over.*, cutoff FROM left_over LEFT JOIN cut ON left_over.series_id IS NOT DISTINCT FROM cut.series_id)"""
 
 
+def _tail(field: str, side: str) -> str:
+    """Tail of one gspc field, by series."""
+    return f"""
+SELECT series_id, '{field}' AS field, count(residual) AS residuals, count(*) FILTER (WHERE abs(residual) > cutoff) AS beyond, round(any_value(cutoff), 8) AS cutoff, round(any_value(m), 8) AS typical_change FROM ({_residuals(field, side, 0.1 / 0.02)} SELECT * FROM scored) GROUP BY series_id"""
+
+
+def _tail_spikes(field: str, side: str) -> str:
+    """Rows of gspc whose reading of the field lies in a run of up to three beyond the cutoff, undone by a move beyond it."""
+    runs = []
+    for k in (1, 2, 3):
+        within = ", ".join(["lv", *(f"lead(lv, {j}) OVER w" for j in range(1, k))])
+        low, high = (f"least({within})", f"greatest({within})") if k > 1 else ("lv", "lv")
+        there = f"lead(lv, {k}) OVER w IS NOT NULL AND lag(lv) OVER w IS NOT NULL"
+        up = f"residual > cutoff AND lead(residual, {k}) OVER w < -cutoff AND {low} > greatest(lag(lv) OVER w, lead(lv, {k}) OVER w)"
+        down = f"residual < -cutoff AND lead(residual, {k}) OVER w > cutoff AND {high} < least(lag(lv) OVER w, lead(lv, {k}) OVER w)"
+        runs.append(f"coalesce({there} AND (({up}) OR ({down})), false) AS r{k}")
+    hit = " OR ".join(f"coalesce(lag(r{k}, {j}) OVER w, false)" if j else f"r{k}" for k in (1, 2, 3) for j in range(k))
+    return f"""SELECT b.bar_id, '{field}' AS field FROM gspc b JOIN (
+  {_residuals(field, side, 0.1 / 0.0001)}, runs AS (SELECT series_id, date, {", ".join(runs)} FROM scored WINDOW w AS (PARTITION BY series_id ORDER BY date)),
+  spikes AS (SELECT * FROM (SELECT series_id, date, {hit} AS spike FROM runs WINDOW w AS (PARTITION BY series_id ORDER BY date)) WHERE spike)
+  SELECT spikes.series_id, spikes.date, bar.x AS x FROM spikes JOIN days ON spikes.series_id IS NOT DISTINCT FROM days.series_id AND spikes.date = days.date
+) d ON b.series_id IS NOT DISTINCT FROM d.series_id AND b.date = d.date AND b.{field} = d.x"""
+
+
+P1_TAIL = f"{_tail_spikes('open', '')} UNION ALL {_tail_spikes('low', _LOW)}"
 P1_CUTOFFS = f"{_tail('open', '')} UNION ALL {_tail('low', _LOW)}"
 
 _FIELDS = ("dv_cc", "rv_cc_trail_22", "target_rv_22")
@@ -181,4 +203,5 @@ P5_FIELDS = _pairs(_P5) + "\nUNION ALL\n".join(f" SELECT series_id, day, '{n}' A
 ORACLES = {
     "p1_reasons": P1_REASONS,
     "p1_cutoffs": P1_CUTOFFS,
+    "p1_tail": P1_TAIL,
     "p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_rolling": P2_ROLLING, "p3_found": P3_FOUND, "p3_gspc": P3_GSPC, "p3_vix": P3_VIX, "p4_found": P4_FOUND, "p4_profile": P4_PROFILE, "p5_found": P5_FOUND, "p5_fields": P5_FIELDS}
