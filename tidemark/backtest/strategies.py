@@ -38,10 +38,17 @@ def binary(signal: Column) -> Column:
 
 def linear_weights(df: DataFrame, signal: str, out: str, least: int = 252, most: float = 1.5) -> DataFrame:
     """signal over the median of its earlier positive values (once ``least`` of them are there), between 0 and ``most``."""
-    past = by_date().rowsBetween(Window.unboundedPreceding, -1)
-    positive = F.when(F.col(signal) > 0, F.col(signal))
-    norm = F.when(F.count(positive).over(past) >= least, F.percentile(positive, F.lit(0.5)).over(past))
-    return df.withColumn(out, clip(ratio(F.col(signal), norm), 0.0, most))
+    # As a window a growing median would sort the whole past anew on every day; here each day costs a step in a sorted list.
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "_norm double"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date", kind="stable")
+        past = pdf[signal].astype(float)
+        past = past.where(past > 0).shift(1).expanding(min_periods=least).median()
+        return pdf.assign(_norm=pd.array([None if math.isnan(v) else v for v in past], dtype="Float64"))
+
+    normed = spread_groups(df, "series_id").groupBy("series_id").applyInPandas(run, schema)
+    return normed.withColumn(out, clip(ratio(F.col(signal), F.col("_norm")), 0.0, most)).drop("_norm")
 
 
 def spread_cost(vix: Column, half_spread: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,7 @@ from tidemark.session import cut_lineage
 
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
 _MOST_LOADS = 100_000
+_MASKED = 60
 
 
 def _kind(dtype: str) -> str:
@@ -118,7 +120,7 @@ class _Frame:
         blocks = []
         for i, kind in enumerate(self.kinds):
             x = batch[f"_c{i}"].to_numpy(float, na_value=np.nan)
-            absent = batch[f"_c{i}"].isna().to_numpy() if kind != "number" else batch[f"_m{i}"].to_numpy(bool)
+            absent = (batch[f"_m{i // _MASKED}"].to_numpy(np.int64) >> (i % _MASKED)) & 1 == 1
             parts = [np.ones(len(batch)), absent]
             if kind == "flag":
                 parts.append(x == 1)
@@ -129,7 +131,7 @@ class _Frame:
                 with np.errstate(divide="ignore", invalid="ignore"):
                     size = np.where(finite, (np.log(np.abs(x)) - self.centre[i]) / self.spread[i], 0.0)
                 size = np.clip(size, -8, 8)
-                parts += [~absent & ~np.isfinite(x), x == 0, finite & (x < 0), batch[f"_r{i}"].to_numpy(bool), size, np.minimum(size * size, 16.0)]
+                parts += [~absent & ~np.isfinite(x), x == 0, finite & (x < 0), batch[f"_r{i}"].to_numpy(bool) if f"_r{i}" in batch else np.zeros(len(x), bool), size, np.minimum(size * size, 16.0)]
             blocks.append(np.stack([np.asarray(p, float) for p in parts], 1))
         return blocks
 
@@ -238,7 +240,7 @@ def _fits(rows: DataFrame, frame: _Frame, ridge: float, steps: tuple[int, int],
     return weights, joint
 
 
-def load_shifts(df: DataFrame, columns: Sequence[str], *, load: str = "load_id", row_id: str = "feature_id", ridge: float = 1.0, steps: tuple[int, int] = (3, 2)) -> DataFrame:
+def load_shifts(df: DataFrame, columns: Sequence[str], *, load: str = "load_id", row_id: str = "feature_id", ridge: float = 1.0, steps: tuple[int, int] = (3, 2), repeats: Sequence[str] | None = None) -> DataFrame:
     """Classifier two-sample test of each load against the others, by column.
 
     ``load_id, column_name, rows, auc, auc_without, auc_alone, z, z_drop, limit, limit_drop, changed``. A logistic regression
@@ -251,7 +253,8 @@ def load_shifts(df: DataFrame, columns: Sequence[str], *, load: str = "load_id",
     same sizes and by the same fits; ``changed`` if either limit is passed.
 
     Any number of columns of any type: numbers, dates and times by missing, not finite, zero, negative, repeated within
-    the load, and standardised log magnitude with its square; flags; texts by hash states. All rows take part in
+    the load (of the columns ``repeats``, by default all numbers; each costs a join by load and value), and
+    standardised log magnitude with its square; flags; texts by hash states. All rows take part in
     the training, by sums over the partitions; neither rows nor groups of them are gathered. What the driver holds
     grows with loads x columns only.
 
@@ -260,10 +263,14 @@ def load_shifts(df: DataFrame, columns: Sequence[str], *, load: str = "load_id",
     """
     types = dict(df.dtypes)
     kinds = tuple("number" if types[c] in ("date", "timestamp", "timestamp_ntz") else _kind(types[c]) for c in columns)
-    picked = df.select(F.col(load).alias("_load"), F.xxhash64(F.col(row_id), *columns).alias("_h"), *[_as_input(F.col(c), types[c], k).alias(f"_c{i}") for i, (c, k) in enumerate(zip(columns, kinds))])
+    inputs = [_as_input(F.col(c), types[c], k) for c, k in zip(columns, kinds)]
+    # Which values are null, a bit each: in Python a null and a NaN are one.
+    masks = [reduce(lambda a, b: a + b, [F.when(x.isNull(), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, x in enumerate(inputs[j : j + _MASKED])]).alias(f"_m{j // _MASKED}") for j in range(0, len(inputs), _MASKED)]
+    # One struct instead of a name for each column: the optimizer would try every mixture of old and new names in hash and masks.
+    picked = df.select(F.col(load).alias("_load"), F.xxhash64(F.col(row_id), *columns).alias("_h"), F.struct(*[x.alias(f"c{i}") for i, x in enumerate(inputs)]).alias("_x"), *masks)
     numbers = [i for i, k in enumerate(kinds) if k == "number"]
     # One pass for the sizes of the loads and the scale of each column.
-    logs = {i: F.when((F.abs(f"_c{i}") > 0) & (F.abs(f"_c{i}") < float("inf")), F.ln(F.abs(f"_c{i}"))) for i in numbers}
+    logs = {i: F.when((F.abs(f"_x.c{i}") > 0) & (F.abs(f"_x.c{i}") < float("inf")), F.ln(F.abs(f"_x.c{i}"))) for i in numbers}
     sizes = picked.groupBy("_load").agg(F.count(F.lit(1)).alias("_n"), *[a for i, x in logs.items() for a in (F.avg(x).alias(f"_mean{i}"), F.stddev_pop(x).alias(f"_sd{i}"))]).collect()
     if len(sizes) > _MOST_LOADS:
         raise ValueError(f"more than {_MOST_LOADS} loads")
@@ -285,12 +292,14 @@ def load_shifts(df: DataFrame, columns: Sequence[str], *, load: str = "load_id",
 
     rows = picked.join(F.broadcast(places), F.col("_load").eqNullSafe(F.col("_of"))).drop("_of")  # at most _MOST_LOADS rows
     for i in numbers:
-        x = F.col(f"_c{i}")
-        repeated = picked.where(x.isNotNull() & ~F.isnan(x) & (x != 0)).groupBy("_load", x).agg(F.count(F.lit(1)).alias("_times")).where(F.col("_times") > 1)
-        repeated = repeated.select(F.col("_load").alias("_rl"), x.alias("_rv"), F.lit(True).alias("_again"))
+        x = F.col(f"_x.c{i}")
+        if repeats is not None and columns[i] not in repeats:
+            continue
+        repeated = picked.where(x.isNotNull() & ~F.isnan(x) & (x != 0)).groupBy(F.col("_load").alias("_rl"), x.alias("_rv")).agg(F.count(F.lit(1)).alias("_times"))
+        repeated = repeated.where(F.col("_times") > 1).select("_rl", "_rv", F.lit(True).alias("_again"))
         rows = rows.join(repeated, F.col("_load").eqNullSafe(F.col("_rl")) & (x == F.col("_rv")), "left")
-        rows = rows.withColumns({f"_r{i}": F.coalesce("_again", F.lit(False)), f"_m{i}": x.isNull()}).drop("_rl", "_rv", "_again")
-    rows = cut_lineage(rows.drop("_load"))
+        rows = rows.withColumn(f"_r{i}", F.coalesce("_again", F.lit(False))).drop("_rl", "_rv", "_again")
+    rows = cut_lineage(rows.select("_h", "_own", *[F.col(f"_x.c{i}").alias(f"_c{i}") for i in range(len(columns))], *[c for c in rows.columns if c.startswith(("_m", "_r"))]))
 
     # The others may hold spoiled loads, which would make every sound one differ from them: those that stand out at first sight leave the reference.
     weights, joint = _fits(rows, frame, ridge, (2, 0))

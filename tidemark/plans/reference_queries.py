@@ -279,7 +279,7 @@ def config_registry(s: SparkSession, d: str) -> DataFrame:
 
 def _weights(features: DataFrame) -> DataFrame:
     """Five strategies over the days with trailing variance: always, binary and linear, the latter two also weekly."""
-    df = features.withColumn("signal", B.vrp_signal(F.col("iv30"), F.col("rv_cc_trail_22")))
+    df = features.select("series_id", "date", "rv_cc_trail_22", B.vrp_signal(F.col("iv30"), F.col("rv_cc_trail_22")).alias("signal"))
     df = B.linear_weights(df, "signal", "linear").where(F.col("rv_cc_trail_22").isNotNull())
     cells = [("always_short", B.always(F.col("signal")), 1), ("naive_binary", B.binary(F.col("signal")), 1), ("naive_binary_5d", B.binary(F.col("signal")), 5), ("naive_linear", F.col("linear"), 1), ("naive_linear_5d", F.col("linear"), 5)]
     return df.select("series_id", "date", F.inline(F.array(*[F.struct(F.lit(n).alias("strategy"), w.alias("base_w"), F.lit(k).alias("rebalance_every")) for n, w, k in cells])))
