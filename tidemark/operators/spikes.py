@@ -156,6 +156,7 @@ def _marked(scored: DataFrame, rules: SpikeRules) -> DataFrame:
     for i in every:
         held = F.lag(f"_v{i}").over(order)
         beside |= {f"_next{i}_{k}": _beside(f"_good{i}", k) for k in reach}
+        beside[f"_way{i}"] = F.signum(f"_residual{i}")
         beside[f"_fresh{i}"] = F.col(f"_v{i}").isNull() | held.isNull() | (F.col(f"_v{i}") != held)
     days = days.withColumns(beside)
 
@@ -163,15 +164,15 @@ def _marked(scored: DataFrame, rules: SpikeRules) -> DataFrame:
     for i in every:
         apart = F.lit(0.0) if rules.multiple is None else rules.multiple * F.col(f"_typical{i}")
         cutoff, before, now = F.col(f"_cutoff{i}"), F.col(f"_before{i}"), F.col(f"_residual{i}")
-        begun = F.lit(0)
+        # Seen in the direction of the jump, a fall is a rise.
+        way, begun = F.col(f"_way{i}"), F.lit(0)
         for k in reach:
-            # How far the lowest (highest) reading of the run stands above (below) the nearest good readings on either side.
-            inside = [F.col(f"_log{i}"), *[F.col(f"_next{i}_{j}")["x"] for j in range(1, k)]]
-            low, high = (F.least(*inside), F.greatest(*inside)) if k > 1 else (inside[0], inside[0])
+            # How far the nearest reading of the run stands off the nearest good readings on either side.
+            inside = [way * F.col(f"_log{i}"), *[way * F.col(f"_next{i}_{j}")["x"] for j in range(1, k)]]
             after, back = F.col(f"_next{i}_{k}")["x"], F.col(f"_next{i}_{k}")["r"]
-            up = (now > cutoff) & (back < -cutoff) & (low - F.greatest(before, after) > apart)
-            down = (now < -cutoff) & (back > cutoff) & (F.least(before, after) - high > apart)
-            begun = F.when(before.isNotNull() & after.isNotNull() & (up | down), F.lit(k)).otherwise(begun)
+            off = (F.least(*inside) if k > 1 else inside[0]) - F.greatest(way * before, way * after)
+            begun = F.when(after.isNotNull() & (way * back < -cutoff) & (off > apart), F.lit(k)).otherwise(begun)
+        begun = F.when(before.isNotNull() & (F.abs(now) > cutoff), begun).otherwise(F.lit(0))
         #: The longest run that begins at the reading; shorter ones that begin there are inside it.
         runs[f"_begun{i}"] = F.when(F.col(f"_log{i}").isNotNull(), begun)
         runs[f"_start{i}"] = F.last(F.when(F.col(f"_fresh{i}"), F.col("_place")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
