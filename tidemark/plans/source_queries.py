@@ -25,20 +25,26 @@ def _written(spark: SparkSession, bars: DataFrame, name: str, order: str) -> str
     return path
 
 
+def _rounded(c: str, digits: int = 8):
+    """SQL's ``round`` of a positive price: half away from zero on the binary product; Spark's, on the decimal text, differs where that text is a tie."""
+    x, scale = F.col(c), 10.0**digits
+    y = x * scale
+    whole = F.rint(y)
+    return F.when(y < float("inf"), F.when(y - whole == 0.5, whole + 1).otherwise(whole) / scale).otherwise(x).alias(c)
+
+
 def source_bars(s: SparkSession, d: str) -> DataFrame:
     """Index, volatility and second-source bars written as CSV files, one for each series, and read back by their loaders."""
     parts = []
     readers = {"gspc": (files.read_index_bars, ("adj_close", "volume")), "vix": (files.read_vol_index, ()), "spx_stooq": (files.read_second_source, ("volume",))}
     for name, (read, more) in readers.items():
-        bars = table(s, d, name).where(F.col("date").isNotNull()).select("series_id", "date", "open", "high", "low", "close", *more, "bar_id")
-        path = _written(s, bars, name, "bar_id")
-        # A loader reads one file; how many series there are is metadata.
-        for row in bars.select("series_id").distinct().collect():
-            one = read(s, f"{path}/series_id={row[0]}", row[0])
-            parts.append(X.clean(one).select(F.lit(name).alias("table_name"), "series_id", "date", "open", "high", "low", "close"))
+        # Behind a letter, as a folder's name cannot tell an empty series from a missing one.
+        bars = table(s, d, name).where(F.col("date").isNotNull()).select(F.concat(F.lit("s"), "series_id").alias("series_id"), "date", "open", "high", "low", "close", *more, "bar_id")
+        found = read(s, _written(s, bars, name, "bar_id"))
+        parts.append(X.clean(found).select(F.lit(name).alias("table_name"), F.expr("substring(series_id, 2)").alias("series_id"), F.col("date").cast("string").alias("date"), *[_rounded(c) for c in files.OHLC]))
     absent = files.read_optional_vol_index(s, scratch_folder(s, "absent"), "none")
     assert absent is None
-    return tidy(baselines.union(parts))
+    return baselines.union(parts)
 
 
 def source_charts(s: SparkSession, d: str) -> DataFrame:

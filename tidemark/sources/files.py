@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.operators.features import first_per_day
 
@@ -17,42 +18,64 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def _series_files(spark: SparkSession, path: str, columns: tuple[str, ...], text: dict[str, bool]) -> DataFrame:
+    """All files of a folder of ``series_id=...`` folders in one scan; a file whose header is not the first one's makes the read fail."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, shown = (system.globStatus(at(at(path), x)) for x in ("series_id=*", "[^_.]*"))  # by the JVM: a call a file would be slow
+    if system.getFileStatus(at(path)).isFile() or len(found) < len(shown):
+        raise ValueError(f"{path} holds other than folders of series")
+    name = StructField("series_id", StringType())  # given, as a name like 007 would else become a number
+    if not len(found):
+        return spark.createDataFrame([], StructType([*[StructField(c, StringType()) for c in columns], name]))
+    header = spark.read.csv(found[0].getPath().toString(), **text).schema
+    return spark.read.csv(path, schema=StructType([*[f for f in header if f.name != name.name], name]), enforceSchema=False, **text)
+
+
 def _day(c: str):
     text = F.trim(F.col(c))
     return F.coalesce(F.try_to_date(text, "M/d/yyyy"), F.try_to_date(text, "yyyy-MM-dd"))
 
 
-def _prices(spark: SparkSession, path: str, series_id: str, wanted: tuple[str, ...], required: tuple[str, ...]) -> DataFrame:
-    """Header names are trimmed and lower-cased; the first row of a day, in file order, is kept."""
+def _prices(spark: SparkSession, path: str, series_id: str | None, wanted: tuple[str, ...], required: tuple[str, ...]) -> DataFrame:
+    """Header names are trimmed and lower-cased; the first row of a day, in file order, is kept.
+
+    Without ``series_id`` the path is a folder of ``series_id=...`` folders with a file each: one scan, whose plan does not grow with their number.
+    """
     if not _exists(spark, path):
         raise FileNotFoundError(path)
-    raw = spark.read.csv(path, header=True, inferSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    text = {"header": True, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+    if series_id is None:
+        raw = _series_files(spark, path, ("date", *wanted), text)
+    else:
+        raw = spark.read.csv(path, inferSchema=False, **text)
     raw = raw.toDF(*[c.strip().lower() for c in raw.columns]).withColumn("_order", F.monotonically_increasing_id())
     missing = [c for c in ("date", *required) if c not in raw.columns]
     if missing:
         raise ValueError(f"{path} lacks {', '.join(missing)}")
     kept = [c for c in wanted if c in raw.columns]
-    typed = raw.select(F.lit(series_id).alias("series_id"), _day("date").alias("date"), *[F.col(c).try_cast("double").alias(c) for c in kept], "_order").where(F.col("date").isNotNull())
+    series = F.col("series_id") if series_id is None else F.lit(series_id)
+    typed = raw.select(series.alias("series_id"), _day("date").alias("date"), *[F.col(c).try_cast("double").alias(c) for c in kept], "_order").where(F.col("date").isNotNull())
     return first_per_day(typed, "_order").drop("_order")
 
 
-def read_vol_index(spark: SparkSession, path: str, series_id: str) -> DataFrame:
+def read_vol_index(spark: SparkSession, path: str, series_id: str | None = None) -> DataFrame:
     """CSV with date (month/day/year or ISO), open, high, low, close. A missing file raises."""
     return _prices(spark, path, series_id, OHLC, OHLC)
 
 
-def read_index_bars(spark: SparkSession, path: str, series_id: str) -> DataFrame:
+def read_index_bars(spark: SparkSession, path: str, series_id: str | None = None) -> DataFrame:
     """CSV with ISO date, open, high, low, close, adj_close, volume. A missing file raises."""
     names = (*OHLC, "adj_close", "volume")
     return _prices(spark, path, series_id, names, names)
 
 
-def read_second_source(spark: SparkSession, path: str, series_id: str) -> DataFrame | None:
+def read_second_source(spark: SparkSession, path: str, series_id: str | None = None) -> DataFrame | None:
     """CSV with whichever of open, high, low, close, volume it has; None if the file is absent."""
     return _prices(spark, path, series_id, (*OHLC, "volume"), ()) if _exists(spark, path) else None
 
 
-def read_optional_vol_index(spark: SparkSession, path: str, series_id: str) -> DataFrame | None:
+def read_optional_vol_index(spark: SparkSession, path: str, series_id: str | None = None) -> DataFrame | None:
     return read_vol_index(spark, path, series_id) if _exists(spark, path) else None
 
 
